@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, urls
+from . import bpe, chat, rules, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +48,22 @@ def _op1_sql() -> str:
     FROM f GROUP BY conv_id"""
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule ledger of every document under the current policy."""
+    ledger = rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rules.apply_policy(ledger.drop("text"), "v2").select(
+        "doc_id", *rules.MEASUREMENTS, "base_failed", "kept", "fail_bits")
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = bpe.decode(bpe.encode(docs).drop("text"))
+    return back.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the fixed rules, and by patterns where none fits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -76,7 +92,7 @@ def _op9_sql() -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op9_url_filters)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op5_byte_bpe, op9_url_filters)}
 
 
 def oracle_sql() -> dict:
