@@ -27,12 +27,12 @@ def _quote(s: str) -> str:
     return "".join(f"\\{c}" if c in "\\|[]()<>/.*+?^$" else c for c in s)
 
 
-_BARE = "|".join(f"(?<={_quote(c[0])})(?={_quote(c[1:])})" for c in CONTROLS)
+_BARE = "|".join(f"{_quote(head)}(?={'|'.join(_quote(c[1:]) for c in CONTROLS if c[0] == head)})" for head in sorted({c[0] for c in CONTROLS}))
 
 
 def escape(text: Column) -> Column:
     """``text`` with backslashes doubled and a backslash put into every control string."""
-    return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), _BARE, r"\\")
+    return F.regexp_replace(F.regexp_replace(text, r"\\", r"\\\\"), _BARE, r"$0\\")
 
 
 def unescape(text: Column) -> Column:
@@ -46,13 +46,14 @@ def format_chats(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """
     turn = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("turns"))
+    chats = chats.select("conv_id", F.transform("turns", lambda t: F.struct(escape(t["role"]).alias("shown"), t["role"].alias("role"), escape(t["text"]).alias("text"))).alias("turns"))
     start = F.expr("named_struct('role', cast(null as string), 'at', 0, 'parts', cast(array() as array<string>), "
                    "'spans', cast(array() as array<struct<start:int,length:int>>))")
 
     def add(done: Column, t: Column) -> Column:
-        text, same = escape(t["text"]), F.coalesce(done["role"] == t["role"], F.lit(False))
+        text, same = t["text"], F.coalesce(done["role"] == t["role"], F.lit(False))
         close = F.when(done["role"].isNull(), "").otherwise(END)
-        head = F.when(same, NEXT).otherwise(F.concat(close, F.lit(TURN), escape(t["role"]), F.lit(TEXT)))
+        head = F.when(same, NEXT).otherwise(F.concat(close, F.lit(TURN), t["shown"], F.lit(TEXT)))
         at = done["at"] + F.length(head)
         span = F.struct(at.alias("start"), F.length(text).alias("length"))
         return F.struct(

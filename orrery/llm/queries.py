@@ -5,10 +5,10 @@ Each query reads whole tables, calls its operator with production parameters and
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, rules, urls
+from . import bpe, chat, decontam, fm, rules, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,13 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *rules.MEASUREMENTS, "base_failed", "kept", "fail_bits")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's words inside benchmark windows."""
+    found = decontam.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("hit_items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("hit_items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -91,8 +98,26 @@ def _op9_sql() -> str:
     FROM r"""
 
 
+def _labelled(spark: SparkSession, sf_dir: str, label: str, held_out: Column) -> DataFrame:
+    """(doc_id, text, label) of the labelled rows that may be learned from."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).where(F.col("label").isNotNull() & ~held_out)
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+
+
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity by a machine fitted to labels of the other part."""
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
+    machine = fm.train(_labelled(spark, sf_dir, "toxic", held_out))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fm.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op5_byte_bpe, op9_url_filters)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_decontamination, op5_byte_bpe, op9_url_filters, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
