@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fm, rules, urls
+from . import bpe, chat, decontam, fm, rules, simhash, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +71,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and the group it reaches."""
+    found = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the fixed rules, and by patterns where none fits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -117,7 +123,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_decontamination, op5_byte_bpe, op9_url_filters, op10_toxicity)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_decontamination, op5_byte_bpe, op6_simhash_near_dedup, op9_url_filters, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
