@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import replaced
 
-CACHE_PIECES = 400_000
+CACHE_PIECES = 150_000
+#: Rows of an Arrow batch whose tokens are in memory at a time.
+SLICE = 200
 MAX_VOCABULARY_BYTES = 64 << 20
 
 
@@ -137,7 +139,7 @@ def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, p
     @F.arrow_udf("struct<ids:array<int>,starts:array<int>,ends:array<int>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _worker_codec(shared)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
             ids, starts, ends = [], [], []
             for value in batch:
                 content = value.as_py() or ""
@@ -158,7 +160,7 @@ def decode(coded: DataFrame, ids: str = "token_ids", ranks_path: str | None = No
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _worker_codec(shared)
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
             yield pa.array([codec.decode(v.values.to_numpy(zero_copy_only=False).tolist() if v.is_valid else []) for v in batch], pa.binary())
 
     return replaced(coded, ["decoded"]).withColumn("decoded", run(F.col(f"`{ids}`")))
