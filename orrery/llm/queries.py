@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fm, rules, simhash, urls
+from . import bpe, chat, decontam, fm, rules, simhash, urls, warc
+from .common import Scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,14 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives and an index, then looked up there by its URL and read back."""
+    pages, folder = table(spark, sf_dir, "pages"), Scratch(spark, "warc").base
+    index = warc.write_index(warc.write_archives(pages, f"{folder}/archives"), f"{folder}/index")
+    records = warc.fetch(warc.look_up(pages, index, f"{folder}/index"), f"{folder}/archives", payloads=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the fixed rules, and by patterns where none fits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -123,7 +132,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_decontamination, op5_byte_bpe, op6_simhash_near_dedup, op9_url_filters, op10_toxicity)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_decontamination, op5_byte_bpe, op6_simhash_near_dedup, op7_warc, op9_url_filters, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
