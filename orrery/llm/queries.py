@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fm, rules, simhash, urls, warc
+from . import bpe, chat, decontam, fm, mil, rules, simhash, urls, warc
 from .common import Scratch
 
 
@@ -86,6 +86,14 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality by a model fitted to labels of the other part."""
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
+    model = mil.train(_labelled(spark, sf_dir, "quality", held_out))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return mil.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's URL judged by the fixed rules, and by patterns where none fits."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -132,7 +140,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_decontamination, op5_byte_bpe, op6_simhash_near_dedup, op7_warc, op9_url_filters, op10_toxicity)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_decontamination, op5_byte_bpe, op6_simhash_near_dedup, op7_warc, op8_quality_classifier, op9_url_filters, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
