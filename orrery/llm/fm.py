@@ -133,10 +133,11 @@ def _passages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array([[p.tolist() for p in terms.passages(v.as_py() or "", MAX_PASSAGES)] for v in batch], pa.list_(pa.list_(pa.int32())))
 
 
-def train(labelled: DataFrame, text: str = "text", label: str = "label", key: str = "doc_id", sample: int = SAMPLE) -> Machine:
-    """A machine fitted to at most ``sample`` rows of (key, text, label)."""
-    chosen = labelled.where(F.col(label).isNotNull()).select(key, text, label).orderBy(F.xxhash64(key), key).limit(sample)
-    rows = chosen.select(F.arrow_udf(_passages, "array<array<int>>")(F.col(text)).alias("p"), F.col(label).cast("int").alias("y"), F.col(key).alias("k")).collect()
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Machine:
+    """A machine fitted to at most ``sample`` rows of ``labels`` (key, label), broadcast to find their texts in ``docs``."""
+    picked = labels.where(F.col("label").isNotNull() & F.col(key).isNotNull()).select(F.col(key), F.col("label")).orderBy(F.xxhash64(key), key).limit(sample)
+    chosen = docs.select(key, text).join(F.broadcast(picked), key)
+    rows = chosen.select(F.arrow_udf(_passages, "array<array<int>>")(F.col(text)).alias("p"), F.col("label").cast("int").alias("y"), F.col(key).alias("k")).collect()
     rows.sort(key=lambda r: (zlib.crc32(str(r.k).encode()), r.k))
     return Machine.empty().fit([[np.array(p, np.int32) for p in r.p] for r in rows], np.array([r.y for r in rows], np.float32))
 

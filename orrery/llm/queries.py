@@ -89,8 +89,8 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality by a model fitted to labels of the other part."""
     held_out = F.coalesce(_remainder(5) == 0, F.lit(False))
-    model = mil.train(_labelled(spark, sf_dir, "quality", held_out))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mil.train(docs, _labelled(spark, sf_dir, "quality", held_out))
     return mil.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
@@ -122,9 +122,8 @@ def _op9_sql() -> str:
 
 
 def _labelled(spark: SparkSession, sf_dir: str, label: str, held_out: Column) -> DataFrame:
-    """(doc_id, text, label) of the labelled rows that may be learned from."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col(label).alias("label")).where(F.col("label").isNotNull() & ~held_out)
-    return table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+    """(doc_id, label) of the labelled rows that may be learned from."""
+    return table(spark, sf_dir, "labels").where(~held_out).select("doc_id", F.col(label).alias("label"))
 
 
 def _remainder(n: int) -> Column:
@@ -134,8 +133,8 @@ def _remainder(n: int) -> Column:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity by a machine fitted to labels of the other part."""
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False))
-    machine = fm.train(_labelled(spark, sf_dir, "toxic", held_out))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = fm.train(docs, _labelled(spark, sf_dir, "toxic", held_out))
     return fm.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
