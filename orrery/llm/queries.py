@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fm, mil, rules, simhash, urls, warc
+from . import bpe, chat, decontam, fm, lines, mil, rules, simhash, urls, warc
 from .common import Scratch
 
 
@@ -56,6 +56,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *rules.MEASUREMENTS, "base_failed", "kept", "fail_bits")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text without repeated lines."""
+    out = lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's words inside benchmark windows."""
     found = decontam.find_contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -139,7 +145,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op4_decontamination, op5_byte_bpe, op6_simhash_near_dedup, op7_warc, op8_quality_classifier, op9_url_filters, op10_toxicity)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_line_dedup, op4_decontamination, op5_byte_bpe, op6_simhash_near_dedup, op7_warc, op8_quality_classifier, op9_url_filters, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
