@@ -257,5 +257,7 @@ def fetch(captures: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                             rows, size = [], 0
             yield _batch(rows, _RECORDS)
 
-    in_order = captures.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    # a number of partitions of its own: rows are small but each stands for a record to read
+    parts = int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    in_order = captures.select("file", "offset", "length").repartitionByRange(parts, "file", "offset").sortWithinPartitions("file", "offset")
     return in_order.mapInArrow(read, _RECORDS)
