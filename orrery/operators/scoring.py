@@ -16,7 +16,7 @@ def logits_of(output: object, rows: int, classes: int | None = None) -> np.ndarr
     """A model's output as (rows, 1, 2 or 3, or ``classes``) logits: an array, a mapping with logits, or a tuple of one of these."""
     if isinstance(output, dict):
         output = output.get("logits", next(iter(output.values())) if len(output) == 1 else None)
-    if isinstance(output, (tuple, list)) and len(output) == 1 and not np.isscalar(output[0]):
+    if isinstance(output, tuple) and len(output) == 1:
         output = output[0]
     if output is None:
         raise ValueError("the model returned no logits")
