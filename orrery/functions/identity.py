@@ -95,9 +95,10 @@ def index_of_name(name: Column) -> Column:
 def readable_size(size: Column) -> Column:
     """Bytes as 1.0 B to PB."""
     units = ["B", "KB", "MB", "GB", "TB", "PB"]
-    out = F.format_string("%.1f PB", size / 1024.0**5)
+    shown = lambda k: F.format_string(f"%.1f {units[k]}", F.bround(size / 1024.0**k, 1))  # noqa: E731  halves go to even
+    out = shown(5)
     for k in range(4, -1, -1):
-        out = F.when(size < 1024 ** (k + 1), F.format_string(f"%.1f {units[k]}", size / 1024.0**k)).otherwise(out)
+        out = F.when(size < 1024 ** (k + 1), shown(k)).otherwise(out)
     return out
 
 

@@ -29,3 +29,12 @@ class Book:
 def r6(*names: str) -> dict[str, Column]:
     """The named columns rounded to six places, as their SQL rounds them."""
     return {n: F.round(F.col(n), 6) for n in names}
+
+
+def listed(array: Column) -> Column:
+    """An array of numbers as text, in millionths, so that engines agree on it."""
+    return F.array_join(F.transform(array, lambda x: F.round(x.cast("double") * 1e6).cast("bigint").cast("string")), ",")
+
+
+def listed_sql(array: str) -> str:
+    return f"coalesce(array_to_string(list_transform({array}, lambda z: round(z::DOUBLE * 1e6)::BIGINT), ','), '')"

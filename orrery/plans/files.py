@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..adapters import PATHS, SAMPLES, paths, samples, table
 from ..functions import identity as I
 from ..operators import sampling as S
-from ..schemas import IMAGE_SUFFIXES, MEDIA_SUFFIXES
+from ..schemas import IMAGE_SUFFIXES
 from ..sources import files
 from .common import Book
 
@@ -36,9 +36,10 @@ def s10_format_fallback(spark, sf_dir):
     return files.fallback_format(listing)
 
 
-@book.add(f"WITH {PATHS} SELECT regexp_replace(path, '/[^/]*$', '') AS folder, list(path ORDER BY page_id) AS frames FROM pth WHERE {_IMG} GROUP BY 1")
+@book.add(f"WITH {PATHS} SELECT regexp_replace(path, '/[^/]*$', '') AS folder, string_agg(path, '|' ORDER BY page_id) AS frames FROM pth WHERE {_IMG} GROUP BY 1")
 def s08_frame_folders(spark, sf_dir):
-    return files.frame_folders(paths(spark, sf_dir).where(I.has_suffix(F.col("path"), IMAGE_SUFFIXES)))
+    found = files.frame_folders(paths(spark, sf_dir).where(I.has_suffix(F.col("path"), IMAGE_SUFFIXES)))
+    return found.select("folder", F.array_join("frames", "|").alias("frames"))
 
 
 @book.add(f"WITH {PATHS} SELECT page_id FROM pth WHERE (contains(path, '/com') OR contains(path, 'net/')) AND NOT contains(path, 'blog') AND NOT contains(path, 'W40')")

@@ -10,7 +10,7 @@ from ..functions import arrays as A
 from ..functions import scores
 from ..operators import augment as G
 from ..operators import scoring
-from .common import Book
+from .common import Book, listed, listed_sql
 
 book = Book()
 
@@ -23,9 +23,9 @@ def _logits(spark, sf_dir):
 _LOGITS = TILE + ", lg AS (SELECT sample_id, label, vec[1:(sample_id % 3 + 1)::INT] AS logits FROM tile), pr AS (SELECT *, CASE WHEN len(logits) = 1 THEN [1 / (1 + exp(-logits[1]))] ELSE list_transform(logits, lambda x: exp(x - list_max(logits)) / list_sum(list_transform(logits, lambda y: exp(y - list_max(logits))))) END AS probs FROM lg)"
 
 
-@book.add(f"WITH {_LOGITS} SELECT sample_id, list_transform(probs, lambda x: round(x, 6)) AS probs FROM pr")
+@book.add(f"WITH {_LOGITS} SELECT sample_id, {listed_sql('probs')} AS probs FROM pr")
 def p07_probabilities(spark, sf_dir):
-    return _logits(spark, sf_dir).select("sample_id", F.transform(scores.probabilities(F.col("logits")), lambda x: F.round(x, 6)).alias("probs"))
+    return _logits(spark, sf_dir).select("sample_id", listed(scores.probabilities(F.col("logits"))).alias("probs"))
 
 
 @book.add(f"WITH {_LOGITS} SELECT sample_id, CASE len(probs) WHEN 2 THEN list_position(probs, list_max(probs)) - 1 WHEN 3 THEN (list_position(probs, list_max(probs)) <> 1)::INT ELSE (probs[1] > 0.5)::INT END::INT AS predicted FROM pr")
@@ -40,26 +40,26 @@ def p09_positive(spark, sf_dir):
     return probs.select("sample_id", F.round(scores.positive("probs"), 6).alias("positive"))
 
 
-@book.add(f"WITH {EVT}, e AS (SELECT event_id, (event_id % 200)::INT AS total, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 15.0 + event_id % 30 END AS fps FROM evt), s AS (SELECT *, greatest(1, round_even(coalesce(fps, 30.0) / 4, 0))::INT AS step FROM e) SELECT event_id, CASE WHEN total > 0 THEN range(0, total, step)[1:16] ELSE [] END::INT[] AS frames FROM s")
+@book.add(f"WITH {EVT}, e AS (SELECT event_id, (event_id % 200)::INT AS total, CASE WHEN event_id % 4 = 0 THEN NULL ELSE 15.0 + event_id % 30 END AS fps FROM evt), s AS (SELECT *, greatest(1, round_even(coalesce(fps, 30.0) / 4, 0))::INT AS step FROM e) SELECT event_id, {listed_sql('CASE WHEN total > 0 THEN range(0, total, step)[1:16] ELSE [] END')} AS frames FROM s")
 def p33_frame_indexes(spark, sf_dir):
     e = rolling(spark, sf_dir).select("event_id", (F.col("event_id") % 200).cast("int").alias("total"), F.when(F.col("event_id") % 4 != 0, 15.0 + F.col("event_id") % 30).alias("fps"))
-    return e.select("event_id", A.frame_indexes(F.col("total"), 16, F.col("fps"), 4.0).alias("frames"))
+    return e.select("event_id", listed(A.frame_indexes(F.col("total"), 16, F.col("fps"), 4.0)).alias("frames"))
 
 
-@book.add(f"WITH {TILE}, f AS (SELECT sample_id, vec[1:(sample_id % 12)::INT] AS v FROM tile) SELECT sample_id, CASE WHEN len(v) > 0 THEN list_transform(range(1, greatest(len(v), 9) + 1), lambda i: v[least(i, len(v))]) ELSE [] END AS padded FROM f")
+@book.add(f"WITH {TILE}, f AS (SELECT sample_id, vec[1:(sample_id % 12)::INT] AS v FROM tile) SELECT sample_id, {listed_sql('CASE WHEN len(v) > 0 THEN list_transform(range(1, greatest(len(v), 9) + 1), lambda i: v[least(i, len(v))]) ELSE [] END')} AS padded FROM f")
 def p34_pad_last(spark, sf_dir):
     v = F.slice("vec", F.lit(1), (F.col("sample_id") % 12).cast("int"))
-    return tiles(spark, sf_dir).select("sample_id", A.pad_last(v, 9).alias("padded"))
+    return tiles(spark, sf_dir).select("sample_id", listed(A.pad_last(v, 9)).alias("padded"))
 
 
-@book.add(f"WITH {TILE}, f AS (SELECT sample_id, vec[1:(sample_id % 64)::INT] AS v FROM tile) SELECT sample_id, CASE WHEN len(v) >= 40 THEN v[(len(v) - 40) // 2 + 1:(len(v) - 40) // 2 + 40] ELSE list_transform(range(1, 41), lambda i: CASE WHEN i <= len(v) THEN v[i] ELSE 0.0 END) END AS pcm, 16000 AS rate FROM f")
+@book.add(f"WITH {TILE}, f AS (SELECT sample_id, vec[1:(sample_id % 64)::INT] AS v FROM tile) SELECT sample_id, {listed_sql('CASE WHEN len(v) >= 40 THEN v[(len(v) - 40) // 2 + 1:(len(v) - 40) // 2 + 40] ELSE list_transform(range(1, 41), lambda i: CASE WHEN i <= len(v) THEN v[i] ELSE 0.0 END) END')} AS pcm, 16000 AS rate FROM f")
 def p35_waveform(spark, sf_dir):
     """Cut from the centre or padded, with the default rate (p36)."""
     v = F.slice("vec", F.lit(1), (F.col("sample_id") % 64).cast("int"))
-    return tiles(spark, sf_dir).select("sample_id", A.fit_waveform(v, 40).alias("pcm"), F.coalesce(F.lit(None).cast("int"), F.lit(16000)).alias("rate"))
+    return tiles(spark, sf_dir).select("sample_id", listed(A.fit_waveform(v, 40)).alias("pcm"), F.coalesce(F.lit(None).cast("int"), F.lit(16000)).alias("rate"))
 
 
-@book.add(f"WITH {TILE} SELECT sample_id, label, list_transform(range(1, 97), lambda i: CASE WHEN i <= 64 THEN vec[i] ELSE 0.0 END) AS pcm FROM tile WHERE sample_id % 2 = 0 OR sample_id % 5 = 0")
+@book.add(f"WITH {TILE} SELECT sample_id, label, {listed_sql('list_transform(range(1, 97), lambda i: CASE WHEN i <= 64 THEN vec[i] ELSE 0.0 END)')} AS pcm FROM tile WHERE sample_id % 2 = 0 OR sample_id % 5 = 0")
 def g15_audio_preprocessing(spark, sf_dir):
     """Waveforms not done yet are fitted and kept with their label beside those that are (k07)."""
     from .ingestion import _folder
@@ -67,32 +67,32 @@ def g15_audio_preprocessing(spark, sf_dir):
     path, audio = _folder(spark), tiles(spark, sf_dir).where("sample_id % 2 = 0 or sample_id % 5 = 0").select("sample_id", "label", A.fit_waveform(F.col("vec"), 96).alias("pcm"))
     audio.where("sample_id % 2 = 0").write.parquet(path)
     audio.join(spark.read.parquet(path), "sample_id", "left_anti").write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).select("sample_id", "label", listed(F.col("pcm")).alias("pcm"))
 
 
 def _shape():
     return [F.col(x) for x in ("px", "h", "w", "c")]
 
 
-@book.add(f"WITH {TILE} SELECT sample_id, flatten(list_transform(range(0, 8), lambda y: list_reverse(px[y * 8 + 1:y * 8 + 8]))) AS px FROM tile")
+@book.add(f"WITH {TILE} SELECT sample_id, {listed_sql('flatten(list_transform(range(0, 8), lambda y: list_reverse(px[y * 8 + 1:y * 8 + 8])))')} AS px FROM tile")
 def g03_flip_horizontal(spark, sf_dir):
-    return tiles(spark, sf_dir).select("sample_id", G.flip_horizontal(*_shape()).alias("px"))
+    return tiles(spark, sf_dir).select("sample_id", listed(G.flip_horizontal(*_shape())).alias("px"))
 
 
-@book.add(f"WITH {TILE} SELECT sample_id, flatten(list_transform(range(0, 8), lambda y: px[(7 - y) * 8 + 1:(7 - y) * 8 + 8])) AS px FROM tile")
+@book.add(f"WITH {TILE} SELECT sample_id, {listed_sql('flatten(list_transform(range(0, 8), lambda y: px[(7 - y) * 8 + 1:(7 - y) * 8 + 8]))')} AS px FROM tile")
 def g03_flip_vertical(spark, sf_dir):
-    return tiles(spark, sf_dir).select("sample_id", G.flip_vertical(*_shape()).alias("px"))
+    return tiles(spark, sf_dir).select("sample_id", listed(G.flip_vertical(*_shape())).alias("px"))
 
 
-@book.add(f"WITH {TILE} SELECT sample_id, flatten(list_transform(range(0, 4), lambda y: px[(y + (sample_id % 4)::INT) * 8 + 3:(y + (sample_id % 4)::INT) * 8 + 7])) AS px FROM tile")
+@book.add(f"WITH {TILE} SELECT sample_id, {listed_sql('flatten(list_transform(range(0, 4), lambda y: px[(y + (sample_id % 4)::INT) * 8 + 3:(y + (sample_id % 4)::INT) * 8 + 7]))')} AS px FROM tile")
 def g04_crop(spark, sf_dir):
     top = (F.col("sample_id") % 4).cast("int")
-    return tiles(spark, sf_dir).select("sample_id", G.crop(*_shape(), top, F.lit(2), F.lit(4), F.lit(5)).alias("px"))
+    return tiles(spark, sf_dir).select("sample_id", listed(G.crop(*_shape(), top, F.lit(2), F.lit(4), F.lit(5))).alias("px"))
 
 
-@book.add(f"WITH {TILE} SELECT sample_id, list_transform(px, lambda x: trunc(x * 0.6::DOUBLE)) AS px FROM tile")
+@book.add(f"WITH {TILE} SELECT sample_id, {listed_sql('list_transform(px, lambda x: trunc(x * 0.6::DOUBLE))')} AS px FROM tile")
 def g06_contrast(spark, sf_dir):
-    return tiles(spark, sf_dir).select("sample_id", G.contrast(F.col("px"), G.distortion("CC", 3)).alias("px"))
+    return tiles(spark, sf_dir).select("sample_id", listed(G.contrast(F.col("px"), G.distortion("CC", 3))).alias("px"))
 
 
 @book.add()
