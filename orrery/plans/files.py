@@ -151,9 +151,9 @@ def p05_holdout_name(spark, sf_dir):
     return samples(spark, sf_dir).select("doc_id", name.alias("name"))
 
 
-@book.add("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size FROM (SELECT doc_id, (n_chars * n_chars * 1024 + n_chars % 2 * 100)::DOUBLE AS n FROM documents)")
+@book.add("SELECT doc_id, CASE WHEN n < 1024 THEN printf('%.1f B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576) ELSE printf('%.1f GB', n / 1073741824) END AS size FROM (SELECT doc_id, (n_chars * 1003 + doc_id % 7)::DOUBLE AS n FROM documents)")
 def p30_readable_size(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", I.readable_size(F.col("n_chars") * F.col("n_chars") * 1024 + F.col("n_chars") % 2 * 100).alias("size"))
+    return table(spark, sf_dir, "documents").select("doc_id", I.readable_size(F.col("n_chars") * 1003 + F.col("doc_id") % 7).alias("size"))
 
 
 @book.add("SELECT doc_id, text FROM documents")
