@@ -217,3 +217,68 @@ def p01_label_and_probabilities(spark, sf_dir):
     p = scores.positive("probs")
     return records(spark, sf_dir).select("row_key", "aug_pass", scores.label(F.col("media_type")).alias("label"), F.round(p, 6).alias("positive"), F.round(scores.correct_probability(), 6).alias("right_class"),
                                          F.round(F.when(p.isNotNull(), scores.clip(p)), 7).alias("clipped"), (F.col("predicted") == F.col("label")).alias("correct"))
+
+
+def _by_dataset(spark, sf_dir, *names):
+    return M.metric_pack(M.ok_rows(records(spark, sf_dir)), by=["dataset_name"]).select("dataset_name", *[F.round(n, 6).alias(n) for n in names])
+
+
+@book.add(f"WITH {REC}, {_OK}, {_pack_sql('ok', by='dataset_name')} SELECT dataset_name, round(mcc, 6) AS mcc FROM pack")
+def a02_mcc(spark, sf_dir):
+    return _by_dataset(spark, sf_dir, "mcc")
+
+
+@book.add(f"WITH {REC}, {_OK}, {_pack_sql('ok', by='dataset_name')} SELECT dataset_name, round(cross_entropy, 6) AS cross_entropy FROM pack")
+def a03_cross_entropy(spark, sf_dir):
+    return _by_dataset(spark, sf_dir, "cross_entropy")
+
+
+@book.add(f"WITH {REC}, {_OK}, {_pack_sql('ok', by='dataset_name')} SELECT dataset_name, round(brier, 6) AS brier FROM pack")
+def a04_brier(spark, sf_dir):
+    return _by_dataset(spark, sf_dir, "brier")
+
+
+@book.add(f"WITH {REC}, {_OK} SELECT dataset_name, round(avg(inference_time_ms), 6) AS avg_ms FROM ok GROUP BY 1")
+def a07_mean_latency(spark, sf_dir):
+    return _by_dataset(spark, sf_dir, "avg_ms")
+
+
+@book.add(f"WITH {REC}, holed AS (SELECT sample_id, aug_pass, CASE WHEN group_key % 4 <> 0 THEN probs END AS probs FROM rec WHERE status = 'ok') SELECT b.sample_id FROM holed b JOIN holed a USING (sample_id) WHERE NOT b.aug_pass AND a.aug_pass AND b.probs IS NOT NULL AND a.probs IS NOT NULL")
+def f11_paired_rows(spark, sf_dir):
+    """Pairs of which either side has no probabilities are dropped."""
+    holed = records(spark, sf_dir).where("status = 'ok'").withColumn("probs", F.when(F.col("group_key") % 4 != 0, F.col("probs")))
+    side = lambda aug, name: holed.where(F.col("aug_pass") == aug).select("sample_id", F.col("probs").alias(name))
+    return side(False, "base").join(side(True, "aug"), "sample_id").dropna(subset=["base", "aug"]).select("sample_id")
+
+
+@book.add(f"WITH {REC} SELECT sample_id, aug_pass, round(probs[label + 1], 6) AS right_class, round(CASE label WHEN 1 THEN probs[2] ELSE 1 - probs[2] END, 6) AS right_class_binary FROM rec WHERE status = 'ok'")
+def p10_right_class(spark, sf_dir):
+    """By place in the list, and by P(synthetic)."""
+    ok = records(spark, sf_dir).where("status = 'ok'")
+    return ok.select("sample_id", "aug_pass", F.round(scores.correct_probability(), 6).alias("right_class"), F.round(scores.correct_probability(True), 6).alias("right_class_binary"))
+
+
+@book.add(f"WITH {REC} SELECT sample_id, aug_pass, status FROM rec")
+def p25_without_heavy_columns(spark, sf_dir):
+    return records(spark, sf_dir).drop("probs", "row_key").select("sample_id", "aug_pass", "status")
+
+
+@book.add(f"WITH {REC} SELECT sample_id, aug_pass, round(inference_time_ms * 16 / 16, 6) AS inference_time_ms, predicted = label AS correct, substr(repeat('failed at ' || sample_id || ' ', 20), 1, 160) AS short FROM rec")
+def p27_batch_shares(spark, sf_dir):
+    """Time of a batch over its size, the correct flag (p28) and the inner error text (p29)."""
+    from ..functions.identity import error_text
+
+    batch = F.col("inference_time_ms") * 16
+    message = F.repeat(F.concat(F.lit("failed at "), "sample_id", F.lit(" ")), 20)
+    return records(spark, sf_dir).select("sample_id", "aug_pass", F.round(batch / 16, 6).alias("inference_time_ms"), (F.col("predicted") == F.col("label")).alias("correct"), error_text(message, 160).alias("short"))
+
+
+@book.add(f"WITH {REC}, {_OK}, {_pack_sql('ok')} SELECT {_PACK} FROM pack")
+def s16_rescored_records(spark, sf_dir):
+    """Written records scored again from their file."""
+    from ..sources.tables import read_records, write_records
+    from .ingestion import _folder
+
+    path = _folder(spark)
+    write_records(records(spark, sf_dir).withColumn("run_id", F.lit("run-1")), path)
+    return M.metric_pack(M.ok_rows(read_records(spark, path))).withColumns(r6(*_R))

@@ -278,3 +278,37 @@ def k08_augmentation_cache(spark, sf_dir):
     append_augmented(first, path, "v1", 224, 224)
     append_augmented(missing_augmented(docs, path, "v1", 224, 224), path, "v1", 224, 224)
     return spark.read.parquet(path).where("version = 'v1' and height = 224").select("doc_id", "shard")
+
+
+@book.add(f"WITH {REG}, {_EXPECTED} SELECT name FROM ex ANTI JOIN ca USING (modality, name)")
+def j08_missing(spark, sf_dir):
+    return N.audit(*_expected_and_cached(spark, sf_dir)).where("state = 'missing'").select("name")
+
+
+@book.add(f"WITH {REG}, {_EXPECTED} SELECT name FROM ca ANTI JOIN ex USING (modality, name) WHERE modality IN (SELECT modality FROM ex)")
+def j09_extra(spark, sf_dir):
+    return N.audit(*_expected_and_cached(spark, sf_dir)).where("state = 'extra'").select("name")
+
+
+@book.add(f"WITH {EVT} SELECT event_id, iso_week, generator_hotkey FROM evt WHERE iso_week = '2024W02'")
+def s11_cached_week(spark, sf_dir):
+    """One week of a cached feed; the scan reads that partition alone."""
+    path = _folder(spark)
+    N.write_cache(rolling(spark, sf_dir).select("event_id", "generator_hotkey", F.lit("gasstation-feed").alias("dataset_name"), "iso_week"), path)
+    cache = spark.read.schema("event_id long, generator_hotkey string, dataset_name string, iso_week string").parquet(path)
+    return cache.where("dataset_name = 'gasstation-feed' and iso_week = '2024W02'").select("event_id", "iso_week", "generator_hotkey")
+
+
+@book.add(f"WITH {EVT}, {_LEDGER} SELECT archive FROM led WHERE iso_week = '2024W02'")
+def s15_ledger_of_a_week(spark, sf_dir):
+    path = _folder(spark)
+    N.append_ledger(_ledger(spark, sf_dir), path)
+    return spark.read.schema("archive string, iso_week string").parquet(path).where("iso_week = '2024W02'").select("archive")
+
+
+@book.add("SELECT doc_id, length(text) AS n FROM documents WHERE doc_id % 9 = 0")
+def s12_late_contents(spark, sf_dir):
+    """Rows are chosen without their contents, which are joined afterwards."""
+    docs = table(spark, sf_dir, "documents")
+    chosen = docs.select("doc_id").where("doc_id % 9 = 0")
+    return chosen.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.length("text").cast("long").alias("n"))

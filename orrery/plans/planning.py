@@ -201,3 +201,53 @@ def g01_augmentation_plan(spark, sf_dir):
     from ..operators.augment import plan
 
     return plan(samples(spark, sf_dir), "doc_id").select("doc_id", "level", F.round("crop_scale", 6).alias("crop_scale"), F.col("hflip").alias("flip"))
+
+
+@book.add(f"""WITH {REG}, e AS (SELECT CASE WHEN ordinal % 5 <> 0 THEN name END AS name, path, CASE WHEN ordinal % 3 = 0 THEN 'smell' ELSE modality END AS modality, CASE WHEN ordinal % 4 <> 0 THEN media_type END AS media_type FROM reg)
+    SELECT name, 'missing required field name' AS error FROM e WHERE name IS NULL UNION ALL SELECT name, 'missing required field media_type' FROM e WHERE media_type IS NULL
+    UNION ALL SELECT name, 'invalid modality ' || modality FROM e WHERE modality = 'smell'""")
+def f05_validation_errors(spark, sf_dir):
+    from ..sources.registry_files import problem_rows
+
+    broken = registry(spark, sf_dir).select(
+        F.when(F.col("ordinal") % 5 != 0, F.col("name")).alias("name"), "path", F.when(F.col("ordinal") % 3 == 0, "smell").otherwise(F.col("modality")).alias("modality"),
+        F.when(F.col("ordinal") % 4 != 0, F.col("media_type")).alias("media_type"))
+    return problem_rows(broken)
+
+
+def _holdouts(spark, sf_dir):
+    from ..sources.registry_files import obfuscate
+
+    none = F.lit(None).cast("array<string>")
+    full = registry(spark, sf_dir).where("ordinal % 2 = 0").withColumns({"include_paths": F.array("content_category"), "exclude_paths": none, "source": F.lit("s3")})
+    return obfuscate(full)
+
+
+_HELD = "held AS (SELECT name AS original_name, media_type || '-' || modality || '-holdout-' || substr(sha1(path || '|' || modality || '|' || media_type || '|' || source_format || '|' || content_category || '||s3'), 1, 8) AS name FROM reg WHERE ordinal % 2 = 0)"
+
+
+@book.add(f"WITH {REG}, {_HELD} SELECT name, original_name FROM held")
+def k05_holdout_mapping(spark, sf_dir):
+    """The mapping of holdout names, written and read back."""
+    from .ingestion import _folder
+
+    path = _folder(spark)
+    _holdouts(spark, sf_dir)[1].write.parquet(path)
+    return spark.read.schema("name string, original_name string").parquet(path)
+
+
+@book.add(f"WITH {REG}, {_HELD} SELECT original_name FROM held UNION ALL SELECT name FROM reg WHERE ordinal % 2 = 1")
+def j11_original_names(spark, sf_dir):
+    from ..sources.registry_files import original_names
+
+    held, mapping = _holdouts(spark, sf_dir)
+    names = held.select("name").union(registry(spark, sf_dir).where("ordinal % 2 = 1").select("name"))
+    return original_names(names, mapping).select("original_name")
+
+
+@book.add(f"WITH {REG} SELECT name, CASE WHEN source_format <> 'zip' THEN archives_per_dataset WHEN media_per_archive = -1 THEN -1 ELSE media_per_archive * archives_per_dataset END AS files FROM reg")
+def p32_files_to_fetch(spark, sf_dir):
+    """Here zip stands for single media files."""
+    from ..operators.ingest import files_to_fetch
+
+    return registry(spark, sf_dir).select("name", files_to_fetch(F.col("source_format") == "zip", F.col("media_per_archive"), F.col("archives_per_dataset")).alias("files"))
