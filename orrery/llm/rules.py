@@ -111,13 +111,11 @@ def apply_policy(ledgered: DataFrame, version: str) -> DataFrame:
 def ablations(ledgered: DataFrame, version: str) -> DataFrame:
     """(rule, failed, failed_alone, kept_without) for each rule of a policy, and how many are kept with all (``kept``)."""
     names = POLICIES[version]
-    bits = F.col("fail_bits").bitwiseAND(mask(names))
-    counts = ledgered.groupBy(bits.alias("bits")).agg(F.count("*").alias("n"))  # a row for each pattern of bits at most
-    rule = F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.lit(_BIT[n]).cast("long").alias("bit")) for n in names]))
-    one = ledgered.sparkSession.range(1).select(rule.alias("r")).select("r.*")
-    n = F.coalesce("n", F.lit(0))
-    joined = one.join(F.broadcast(counts), F.lit(True), "left")  # at most 2 to the number of rules
-    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0)).alias
-    return joined.groupBy("rule").agg(
-        total(F.col("bits").bitwiseAND(F.col("bit")) != 0)("failed"), total(F.col("bits") == F.col("bit"))("failed_alone"),
-        total(F.col("bits").bitwiseAND(F.bitwise_not(F.col("bit"))) == 0)("kept_without"), total(F.col("bits") == 0)("kept"))
+    bits, n = F.col("bits"), F.col("n")
+    masked = F.col("fail_bits").bitwiseAND(mask(names))
+    counts = ledgered.groupBy(masked.alias("bits")).agg(F.count("*").alias("n"))  # a row for each pattern of bits at most
+    total = lambda c: F.coalesce(F.sum(F.when(c, n)), F.lit(0))
+    rows = [F.struct(
+        F.lit(name).alias("rule"), total(bits.bitwiseAND(_BIT[name]) != 0).alias("failed"), total(bits == _BIT[name]).alias("failed_alone"),
+        total(bits.bitwiseAND(~_BIT[name]) == 0).alias("kept_without"), total(bits == 0).alias("kept")) for name in names]
+    return counts.agg(F.array(*rows).alias("rows")).select(F.explode("rows").alias("r")).select("r.*")
