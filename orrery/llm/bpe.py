@@ -105,19 +105,10 @@ class Codec:
 
 @lru_cache(maxsize=2)
 def _codec(ranks: bytes, pattern: str) -> Codec:
+    """Made once per worker and vocabulary."""
     return Codec(ranks, pattern)
 
 
-_made: dict[tuple, Codec] = {}
-
-
-def _worker_codec(shared: Broadcast) -> Codec:
-    key = (os.getpid(), id(shared))
-    if key not in _made:
-        _made[key] = _codec(*shared.value)
-    return _made[key]
-
-
 def _model(spark: SparkSession, ranks_path: str | None, pattern: str | None) -> Broadcast:
     with open(ranks_path or default_ranks(), "rb") as f:
         ranks = f.read(MAX_VOCABULARY_BYTES + 1)
@@ -138,7 +129,7 @@ def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, p
 
     @F.arrow_udf("struct<ids:array<int>,starts:array<int>,ends:array<int>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _worker_codec(shared)
+        codec = _codec(*shared.value)
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
             ids, starts, ends = [], [], []
             for value in batch:
@@ -159,7 +150,7 @@ def decode(coded: DataFrame, ids: str = "token_ids", ranks_path: str | None = No
 
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _worker_codec(shared)
+        codec = _codec(*shared.value)
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
             yield pa.array([codec.decode(v.values.to_numpy(zero_copy_only=False).tolist() if v.is_valid else []) for v in batch], pa.binary())
 

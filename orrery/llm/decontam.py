@@ -16,8 +16,8 @@ the names added are replaced, all others stay.
 
 from __future__ import annotations
 
-import os
 import re
+import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -79,15 +79,15 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_made: dict[tuple, Index] = {}
+_made: dict[str, Index] = {}
 
 
-def _index(shared, n: int) -> Index:
-    key = (os.getpid(), shared.id if hasattr(shared, "id") else id(shared), id(shared), n)
-    if key not in _made:
+def _index(name: str, shared, n: int) -> Index:
+    """The index of a broadcast block, made once per worker; ``name`` is the block's own."""
+    if name not in _made:
         _made.clear()
-        _made[key] = Index(shared.value, n)
-    return _made[key]
+        _made[name] = Index(shared.value, n)
+    return _made[name]
 
 
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, str]]]:
@@ -113,9 +113,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     docs = replaced(docs, ["n_words", "n_hit", "hit_spans", "hit_items", "contaminated", "_f"])
     spark = docs.sparkSession
 
-    def scan(shared):
+    def scan(block: list[tuple[str, str]]) -> Column:
+        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            index = _index(shared, n)
+            index = _index(name, shared, n)
             kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))), ("items", pa.list_(pa.string()))])
             for batch in batches:
                 rows = [index.scan(v.as_py() or "") for v in batch]
@@ -126,10 +128,10 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     found = docs
     names = []
     for k, block in enumerate(_blocks(benchmark, item, "text") or []):
-        found = found.withColumn(f"_f{k}", scan(spark.sparkContext.broadcast(block)))
+        found = found.withColumn(f"_f{k}", scan(block))
         names.append(f"_f{k}")
     if not names:
-        found, names = found.withColumn("_f0", scan(spark.sparkContext.broadcast([]))), ["_f0"]
+        found, names = found.withColumn("_f0", scan([])), ["_f0"]
     spans = F.sort_array(F.concat(*[F.col(f"{c}.spans") for c in names]))
     items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{c}.items") for c in names])))
     out = found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{names[0]}.n_words").alias("n_words"), spans.alias("hit_spans"), items.alias("hit_items"))
