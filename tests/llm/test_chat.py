@@ -33,3 +33,15 @@ def test_null_id_empty_table_and_extra_columns(spark):
     frame = spark.createDataFrame([(None, None, "user", "x", "f")], "conv_id long, turn long, role string, text string, formatted string")
     assert chat.format_chats(frame).collect()[0].formatted == "<|turn|>user<|text|>x<|end|>\n"
     assert chat.format_chats(frame.where(F.lit(False))).count() == 0
+
+
+def test_many_turns_and_long_texts(spark):
+    """A hundred times the turns within a bounded time; every turn comes back."""
+    import time
+
+    turns = [(9, k, ("user", "assistant", "assistant")[k % 3], f"t{k}é" if k else "long " * 200_000) for k in range(30_000)]
+    began = time.time()
+    r = _read(spark, turns)[9]
+    assert [(t.role, t.text) for t in r.turns] == [(role, text) for _, _, role, text in turns]
+    assert r.loss_text == "".join(text for _, _, role, text in turns if role == "assistant")
+    assert r.loss_spans[0].start == r.formatted.index("t1é") and time.time() - began < 120
