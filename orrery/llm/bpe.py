@@ -10,7 +10,7 @@ The model travels as a broadcast of the rank file's text, whose size is that of
 ``MAX_VOCABULARY_BYTES``.
 
 Defined cases: a null text counts as empty and has no tokens; a null array of ids decodes to no bytes; an id outside the
-vocabulary raises an error; columns of the same names are replaced; repeated rows stay; an empty table stays empty.
+vocabulary raises an error; very long texts are encoded whole, one at a time; columns of the same names are replaced; repeated rows stay; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -26,9 +26,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import replaced
+from .common import replaced, small_batches
 
-CACHE_PIECES = 150_000
+CACHE_PIECES = 60_000
 #: Rows of an Arrow batch whose tokens are in memory at a time.
 SLICE = 200
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -53,6 +53,23 @@ def byte_alphabet() -> list[str]:
     return [chr(b if b in shown else next(others)) for b in range(256)]
 
 
+def read_ranks(ranks: bytes) -> dict[bytes, int]:
+    return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line)}
+
+
+class ByteTable:
+    """The bytes of each id: all that decoding needs."""
+
+    def __init__(self, ranks: bytes):
+        of_bytes = read_ranks(ranks)
+        self.bytes_of: list[bytes | None] = [None] * (max(of_bytes.values(), default=-1) + 1)
+        for token, rank in of_bytes.items():
+            self.bytes_of[rank] = token
+
+    def decode(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+
 class Codec:
     """A vocabulary with its merges, made once per Python worker."""
 
@@ -61,18 +78,15 @@ class Codec:
         from tokenizers import models
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        of_bytes = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in ranks.splitlines() if line)}
-        alphabet = byte_alphabet()
+        of_bytes, alphabet = read_ranks(ranks), byte_alphabet()
         self.shown = dict(enumerate(alphabet))
         written = {token: "".join(map(alphabet.__getitem__, token)) for token in of_bytes}
         in_order = sorted(of_bytes, key=of_bytes.__getitem__)
         merges = [(written[t[:i]], written[t[i:]]) for t in in_order for i in range(1, len(t)) if t[:i] in written and t[i:] in written]
         self.model = models.BPE(vocab={written[t]: r for t, r in of_bytes.items()}, merges=merges, ignore_merges=True, cache_capacity=0)
-        of_char = {c: b for b, c in enumerate(alphabet)}
-        self.bytes_of: list[bytes | None] = [None] * (max(of_bytes.values(), default=-1) + 1)
+        self.lengths = np.zeros(max(of_bytes.values(), default=-1) + 1, np.int64)
         for token, rank in of_bytes.items():
-            self.bytes_of[rank] = bytes(map(of_char.__getitem__, written[token]))
-        self.lengths = np.array([len(b or b"") for b in self.bytes_of], dtype=np.int64)
+            self.lengths[rank] = len(token)
         self.pieces = regex.compile(pattern).findall
         self.merged: dict[str, list[int]] = {}
 
@@ -99,22 +113,24 @@ class Codec:
         char_of = np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80) - 1  # character of each byte
         return char_of[starts].astype(np.int32), (char_of[ends - 1] + 1).astype(np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _codec(ranks: bytes, pattern: str) -> Codec:
-    """Made once per worker and vocabulary."""
+    """Made once per worker and vocabulary; a worker keeps the last one."""
     return Codec(ranks, pattern)
 
 
-def _model(spark: SparkSession, ranks_path: str | None, pattern: str | None) -> Broadcast:
+@lru_cache(maxsize=1)
+def _table(ranks: bytes) -> ByteTable:
+    return ByteTable(ranks)
+
+
+def _ranks(spark: SparkSession, ranks_path: str | None) -> Broadcast:
     with open(ranks_path or default_ranks(), "rb") as f:
         ranks = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(ranks) > MAX_VOCABULARY_BYTES:
         raise ValueError("the rank file is larger than a vocabulary may be")
-    return spark.sparkContext.broadcast((ranks, pattern or default_pattern()))
+    return spark.sparkContext.broadcast(ranks)
 
 
 def _lists(values: list[np.ndarray]) -> pa.ListArray:
@@ -125,11 +141,12 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
 
 def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
     """``docs`` plus token_ids, token_starts and token_ends (arrays of int; character offsets, end exclusive)."""
-    shared = _model(docs.sparkSession, ranks_path, pattern)
+    small_batches(docs.sparkSession)
+    shared, split = _ranks(docs.sparkSession, ranks_path), pattern or default_pattern()
 
     @F.arrow_udf("struct<ids:array<int>,starts:array<int>,ends:array<int>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(*shared.value)
+        codec = _codec(shared.value, split)
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
             ids, starts, ends = [], [], []
             for value in batch:
@@ -144,14 +161,15 @@ def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, p
     return coded.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_t.ids").alias("token_ids"), F.col("_t.starts").alias("token_starts"), F.col("_t.ends").alias("token_ends"))
 
 
-def decode(coded: DataFrame, ids: str = "token_ids", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
+def decode(coded: DataFrame, ids: str = "token_ids", ranks_path: str | None = None) -> DataFrame:
     """``coded`` plus decoded (binary): the bytes of the ids, so that characters split over tokens come back whole."""
-    shared = _model(coded.sparkSession, ranks_path, pattern)
+    small_batches(coded.sparkSession)
+    shared = _ranks(coded.sparkSession, ranks_path)
 
     @F.arrow_udf("binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = _codec(*shared.value)
+        table = _table(shared.value)
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
-            yield pa.array([codec.decode(v.values.to_numpy(zero_copy_only=False).tolist() if v.is_valid else []) for v in batch], pa.binary())
+            yield pa.array([table.decode(v.values.to_numpy(zero_copy_only=False).tolist() if v.is_valid else []) for v in batch], pa.binary())
 
     return replaced(coded, ["decoded"]).withColumn("decoded", run(F.col(f"`{ids}`")))

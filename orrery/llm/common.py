@@ -1,4 +1,4 @@
-"""Helpers that several operators share: shared scratch tables, sized broadcasts, connected components."""
+"""Helpers that several operators share: shared scratch tables, batch sizes, connected components."""
 
 from __future__ import annotations
 
@@ -22,6 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+BATCH_BYTES = "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` (besides single longer rows) unless the session says otherwise; texts vary too much for a count of rows alone."""
+    name, default = "spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20)
+    if spark.conf.get(name, default) in (default, "64m", "64MB", "67108864b"):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 class Scratch:
     """Tables written below the shared folder, which cut lineage and survive lost executors."""
 
