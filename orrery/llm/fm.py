@@ -2,16 +2,20 @@
 
 A text's terms are its distinct lower-cased words and the words' first four and five characters, hashed into 2**``BITS`` places.
 The score is sigmoid(bias + sum of weights + sum over pairs of terms of <v_i, v_j>), so that two terms that are harmless
-alone can count together. Pair sums cost one pass over the terms. A text is scored in passages of ``PASSAGE`` words, and
-its score is that of its worst passage, so a long clean part cannot hide a short toxic one.
+alone can count together. Pair sums cost one pass over the terms. A text is scored in passages of ``PASSAGE`` words that overlap by
+half, and its score is that of its worst passage: a long clean part cannot hide a short toxic one, and words up to half a passage
+apart always meet.
 
-Fitting uses labelled rows of the training part only, at most ``SAMPLE`` documents chosen by hash of their id, each with at most
-``MAX_PASSAGES`` passages evenly over the text (documented bounds; scoring knows none). Executors make the terms, the driver
-runs Adagrad over the bounded sample in a fixed order, and the model (about 9 MB) is broadcast.
+Fitting uses labelled rows of the training part only, at most ``SAMPLE`` documents chosen by hash of their id, with all their
+passages (the one bound; scoring knows none). A term takes part if it, or a pair of terms that it is in, is in the
+sample's positive documents more or less often than chance would have it; all others could only be learned by heart. Each step
+leaves out a share of a passage's terms, so that no single one carries a document. Executors make the terms, the driver runs
+Adagrad over the bounded sample in a fixed order, and the model (about 9 MB) is broadcast.
 
 Defined cases: a null or empty text is one passage without terms (score from the bias alone); labels that are null are not used;
 without any labelled row the model is all zero but for its bias, with which every score is below the threshold; columns of
-the names added are replaced; repeated rows stay.
+the names added are replaced; repeated rows stay and have the same score; ties in the sample's order are settled by the id; very long
+texts are scored whole.
 """
 
 from __future__ import annotations
@@ -26,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced
+from .common import replaced, small_batches
 
-BITS, FACTORS, PASSAGE, SAMPLE, MAX_PASSAGES, EPOCHS = 18, 8, 100, 8_000, 16, 6
-#: A term takes part if it is in so many documents of the sample and its share of positive ones differs from the
-#: sample's by so many standard deviations; others could only be learned by heart.
-MIN_DOCUMENTS, MIN_DEVIATION = 8, 3.5
+BITS, FACTORS, PASSAGE, SAMPLE, EPOCHS, LEFT_OUT = 18, 8, 100, 8_000, 12, 0.3
+#: A term must be in so many documents of the sample, and its share of positive ones must differ from the sample's by so many
+#: standard deviations; so must a pair's, of terms in at least ``PAIR_SHARE`` of the documents (rarer ones meet too seldom to tell).
+MIN_DOCUMENTS, MIN_DEVIATION, PAIR_DEVIATION, PAIR_SHARE = 4, 4.0, 6.0, 0.03
 _TRIM = ".,;:!?\"'()[]{}|*#%&$"
 CACHE_WORDS = 200_000
 
@@ -54,22 +58,53 @@ class Terms:
             self.known[word] = got
         return got
 
-    def passages(self, text: str, most: int | None = None) -> list[np.ndarray]:
+    def passages(self, text: str) -> list[np.ndarray]:
+        """The terms of each passage; every word is in one, and any two within half a passage are together in one."""
         known, words = self.known.get, text.lower().split()
-        starts = range(0, max(len(words), 1), PASSAGE)
-        if most and len(starts) > most:
-            starts = [starts[k * len(starts) // most] for k in range(most)]
-        out = []
-        for at in starts:
+        halves: list[set[int]] = []
+        for at in range(0, len(words), PASSAGE // 2):
             terms: set[int] = set()
-            for word in words[at : at + PASSAGE]:
+            for word in words[at : at + PASSAGE // 2]:
                 got = known(word)
                 if got is None:
                     got = self.of(word)
                 if got:
                     terms.update(got)
-            out.append(np.array(sorted(terms), np.int32))
-        return out
+            halves.append(terms)
+        pairs = [a | b for a, b in zip(halves, halves[1:], strict=False)] or halves or [set()]
+        return [np.array(sorted(p), np.int32) for p in pairs]
+
+
+def deviations(counts: np.ndarray, hits: np.ndarray, share: float) -> np.ndarray:
+    """By how many standard deviations ``hits`` of ``counts`` differ from ``share`` of them."""
+    return np.abs(hits - counts * share) / np.sqrt(np.maximum(counts * share * (1 - share), 1e-9))
+
+
+def taking_part(bags: list[list[np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """Which terms take part, by their own share of positive documents or by that of a pair."""
+    size, share = 1 << BITS, float(labels.mean()) if len(labels) else 0.0
+    texts = [np.unique(np.concatenate(bag)) for bag in bags]
+    counts, hits = np.zeros(size), np.zeros(size)
+    for terms, label in zip(texts, labels, strict=True):
+        counts[terms] += 1
+        hits[terms] += label
+    own = deviations(counts, hits, share)
+    active = (counts >= MIN_DOCUMENTS) & (own >= MIN_DEVIATION)
+    common = np.flatnonzero(counts >= max(PAIR_SHARE * len(bags), MIN_DOCUMENTS))[: 1 << 13]  # at most 1 / PAIR_SHARE for each term of a text
+    place = np.full(size, -1)
+    place[common] = np.arange(len(common))
+    both, good = np.zeros((2, len(common), len(common)), np.float32)
+    for at in range(0, len(texts), 1000):
+        there = np.zeros((len(texts[at : at + 1000]), len(common)), np.float32)
+        for row, terms in zip(there, texts[at : at + 1000], strict=True):
+            row[(p := place[terms])[p >= 0]] = 1
+        both += there.T @ there
+        good += there.T @ (there * labels[at : at + 1000, None])
+    far = deviations(both, good, share)
+    # more than either term tells by itself
+    told = np.maximum(own[common][:, None], own[common][None, :])
+    active[common[(far >= np.maximum(PAIR_DEVIATION, told + 1)).any(1)]] = True
+    return active
 
 
 class Machine:
@@ -94,23 +129,16 @@ class Machine:
 
     def fit(self, bags: list[list[np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.1) -> Machine:
         """Adagrad on the log loss of each text's worst passage."""
-        counts, hits = np.zeros(len(self.w)), np.zeros(len(self.w))
-        for bag, label in zip(bags, labels, strict=True):
-            terms = np.unique(np.concatenate(bag))
-            counts[terms] += 1
-            hits[terms] += label
-        share = float(labels.mean()) if len(labels) else 0.0
-        deviation = np.abs(hits - counts * share) / np.sqrt(np.maximum(counts * share * (1 - share), 1e-9))
-        active = (counts >= MIN_DOCUMENTS) & (deviation >= MIN_DEVIATION)
+        active = taking_part(bags, labels)
         self.v[~active] = 0
         bags = [[t[active[t]] for t in b] for b in bags]
         rng = np.random.default_rng(7)
         sum_w, sum_v, sum_b = np.full(len(self.w), 1e-2, np.float32), np.full(self.v.shape, 1e-2, np.float32), 1e-2
         for _ in range(epochs):
             for k in rng.permutation(len(bags)):
-                logits = [self.logit(t) for t in bags[k]]
-                terms = bags[k][int(np.argmax(logits))]
-                slope = 1 / (1 + np.exp(-max(logits))) - labels[k]
+                terms = bags[k][int(np.argmax([self.logit(t) for t in bags[k]]))]
+                terms = terms[rng.random(len(terms)) >= LEFT_OUT]
+                slope = 1 / (1 + np.exp(-self.logit(terms))) - labels[k]
                 if abs(slope) < 1e-3:
                     continue
                 sum_b += slope * slope
@@ -130,16 +158,19 @@ class Machine:
 def _passages(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     terms = Terms()
     for batch in batches:
-        yield pa.array([[p.tolist() for p in terms.passages(v.as_py() or "", MAX_PASSAGES)] for v in batch], pa.list_(pa.list_(pa.int32())))
+        yield pa.array([terms.passages(v.as_py() or "") for v in batch], pa.list_(pa.list_(pa.int32())))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Machine:
     """A machine fitted to at most ``sample`` rows of ``labels`` (key, label), broadcast to find their texts in ``docs``."""
     picked = labels.where(F.col("label").isNotNull() & F.col(key).isNotNull()).select(F.col(key), F.col("label")).orderBy(F.xxhash64(key), key).limit(sample)
     chosen = docs.select(key, text).join(F.broadcast(picked), key)
-    rows = chosen.select(F.arrow_udf(_passages, "array<array<int>>")(F.col(text)).alias("p"), F.col("label").cast("int").alias("y"), F.col(key).alias("k")).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.k).encode()), r.k))
-    return Machine.empty().fit([[np.array(p, np.int32) for p in r.p] for r in rows], np.array([r.y for r in rows], np.float32))
+    small_batches(docs.sparkSession)
+    found = chosen.select(F.arrow_udf(_passages, "array<array<int>>")(F.col(text)).alias("p"), F.col("label").cast("int").alias("y"), F.col(key).alias("k")).toArrow()
+    keys, labels = found.column("k").to_pylist(), found.column("y").to_pylist()
+    order = sorted(range(len(keys)), key=lambda i: (zlib.crc32(str(keys[i]).encode()), keys[i]))
+    bags = [[p.values.to_numpy(zero_copy_only=False) for p in found.column("p")[i]] for i in order]
+    return Machine.empty().fit(bags, np.array([labels[i] for i in order], np.float32))
 
 
 _made: dict[tuple, tuple[Machine, Terms]] = {}
@@ -158,5 +189,6 @@ def score(docs: DataFrame, machine: Machine, threshold: float = 0.7, text: str =
         for batch in batches:
             yield pa.array([model.score(terms.passages(v.as_py() or "")) for v in batch], pa.float64())
 
+    small_batches(docs.sparkSession)
     docs = replaced(docs, ["score", "predicted"])
     return docs.withColumn("score", F.arrow_udf(run, "double")(F.col(f"`{text}`"))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

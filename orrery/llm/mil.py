@@ -4,12 +4,12 @@ A text is a bag of passages of ``PASSAGE`` words. Each passage is described by `
 characters, repetition, and hashed function words) and encoded as h = tanh(W x). Gated attention weighs the passages,
 a_k ~ exp(u . (tanh(V h_k) * sigmoid(U h_k))), and the weighted sum of the h_k gives the score. Only document labels are needed.
 
-Fitting uses labelled rows of the training part only: at most ``SAMPLE`` documents chosen by hash of their id, each with at
-most ``MAX_PASSAGES`` passages evenly over the text (documented bounds of the fit; scoring encodes every passage). Executors
-describe the passages, the driver runs Adam over the bounded sample, and the model (some kB) is broadcast.
+Fitting uses labelled rows of the training part only: at most ``SAMPLE`` documents chosen by hash of their id, with all their
+passages (the one bound of the fit; scoring knows none). Executors describe the passages, the driver runs Adam over the bounded sample, and the model (some kB) is broadcast.
 
 Defined cases: a null or empty text is one passage without words; labels that are null are not used; without labelled rows
-the score is that of the untrained model; columns of the names added are replaced; repeated rows stay.
+the score is that of the untrained model; columns of the names added are replaced; repeated rows stay and have the same
+score; ties in the sample's order are settled by the id; very long texts are bags of many passages.
 """
 
 from __future__ import annotations
@@ -22,21 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced
+from .common import replaced, small_batches
 
-PASSAGE, SAMPLE, MAX_PASSAGES, HIDDEN, GATE, EPOCHS = 100, 8_000, 12, 16, 8, 30
+PASSAGE, SAMPLE, HIDDEN, GATE, EPOCHS = 100, 8_000, 16, 8, 30
 HASHED = 16
 FEATURES = 14 + HASHED
 _SYMBOLS = b"#*$%&|<>"
 _PUNCTUATION = b".,;:?"
 
 
-def describe(text: str, most: int | None = None) -> np.ndarray:
+def describe(text: str) -> np.ndarray:
     """(passages, FEATURES) of a text."""
     words = text.encode().split()
     starts = range(0, max(len(words), 1), PASSAGE)
-    if most and len(starts) > most:
-        starts = [starts[k * len(starts) // most] for k in range(most)]
     out = np.zeros((len(starts), FEATURES), np.float32)
     for row, at in zip(out, starts, strict=True):
         part = words[at : at + PASSAGE]
@@ -136,20 +134,24 @@ class Attention:
 
 def _described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        yield pa.array([describe(v.as_py() or "", MAX_PASSAGES).ravel().tolist() for v in batch], pa.list_(pa.float32()))
+        yield pa.array([describe(v.as_py() or "").ravel() for v in batch], pa.list_(pa.float32()))
 
 
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", sample: int = SAMPLE) -> Attention:
     """A model fitted to at most ``sample`` rows of ``labels`` (key, label), broadcast to find their texts in ``docs``."""
     picked = labels.where(F.col("label").isNotNull() & F.col(key).isNotNull()).select(F.col(key), F.col("label")).orderBy(F.xxhash64(key), key).limit(sample)
     chosen = docs.select(key, text).join(F.broadcast(picked), key)
-    rows = chosen.select(F.arrow_udf(_described, "array<float>")(F.col(text)).alias("x"), F.col("label").cast("int").alias("y"), F.col(key).alias("k")).collect()
-    rows.sort(key=lambda r: (zlib.crc32(str(r.k).encode()), r.k))
-    return Attention.fresh().fit([np.array(r.x, np.float32).reshape(-1, FEATURES) for r in rows], np.array([r.y for r in rows], np.float32))
+    small_batches(docs.sparkSession)
+    rows = chosen.select(F.arrow_udf(_described, "array<float>")(F.col(text)).alias("x"), F.col("label").cast("int").alias("y"), F.col(key).alias("k")).toArrow()
+    keys, labels = rows.column("k").to_pylist(), rows.column("y").to_pylist()
+    order = sorted(range(len(keys)), key=lambda i: (zlib.crc32(str(keys[i]).encode()), keys[i]))
+    bags = [rows.column("x")[i].values.to_numpy(zero_copy_only=False).reshape(-1, FEATURES) for i in order]
+    return Attention.fresh().fit(bags, np.array([labels[i] for i in order], np.float32))
 
 
 def score(docs: DataFrame, model: Attention, threshold: float = 0.3, text: str = "text") -> DataFrame:
     """``docs`` plus score (double) and predicted (int)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.p)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
