@@ -16,7 +16,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s, nation = F.col("l_discount") * 10, F.col("l_suppkey"), F.col("s_nationkey").cast("string")
     base = item.select(
         "l_linenumber", "l_tax", p.alias("p"), F.lit(False).alias("aug_pass"), s.alias("group_key"),
-        F.when(s % 7 == 0, F.concat(F.lit("synthetic-image-holdout-"), s.cast("string"))).when(s % 5 == 0, F.concat(F.lit("gasstation-"), nation)).otherwise(F.concat(F.lit("public-"), nation)).alias("dataset_name"),
+        F.when(s % 7 == 0, F.concat(F.lit("synthetic-image-holdout-"), s.cast("string"))).when(s % 5 == 0, F.concat(F.lit("rolling-"), nation)).otherwise(F.concat(F.lit("public-"), nation)).alias("dataset_name"),
         F.when(F.col("l_returnflag") == "R", "synthetic").when(F.col("l_returnflag") == "A", "semisynthetic").otherwise("real").alias("media_type"),
         F.when(F.col("l_tax") > 0.075, "error").when(F.col("l_tax") == 0, "skipped").otherwise("ok").alias("status"),
         F.col("l_quantity").alias("inference_time_ms"),
@@ -33,7 +33,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 REC = """
  raw AS (
   SELECT l_linenumber, l_tax, l_discount * 10 AS p, false AS aug_pass, l_suppkey AS group_key,
-    CASE WHEN l_suppkey % 7 = 0 THEN 'synthetic-image-holdout-' || l_suppkey WHEN l_suppkey % 5 = 0 THEN 'gasstation-' || s_nationkey ELSE 'public-' || s_nationkey END AS dataset_name,
+    CASE WHEN l_suppkey % 7 = 0 THEN 'synthetic-image-holdout-' || l_suppkey WHEN l_suppkey % 5 = 0 THEN 'rolling-' || s_nationkey ELSE 'public-' || s_nationkey END AS dataset_name,
     CASE l_returnflag WHEN 'R' THEN 'synthetic' WHEN 'A' THEN 'semisynthetic' ELSE 'real' END AS media_type,
     CASE WHEN l_tax > 0.075 THEN 'error' WHEN l_tax = 0 THEN 'skipped' ELSE 'ok' END AS status, l_quantity AS inference_time_ms,
     concat_ws('::', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::INT, strftime(l_shipdate, '%Y-%m-%d')) AS row_key
@@ -71,13 +71,13 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     media = F.when(F.col("doc_id") % 3 == 0, "real").when(F.col("doc_id") % 3 == 1, "synthetic").otherwise("semisynthetic")
     modality = F.when(F.col("lang") == "en", "image").when(F.col("lang") == "fr", "video").otherwise("audio")
-    return d.select("doc_id", "text", "source", "lang", "n_chars", F.concat(F.when(F.col("source").isin("src0", "src1"), "gasstation-").otherwise(""), F.col("source"), F.lit("-"), F.col("lang")).alias("dataset_name"),
+    return d.select("doc_id", "text", "source", "lang", "n_chars", F.concat(F.when(F.col("source").isin("src0", "src1"), "rolling-").otherwise(""), F.col("source"), F.lit("-"), F.col("lang")).alias("dataset_name"),
                     media.alias("media_type"), modality.alias("modality"))
 
 
 SAMPLES = """
  smp AS (
-  SELECT doc_id, text, source, lang, n_chars, CASE WHEN source IN ('src0', 'src1') THEN 'gasstation-' ELSE '' END || source || '-' || lang AS dataset_name,
+  SELECT doc_id, text, source, lang, n_chars, CASE WHEN source IN ('src0', 'src1') THEN 'rolling-' ELSE '' END || source || '-' || lang AS dataset_name,
     CASE doc_id % 3 WHEN 0 THEN 'real' WHEN 1 THEN 'synthetic' ELSE 'semisynthetic' END AS media_type,
     CASE lang WHEN 'en' THEN 'image' WHEN 'fr' THEN 'video' ELSE 'audio' END AS modality
   FROM documents)"""

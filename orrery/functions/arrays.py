@@ -30,6 +30,16 @@ def fit_waveform(pcm: Column, n: int, start: Column | None = None) -> Column:
     return F.when(F.size(pcm) >= n, F.slice(pcm, first + 1, F.lit(n))).otherwise(F.concat(pcm, F.array_repeat(zero, F.greatest(F.lit(n) - F.size(pcm), F.lit(0)))))
 
 
+def default_rate(rate: Column) -> Column:
+    """A sampling rate, 16 kHz where none is known."""
+    return F.coalesce(rate, F.lit(16_000))
+
+
+def mono_column(pcm: Column) -> Column:
+    """Mono samples as rows of one channel."""
+    return F.transform(pcm, lambda x: F.array(x))
+
+
 def target_size(shape: list[int | None], default: tuple[int, int] = DEFAULT_SIZE) -> tuple[int, int, int | None]:
     """(height, width, frames) of a model's input shape: five dimensions hold frames second; unknown ones take the default."""
     known = lambda k: shape[k] if len(shape) > k and isinstance(shape[k], int) and shape[k] > 0 else None

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ def distortion(kind: str, level: int) -> float:
 
 
 def plan(rows: DataFrame, key: str, seed: int = 42, shares: tuple[float, ...] = LEVEL_SHARES, target: int = 224) -> DataFrame:
-    """level, crop_scale, hflip, vflip and distortion_level for each row."""
+    """level, crop_scale, hflip, vflip, distortion_kind and distortion_level for each row."""
     if abs(sum(shares) - 1) > 1e-9:
         raise ValueError("level shares must sum to 1")
     k, u = F.col(key), uniform(seed, F.col(key), "level")
@@ -45,7 +46,8 @@ def plan(rows: DataFrame, key: str, seed: int = 42, shares: tuple[float, ...] =
         level = F.when(u < below, n).otherwise(level)
     rows = rows.withColumns({"level": level, "crop_scale": F.lit(0.35) + uniform(seed, k, "crop") * 0.64, "hflip": uniform(seed, k, "hflip") < 0.5, "vflip": uniform(seed, k, "vflip") < 0.5})
     most = F.when(F.col("level") == 2, 1).when(F.col("level") >= 3, 2).otherwise(0)
-    return rows.withColumn("distortion_level", F.floor(uniform(seed, k, "distortion") * (most + 1)).cast("int"))
+    kinds = F.array(*[F.lit(x) for x in sorted(DISTORTIONS)])
+    return rows.withColumns({"distortion_kind": F.get(kinds, F.floor(uniform(seed, k, "kind") * len(DISTORTIONS)).cast("int")), "distortion_level": F.floor(uniform(seed, k, "distortion") * (most + 1)).cast("int")})
 
 
 def rows_of(px: Column, h: Column, w: Column, c: Column) -> Column:
@@ -68,6 +70,47 @@ def crop(px: Column, h: Column, w: Column, c: Column, top: Column, left: Column,
     return F.flatten(F.transform(F.slice(rows_of(px, h, w, c), top + 1, height), lambda row: F.slice(row, left * c + 1, width * c)))
 
 
+def random_crop(px: Column, h: Column, w: Column, c: Column, key: Column, height: Column, width: Column, seed: int = 42) -> Column:
+    """``height`` x ``width`` at a place drawn for the row; all frames of a sample share it by sharing the key."""
+    top, left = [F.floor(uniform(seed, key, what) * (whole - part + 1)).cast("int") for what, whole, part in (("top", h, height), ("left", w, width))]
+    return crop(px, h, w, c, top, left, height, width)
+
+
+def centre_crop(px: Column, h: Column, w: Column, c: Column, height: Column, width: Column) -> Column:
+    top, left = [F.floor((whole - part) / 2).cast("int") for whole, part in ((h, height), (w, width))]
+    return crop(px, h, w, c, top, left, height, width)
+
+
+def mask_aware_crop(px: Column, h: Column, w: Column, c: Column, mask: Column, height: Column, width: Column) -> Column:
+    """Centred on the box around the true values of ``mask`` (h x w), within the tile; without any, the tile's centre."""
+    places = F.filter(F.transform(mask, lambda m, i: F.when(m, i)), lambda i: i.isNotNull())
+
+    def first(at: Column, whole: Column, part: Column) -> Column:
+        middle = F.floor((F.array_min(at) + F.array_max(at) + 1 - part) / 2)
+        return F.coalesce(F.greatest(F.lit(0), F.least(middle, whole - part)), F.floor((whole - part) / 2)).cast("int")
+
+    top = first(F.transform(places, lambda i: F.floor(i / w)), h, height)
+    return crop(px, h, w, c, top, first(F.transform(places, lambda i: i % w), w, width), height, width)
+
+
+def geometry(planned: DataFrame, key: str, seed: int = 42) -> DataFrame:
+    """Tiles under their plan's crop and flips: none at level 0, crop and horizontal flip from 1 on, vertical flip from 2 on."""
+    changed = F.col("level") > 0
+    side = lambda n: F.when(changed, F.greatest(F.lit(1), F.round(F.col("crop_scale") * n).cast("int"))).otherwise(n)
+    rows = planned.withColumns({"_h": side(F.col("h")), "_w": side(F.col("w"))})
+    px, h, w, c = (F.col(x) for x in ("px", "h", "w", "c"))
+    rows = rows.withColumn("px", random_crop(px, h, w, c, F.col(key), F.col("_h"), F.col("_w"), seed)).drop("h", "w").withColumnsRenamed({"_h": "h", "_w": "w"})
+    rows = rows.withColumn("px", F.when(changed & F.col("hflip"), flip_horizontal(px, h, w, c)).otherwise(px))
+    return rows.withColumn("px", F.when((F.col("level") > 1) & F.col("vflip"), flip_vertical(px, h, w, c)).otherwise(px))
+
+
+def composed(planned: DataFrame, key: str, size: tuple[int, int], seed: int = 42) -> DataFrame:
+    """The whole pipeline by each row's plan: geometry, one size, then the row's distortion at its level (0: none); the plan's columns stay."""
+    shaped = geometry(planned, key, seed)
+    out = apply_kernels(shaped, [("aspect", size)], seed, own=("distortion_kind", "distortion_level"), key=key)
+    return out.join(planned.drop("h", "w", "c", "px"), key)
+
+
 def contrast(px: Column, factor: float) -> Column:
     """Each value times ``factor``, cut to a whole number."""
     return F.transform(px, lambda x: (x * factor).cast("int").cast("double"))
@@ -104,7 +147,7 @@ def saturation(tile: np.ndarray, factor: float, rng=None) -> np.ndarray:
     if tile.shape[2] != 3:
         return tile
     luma = tile @ np.array([0.299, 0.587, 0.114])
-    return np.clip(np.trunc(luma[..., None] + (tile - luma[..., None]) * factor), 0, 255)
+    return np.clip(np.trunc(np.round(luma[..., None] + (tile - luma[..., None]) * factor, 9)), 0, 255)
 
 
 def colour_noise(tile: np.ndarray, variance: float, rng: np.random.Generator) -> np.ndarray:
@@ -122,13 +165,14 @@ def blur(tile: np.ndarray, size: float, rng=None) -> np.ndarray:
     return tile
 
 
-def blocks(tile: np.ndarray, count: float, rng: np.random.Generator, width: int = 8) -> np.ndarray:
-    """Grey squares at drawn places; their number follows the tile's size."""
-    out = tile.copy()
-    for _ in range(min(tile.shape[:2]) // 256 * int(count)):
-        x, y = rng.integers(0, tile.shape[1] - width), rng.integers(0, tile.shape[0] - width)
-        out[y : y + width, x : x + width] = 128
-    return out
+def blocks(tile: np.ndarray, density: float, rng: np.random.Generator, width: int = 8, area: int = 256 * 256) -> np.ndarray:
+    """Grey squares over a share of the tile: ``density`` of them for each ``area`` pixels, wherever they fall; they may overlap."""
+    size = np.array(tile.shape[:2])
+    corners = (rng.random((round(density * size.prod() / area), 2)) * np.maximum(size - width + 1, 1)).astype(int)
+    distance = [np.arange(n)[None, :] - corners[:, k, None] for k, n in enumerate(size)]
+    down, across = [(d >= 0) & (d < width) for d in distance]
+    covered = down.T.astype(np.float32) @ across.astype(np.float32) > 0
+    return np.where(covered[..., None], 128.0, tile)
 
 
 def down_and_up(tile: np.ndarray, factor: float, rng=None) -> np.ndarray:
@@ -136,6 +180,11 @@ def down_and_up(tile: np.ndarray, factor: float, rng=None) -> np.ndarray:
     return resize(resize(tile, max(1, h // int(factor)), max(1, w // int(factor))), h, w)
 
 
+def scaled(tile: np.ndarray, factor: float, rng=None) -> np.ndarray:
+    """Contrast: each value times ``factor``, cut to a whole number."""
+    return np.trunc(tile * factor)
+
+
 def ladder(tile: np.ndarray, steps: float, rng=None, floor: int = 256) -> np.ndarray:
     """Halved ``steps`` times, but not below ``floor`` pixels on a side."""
     for _ in range(int(steps)):
@@ -161,27 +210,30 @@ def rotate(tile: np.ndarray, degrees: float, rng=None) -> np.ndarray:
     return np.where(inside[..., None], out, 0.0)
 
 
-KERNELS: dict[str, Callable] = {"CS": saturation, "GNC": colour_noise, "GB": blur, "BW": blocks, "JPEG": down_and_up, "ladder": ladder, "rotate": rotate, "aspect": crop_to_aspect}
+KERNELS: dict[str, Callable] = {"CS": saturation, "GNC": colour_noise, "GB": blur, "BW": blocks, "JPEG": down_and_up, "CC": scaled, "ladder": ladder, "halved": partial(ladder, floor=4), "rotate": rotate, "aspect": crop_to_aspect}
 
 
 def _seeded(key: object, seed: int) -> np.random.Generator:
     return np.random.default_rng(int.from_bytes(hashlib.md5(f"{seed}:{key}".encode()).digest()[:8], "big"))
 
 
-def apply_kernels(tiles: DataFrame, steps: list[tuple[str, object]], seed: int = 42) -> DataFrame:
-    """``tiles`` with the kernels of ``steps`` (name, parameter) applied in order; noise is seeded by each row's sample_id."""
+def apply_kernels(tiles: DataFrame, steps: list[tuple[str, object]], seed: int = 42, own: tuple[str, str] | None = None, key: str = "sample_id") -> DataFrame:
+    """``tiles`` with the kernels of ``steps`` (name, parameter) applied in order, then, with ``own`` (columns of a kind and a level),
+    each row's distortion of that kind at that level, none at 0; noise is seeded by each row's key."""
+    columns = [key, "h", "w", "c", "px"]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = batch[["sample_id", "h", "w", "c", "px"]].copy()
             done = []
-            for r in batch.itertuples():
-                tile, rng = np.asarray(r.px, float).reshape(r.h, r.w, r.c), _seeded(r.sample_id, seed)
-                for name, parameter in steps:
+            for r in batch.itertuples(index=False):
+                tile, rng = np.asarray(r.px, float).reshape(r.h, r.w, r.c), _seeded(getattr(r, key), seed)
+                level = getattr(r, own[1]) if own else 0
+                for name, parameter in steps + ([(getattr(r, own[0]), distortion(getattr(r, own[0]), level))] if level else []):
                     tile = KERNELS[name](tile, parameter, rng)
                 done.append(tile)
-            out["px"] = [t.ravel().tolist() for t in done]
+            out = batch[columns].copy()
+            out["px"] = [t.ravel() for t in done]
             out["h"], out["w"] = [t.shape[0] for t in done], [t.shape[1] for t in done]
             yield out
 
-    kept = tiles.select("sample_id", "h", "w", "c", "px")
-    return kept.mapInPandas(run, kept.schema)
+    return tiles.select(*columns, *(own or [])).mapInPandas(run, tiles.select(*columns).schema)

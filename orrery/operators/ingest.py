@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import identity as I
 from ..schemas import REGULAR_CACHE_CAP, WEEK_CACHE_CAP
-from .sampling import is_rolling, last_wins
+from .sampling import is_rolling, last_wins, numbered
 
 
 def with_metadata(samples: DataFrame, metadata: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -95,8 +95,7 @@ def weeks_with_fallback(spark: SparkSession, available: DataFrame, reference: st
 def next_index(existing: DataFrame, incoming: DataFrame, by: str, order: list[Column]) -> DataFrame:
     """``incoming`` with idx going on from the largest one of its group."""
     largest = existing.groupBy(F.col(by).alias("_by")).agg(F.max("idx").alias("_max"))
-    numbered = incoming.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
-    return numbered.join(largest, F.col(by) == F.col("_by"), "left").withColumn("idx", (F.coalesce("_max", F.lit(-1)) + F.col("_rn")).cast("long")).drop("_rn", "_max", "_by")
+    return numbered(incoming, by, order, "_rn").join(largest, F.col(by) == F.col("_by"), "left").withColumn("idx", (F.coalesce("_max", F.lit(-1)) + F.col("_rn")).cast("long")).drop("_rn", "_max", "_by")
 
 
 def evict(rows: DataFrame, by: str = "iso_week", cap: int = WEEK_CACHE_CAP, drop: str = "oldest") -> DataFrame:

@@ -1,13 +1,13 @@
 """Weighted evaluation metrics over run records, as aggregate expressions.
 
 Rows are records with label, predicted, probs, correct and inference_time_ms; a row of weight w counts as w copies. One
-aggregation gives the sums, and the metrics are expressions over them, so every metric pack is one scan and one shuffle,
-and an empty input still gives its row of defaults.
+aggregation gives the sums, and the metrics are expressions over them; exact percentiles take two more scans that count values.
+An empty input still gives its row of defaults.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -57,22 +57,65 @@ def accuracy(weight: Column | None = None) -> Column:
     return F.coalesce(F.try_divide(F.sum(F.col("correct").cast("double") * w), F.sum(w)), F.lit(0.0)).alias("accuracy")
 
 
-def latency(approximate: bool = False) -> list[Column]:
-    """Mean and 95th percentile (interpolated; ``approximate`` for very large runs) of inference_time_ms."""
-    p95 = F.percentile_approx("inference_time_ms", 0.95, 10_000).cast("double") if approximate else F.percentile("inference_time_ms", 0.95)
-    return [F.coalesce(F.avg("inference_time_ms"), F.lit(0.0)).alias("avg_ms"), F.coalesce(p95, F.lit(0.0)).alias("p95_ms")]
+#: Up to so many rows of a group, a quantile takes all its values; beyond, only those near the rank wanted.
+SMALL_GROUP, NEAR = 10_000, 1e-4
+
+
+def _range(value: str, q: float) -> Column:
+    """(n, low, high) of a group: bounds that the values next to the quantile lie between."""
+    # the approximation is off by at most n / 100,000 ranks, a tenth of NEAR
+    near = F.percentile_approx(value, F.array(F.lit(max(0.0, q - NEAR)), F.lit(min(1.0, q + NEAR))), 100_000)
+    small = F.count(value) <= SMALL_GROUP
+    return F.struct(F.count(value).alias("n"), F.when(small, F.min(value)).otherwise(near[0]).alias("low"), F.when(small, F.max(value)).otherwise(near[1]).alias("high"))
+
+
+def quantile(rows: DataFrame, value: str, q: float, by: list[str] | None = None, name: str = "quantile") -> DataFrame:
+    """The exact, linearly interpolated quantile of each group of ``by`` (null where a group has no values), as (by, name).
+
+    Values are counted, those below the range of the rank wanted as one; the ordered window sees only the counts within
+    it, so no task holds a group's values."""
+    by = by or []
+    bounds = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(_range(value, q).alias("_r"))
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    near = rows.join(bounds if by else F.broadcast(bounds), same).where(F.col(value) <= F.col("_r.high"))  # one row of bounds, or Spark's choice
+    counts = near.groupBy(*by, "_r", F.when(F.col(value) >= F.col("_r.low"), F.col(value)).alias("_v")).agg(F.count("*").alias("_c"))
+    upto = F.sum("_c").over(Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first()))
+    at = F.lit(q) * (F.col("_r.n") - 1)
+    first, second = [F.min(F.when(F.col("_upto") > F.floor(at) + k, F.col("_v"))) for k in (0, 1)]
+    picked = counts.withColumn("_upto", upto).groupBy(*by).agg(first.alias("_a"), second.alias("_b"), F.max(at - F.floor(at)).alias("_f"))
+    return picked.select(*by, (F.col("_a") + F.when(F.col("_f") > 0, F.col("_f") * (F.col("_b") - F.col("_a"))).otherwise(0.0)).alias(name))
+
+
+def _with_quantile(sums: DataFrame, rows: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """``sums`` with the 95th percentile of ``value`` beside them, null where there is none."""
+    found = quantile(rows, value, 0.95, by, name)
+    if not by:
+        return sums.join(F.broadcast(found.agg(F.max(name).alias(name))), F.lit(True))  # a row each
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return sums.join(found.select(*[F.col(c).alias(f"_{c}") for c in by], name), same, "left").drop(*[f"_{c}" for c in by])
+
+
+def latency(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Mean and 95th percentile (interpolated) of inference_time_ms, 0 where there is none."""
+    means = rows.groupBy(*(by or [])).agg(F.coalesce(F.avg("inference_time_ms"), F.lit(0.0)).alias("avg_ms"))
+    return _with_quantile(means, rows, "inference_time_ms", "p95_ms", by).withColumn("p95_ms", F.coalesce("p95_ms", F.lit(0.0)))
 
 
 def metric_pack(rows: DataFrame, weight: Column | None = None, by: list[str] | None = None, agg: str = "geomean") -> DataFrame:
     """n, accuracy, latencies, mcc, cross_entropy, brier and score; one row, or one for each group of ``by``."""
-    sums = rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.sum(F.when(F.coalesce(F.size("probs"), F.lit(0)) <= 0, 1).otherwise(0)).alias("missing_probs"), accuracy(weight), *latency(), *confusion(weight), *losses(weight))
+    sums = rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.sum(F.when(F.coalesce(F.size("probs"), F.lit(0)) <= 0, 1).otherwise(0)).alias("missing_probs"), accuracy(weight), F.coalesce(F.avg("inference_time_ms"), F.lit(0.0)).alias("avg_ms"), *confusion(weight), *losses(weight))
+    sums = _with_quantile(sums, rows, "inference_time_ms", "p95_ms", by).withColumn("p95_ms", F.coalesce("p95_ms", F.lit(0.0)))
     out = sums.withColumn("mcc", mcc()).withColumn("score", F.when(F.col("n") > 0, score(agg)).otherwise(0.0))
     return out.drop("tp", "tn", "fp", "fn").withColumn("missing_probs", F.coalesce("missing_probs", F.lit(0)).cast("long"))
 
 
 def provenance(name: Column, rolling: str = ROLLING_PATTERN, holdout: str = HOLDOUT_PATTERN) -> Column:
     low = F.lower(F.coalesce(name, F.lit("")))
-    return F.when(F.contains(low, F.lit(holdout)), "holdout").when(F.contains(low, F.lit(rolling)), "gasstation").otherwise("public")
+    return F.when(F.contains(low, F.lit(holdout)), "holdout").when(F.contains(low, F.lit(rolling)), "rolling").otherwise("public")
 
 
 def composition(shares: dict[str, float]) -> dict[str, float]:
@@ -114,7 +157,7 @@ def paired_degradation(records: DataFrame, binary: bool = False) -> DataFrame:
     base = ok_rows(records).select("sample_id", p.alias("base"))
     augmented = ok_rows(records, True).select("sample_id", p.alias("aug"))
     drops = base.join(augmented, "sample_id").where("base is not null and aug is not null").select((F.col("base") - F.col("aug")).alias("drop"))
-    return drops.agg(F.count("*").alias("pairs"), F.avg("drop").alias("mean_drop"), F.percentile("drop", 0.95).alias("p95_drop"))
+    return _with_quantile(drops.agg(F.count("*").alias("pairs"), F.avg("drop").alias("mean_drop")), drops, "drop", "p95_drop")
 
 
 def robustness(records: DataFrame, aug_weight: float = 0.3) -> DataFrame:

@@ -34,16 +34,17 @@ def seeded_sample(rows: DataFrame, by: str, key: str, cap: int | Column, seed: i
     sizes = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n")).where(f"_n > {prefilter_above}")
     if not sizes.isEmpty():
         share = F.coalesce(2 * cap / F.col("_n"), F.lit(1.0))
-        sized = marked.join(F.broadcast(sizes), F.col(by).eqNullSafe(F.col("_by")), "left")  # one row for each large group
+        sized = marked.join(sizes, F.col(by).eqNullSafe(F.col("_by")), "left")  # one row for each large group; Spark broadcasts what is small
         near = sized.where(F.conv(F.substring("_draw", 1, 8), 16, 10).cast("double") / 2.0**32 < share)
         kept = near.groupBy(F.col(by).alias("_b2")).agg(F.count("*").alias("_k"), F.max(cap).alias("_c")).where("_k >= _c").select("_b2")
-        whole = sized.join(F.broadcast(kept), F.col(by).eqNullSafe(F.col("_b2")), "left_anti")
-        marked = near.join(F.broadcast(kept), F.col(by).eqNullSafe(F.col("_b2")), "left_semi").unionByName(whole).drop("_by", "_n")
+        whole = sized.join(kept, F.col(by).eqNullSafe(F.col("_b2")), "left_anti")
+        marked = near.join(kept, F.col(by).eqNullSafe(F.col("_b2")), "left_semi").unionByName(whole).drop("_by", "_n")
     return ranked(marked, [by], [F.col("_draw"), F.col(key)]).where(F.col("rn") <= cap).drop("_draw")
 
 
-def is_rolling(name: Column) -> Column:
-    return F.contains(F.lower(name), F.lit(ROLLING_PATTERN))
+def is_rolling(name: Column, pattern: str = ROLLING_PATTERN) -> Column:
+    """Whether a dataset is fed week by week, which its name tells."""
+    return F.contains(F.lower(name), F.lit(pattern))
 
 
 def sampling_plan(registry: DataFrame, target: int, weight: float = ROLLING_WEIGHT) -> DataFrame:
@@ -84,6 +85,16 @@ def discover(registry: DataFrame, modality: str, mode: str = "full", rolling_onl
     return rows if mode_first else apply_mode(rows, mode)
 
 
+def sources(registry: DataFrame, holdouts: DataFrame, rolling_only: bool = False, no_rolling: bool = False, holdouts_only: bool = False) -> DataFrame:
+    """The datasets that a run takes: a run of rolling ones skips the holdouts, one of holdouts takes nothing else."""
+    if rolling_only and (no_rolling or holdouts_only):
+        raise ValueError("a run can't be of rolling datasets and without them")
+    if rolling_only:
+        return registry.where(is_rolling(F.col("name")))
+    rows = holdouts if holdouts_only else registry.unionByName(holdouts, allowMissingColumns=True)
+    return rows.where(~is_rolling(F.col("name"))) if no_rolling else rows
+
+
 def name_matches(patterns: list[str], *columns: str) -> Column:
     """Any pattern is a substring of any of the columns, case ignored; no patterns match all."""
     if not patterns:
@@ -96,11 +107,26 @@ def name_matches(patterns: list[str], *columns: str) -> Column:
     return hit
 
 
+def numbered(rows: DataFrame, by: str, order: list[Column], name: str = "rn") -> DataFrame:
+    """``rows`` with their place in their group, from 1 on, without a group in one task: rows are sorted over range partitions and
+    written once; a place is that in its partition after the counts of the partitions before. Rows that tie in ``order`` take any order."""
+    from ..sources.tables import kept
+
+    ranged = rows.repartitionByRange(F.col(by), *order).sortWithinPartitions(F.col(by), *order)
+    ranged = kept(ranged.withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()}))
+    parts = ranged.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_by").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition of a group
+    parts = parts.select("_by", "_p", (before - F.col("_first") + 1).alias("_shift"))
+    out = ranged.join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
+    return out.withColumn(name, (F.col("_at") + F.col("_shift")).cast("long")).drop("_at", "_part", "_by", "_p", "_shift")
+
+
 def batches(rows: DataFrame, by: str, order: list[Column], size: int) -> DataFrame:
     """batch_id from 1 on and batch_size for each group, by ``order``."""
-    numbered = ranked(rows, [by], order)
-    batch = F.ceil(F.col("rn") / size).cast("long")
-    return numbered.withColumn("batch_id", batch).withColumn("batch_size", F.count("*").over(Window.partitionBy(by, "batch_id")))
+    placed = numbered(rows, by, order)
+    totals = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_all"))
+    placed = placed.withColumn("batch_id", F.ceil(F.col("rn") / size).cast("long")).join(totals, F.col(by).eqNullSafe(F.col("_by")))
+    return placed.withColumn("batch_size", F.least(F.lit(size).cast("long"), F.col("_all") - (F.col("batch_id") - 1) * size)).drop("_by", "_all")
 
 
 def shard_quota(shards: DataFrame, target: int, seed: int = 42) -> DataFrame:

@@ -1,8 +1,8 @@
 """The registered queries of the engine, each with the SQL that says the same."""
 
-from . import evaluation, files, ingestion, media, planning, streams
+from . import evaluation, files, ingestion, media, planning, sources, streams
 
-BOOKS = (evaluation.book, planning.book, files.book, ingestion.book, media.book, streams.book)
+BOOKS = (evaluation.book, planning.book, files.book, ingestion.book, media.book, sources.book, streams.book)
 
 
 def queries() -> dict:

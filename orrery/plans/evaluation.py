@@ -11,9 +11,9 @@ from ..operators import metrics as M
 from .common import Book, r6
 
 book = Book()
-SHARES = {"public": 0.5, "holdout": 0.3, "gasstation": 0.2}
+SHARES = {"public": 0.5, "holdout": 0.3, "rolling": 0.2}
 _OK = " ok AS (SELECT * FROM rec WHERE status = 'ok' AND NOT coalesce(aug_pass, false)), aug AS (SELECT * FROM rec WHERE status = 'ok' AND aug_pass)"
-_PROV = "CASE WHEN contains(lower(coalesce(dataset_name, '')), '-holdout-') THEN 'holdout' WHEN contains(lower(coalesce(dataset_name, '')), 'gasstation') THEN 'gasstation' ELSE 'public' END"
+_PROV = "CASE WHEN contains(lower(coalesce(dataset_name, '')), '-holdout-') THEN 'holdout' WHEN contains(lower(coalesce(dataset_name, '')), 'rolling') THEN 'rolling' ELSE 'public' END"
 
 
 def _pack_sql(source: str, weight: str = "1.0", by: str = "", agg: str = "geomean") -> str:
@@ -77,7 +77,7 @@ _WEIGHTS = f"""
 
 @book.add(f"WITH {REC}, {_OK}, {_WEIGHTS} SELECT provenance, n, round(realized, 6) AS realized, round(weight, 6) AS weight FROM weights")
 def a10_provenance_weights(spark, sf_dir):
-    return M.provenance_weights(M.ok_rows(records(spark, sf_dir)), M.composition({"holdout": 0.3, "gasstation": 0.2})).withColumns(r6("realized", "weight"))
+    return M.provenance_weights(M.ok_rows(records(spark, sf_dir)), M.composition({"holdout": 0.3, "rolling": 0.2})).withColumns(r6("realized", "weight"))
 
 
 @book.add(f"WITH {REC}, {_OK}, {_WEIGHTS}, w AS (SELECT ok.*, weight FROM ok JOIN weights ON {_PROV} = provenance), {_pack_sql('w', 'weight')} SELECT {_PACK} FROM pack")
@@ -102,10 +102,10 @@ def a06_three_accuracies(spark, sf_dir):
     return w.agg(M.accuracy().alias("plain"), M.accuracy(holdout).alias("holdout_weighted"), M.accuracy(F.col("weight")).alias("composed")).withColumns(r6("plain", "holdout_weighted", "composed"))
 
 
-@book.add(f"""WITH {REC}, {_OK}, c AS (SELECT {_PROV} AS provenance, count(*) AS n FROM ok WHERE dataset_name LIKE 'public%' GROUP BY 1)
-    SELECT k.provenance, coalesce(n, 0) AS n, round(coalesce(n / (SELECT sum(n) FROM c), 0.0), 6) AS realized FROM (VALUES ('public'), ('holdout'), ('gasstation')) k(provenance) LEFT JOIN c USING (provenance)""")
+@book.add(f"""WITH {REC}, {_OK}, c AS (SELECT {_PROV} AS provenance, count(*) AS n FROM ok GROUP BY 1)
+    SELECT k.provenance, coalesce(n, 0) AS n, round(coalesce(n / (SELECT sum(n) FROM c), 0.0), 6) AS realized FROM (VALUES ('public'), ('holdout'), ('rolling')) k(provenance) LEFT JOIN c USING (provenance)""")
 def a09_realized_composition(spark, sf_dir):
-    return M.realized_composition(M.ok_rows(records(spark, sf_dir)).where("dataset_name like 'public%'"), spark).withColumns(r6("realized"))
+    return M.realized_composition(M.ok_rows(records(spark, sf_dir)), spark).withColumns(r6("realized"))
 
 
 @book.add(f"""WITH {REC}, {_OK}, d AS (SELECT b.probs[b.label + 1] - a.probs[a.label + 1] AS drop FROM ok b JOIN aug a USING (sample_id))
@@ -123,7 +123,7 @@ def a14_robustness_and_blend(spark, sf_dir):
 
 @book.add(f"WITH {REC}, {_OK} SELECT media_type, round(avg(inference_time_ms), 6) AS avg_ms, round(quantile_cont(inference_time_ms, 0.95), 6) AS p95_ms FROM ok GROUP BY media_type")
 def a08_latency(spark, sf_dir):
-    return M.ok_rows(records(spark, sf_dir)).groupBy("media_type").agg(*M.latency()).withColumns(r6("avg_ms", "p95_ms"))
+    return M.latency(M.ok_rows(records(spark, sf_dir)), ["media_type"]).withColumns(r6("avg_ms", "p95_ms"))
 
 
 _PER_DATASET = "SELECT dataset_name, count(*) FILTER (correct) AS correct, count(*) AS total, count(*) FILTER (predicted = 0) AS predicted_real, count(*) FILTER (predicted = 1) AS predicted_synthetic, round(count(*) FILTER (correct) / count(*), 6) AS accuracy FROM ok GROUP BY dataset_name"
@@ -276,9 +276,8 @@ def p27_batch_shares(spark, sf_dir):
 @book.add(f"WITH {REC}, {_OK}, {_pack_sql('ok')} SELECT {_PACK} FROM pack")
 def s16_rescored_records(spark, sf_dir):
     """Written records scored again from their file."""
-    from ..sources.tables import read_records, write_records
-    from .ingestion import _folder
+    from ..sources.tables import new_folder, read_records, write_records
 
-    path = _folder(spark)
+    path = new_folder(spark)
     write_records(records(spark, sf_dir).withColumn("run_id", F.lit("run-1")), path)
     return M.metric_pack(M.ok_rows(read_records(spark, path))).withColumns(r6(*_R))

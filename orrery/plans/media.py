@@ -10,6 +10,8 @@ from ..functions import arrays as A
 from ..functions import scores
 from ..operators import augment as G
 from ..operators import scoring
+from ..sources.shards import unwrap
+from ..sources.tables import new_folder
 from .common import Book, listed, listed_sql
 
 book = Book()
@@ -52,19 +54,20 @@ def p34_pad_last(spark, sf_dir):
     return tiles(spark, sf_dir).select("sample_id", listed(A.pad_last(v, 9)).alias("padded"))
 
 
-@book.add(f"WITH {TILE}, f AS (SELECT sample_id, vec[1:(sample_id % 64)::INT] AS v FROM tile) SELECT sample_id, {listed_sql('CASE WHEN len(v) >= 40 THEN v[(len(v) - 40) // 2 + 1:(len(v) - 40) // 2 + 40] ELSE list_transform(range(1, 41), lambda i: CASE WHEN i <= len(v) THEN v[i] ELSE 0.0 END) END')} AS pcm, 16000 AS rate FROM f")
+@book.add(f"WITH {TILE}, f AS (SELECT sample_id, vec[1:(sample_id % 64)::INT] AS v FROM tile) SELECT sample_id, {listed_sql('CASE WHEN len(v) >= 40 THEN v[(len(v) - 40) // 2 + 1:(len(v) - 40) // 2 + 40] ELSE list_transform(range(1, 41), lambda i: CASE WHEN i <= len(v) THEN v[i] ELSE 0.0 END) END')} AS pcm, CASE WHEN sample_id % 3 = 0 THEN 16000 ELSE 8000 + (sample_id % 3)::INT * 100 END AS rate, len(v) AS samples, 1 AS channels FROM f")
 def p35_waveform(spark, sf_dir):
-    """Cut from the centre or padded, with the default rate (p36)."""
-    v = F.slice("vec", F.lit(1), (F.col("sample_id") % 64).cast("int"))
-    return tiles(spark, sf_dir).select("sample_id", listed(A.fit_waveform(v, 40)).alias("pcm"), F.coalesce(F.lit(None).cast("int"), F.lit(16000)).alias("rate"))
+    """Cut from the centre or padded; mono samples as one column each, with the default rate where the shard's struct has none (p36)."""
+    rate = F.when(F.col("sample_id") % 3 != 0, F.lit(8000) + (F.col("sample_id") % 3).cast("int") * 100)
+    shards = tiles(spark, sf_dir).withColumn("audio", F.struct(F.slice("vec", F.lit(1), (F.col("sample_id") % 64).cast("int")).alias("array"), rate.alias("sampling_rate")))
+    media, found = unwrap(shards.schema, "audio")
+    columns = shards.select("sample_id", media.alias("v"), A.default_rate(found).alias("rate")).withColumn("column", A.mono_column(F.col("v")))
+    return columns.select("sample_id", listed(A.fit_waveform(F.col("v"), 40)).alias("pcm"), "rate", F.size("column").cast("long").alias("samples"), F.coalesce(F.size(F.get("column", F.lit(0))), F.lit(1)).cast("int").alias("channels"))
 
 
-@book.add(f"WITH {TILE} SELECT sample_id, label, {listed_sql('list_transform(range(1, 97), lambda i: CASE WHEN i <= 64 THEN vec[i] ELSE 0.0 END)')} AS pcm FROM tile WHERE sample_id % 2 = 0 OR sample_id % 5 = 0")
+@book.add(f"WITH {TILE} SELECT sample_id, label, {listed_sql('list_transform(range(1, 97), lambda i: CASE WHEN i <= 64 THEN vec[i] ELSE 0.0 END)')} AS pcm FROM tile")
 def g15_audio_preprocessing(spark, sf_dir):
-    """Waveforms not done yet are fitted and kept with their label beside those that are (k07)."""
-    from .ingestion import _folder
-
-    path, audio = _folder(spark), tiles(spark, sf_dir).where("sample_id % 2 = 0 or sample_id % 5 = 0").select("sample_id", "label", A.fit_waveform(F.col("vec"), 96).alias("pcm"))
+    """Waveforms not done yet (here those of odd ids) are fitted and kept with their label beside those that are (k07)."""
+    path, audio = new_folder(spark), tiles(spark, sf_dir).select("sample_id", "label", A.fit_waveform(F.col("vec"), 96).alias("pcm"))
     audio.where("sample_id % 2 = 0").write.parquet(path)
     audio.join(spark.read.parquet(path), "sample_id", "left_anti").write.mode("append").parquet(path)
     return spark.read.parquet(path).select("sample_id", "label", listed(F.col("pcm")).alias("pcm"))
@@ -95,9 +98,18 @@ def g06_contrast(spark, sf_dir):
     return tiles(spark, sf_dir).select("sample_id", listed(G.contrast(F.col("px"), G.distortion("CC", 3))).alias("px"))
 
 
-@book.add()
+_Y, _X = "greatest(0.0, least(4.0, (y + 0.5) * 5 / 4 - 0.5))", "greatest(0.0, least(7.0, (x + 0.5) * 8 / 6 - 0.5))"
+_AT = "px[(1 + {}) * 8 + {} + 1]"
+_BILINEAR = f"""flatten(list_transform(range(0, 4), lambda y: list_transform(range(0, 6), lambda x:
+    ({_AT.format(f'floor({_Y})::INT', f'floor({_X})::INT')} * (1 - ({_X} - floor({_X}))) + {_AT.format(f'floor({_Y})::INT', f'least(7, floor({_X})::INT + 1)')} * ({_X} - floor({_X}))) * (1 - ({_Y} - floor({_Y})))
+    + ({_AT.format(f'least(4, floor({_Y})::INT + 1)', f'floor({_X})::INT')} * (1 - ({_X} - floor({_X}))) + {_AT.format(f'least(4, floor({_Y})::INT + 1)', f'least(7, floor({_X})::INT + 1)')} * ({_X} - floor({_X}))) * ({_Y} - floor({_Y})))))"""
+
+
+@book.add(f"WITH {TILE} SELECT sample_id, 4 AS h, 6 AS w, {listed_sql(f'list_transform({_BILINEAR}, lambda v: round(v::DOUBLE, 3))')} AS px FROM tile")
 def g05_aspect_and_resize(spark, sf_dir):
-    return G.apply_kernels(tiles(spark, sf_dir), [("aspect", (4, 6))])
+    """Cut from the centre to 5 x 8, the aspect wanted, then resized."""
+    out = G.apply_kernels(tiles(spark, sf_dir), [("aspect", (4, 6))])
+    return out.select("sample_id", "h", "w", listed(F.transform("px", lambda x: F.round(x, 3))).alias("px"))
 
 
 @book.add()
@@ -105,12 +117,95 @@ def g08_colour_noise(spark, sf_dir):
     return G.apply_kernels(tiles(spark, sf_dir), [("GNC", G.distortion("GNC", 3))])
 
 
+_U = "('0x' || substr(md5('42:{}:' || sample_id), 1, 8))::BIGINT / 4294967296.0"
+_DRAWS = f"dr AS (SELECT *, {_U.format('top')} AS ut, {_U.format('left')} AS ul, {_U.format('level')} AS uv, {_U.format('crop')} AS uc, {_U.format('hflip')} AS uh, {_U.format('vflip')} AS uf FROM tile)"
+_CROPPED = "flatten(list_transform(range(0, ch), lambda y: px[(y + ty) * 8 + tx + 1:(y + ty) * 8 + tx + cw]))"
+
+
+@book.add(f"WITH {TILE}, {_DRAWS}, p AS (SELECT *, 5 AS ch, 6 AS cw, floor(ut * 4)::INT AS ty, floor(ul * 3)::INT AS tx FROM dr) SELECT sample_id, {listed_sql(_CROPPED)} AS px FROM p")
+def g04_random_crop(spark, sf_dir):
+    return tiles(spark, sf_dir).select("sample_id", listed(G.random_crop(*_shape(), F.col("sample_id"), F.lit(5), F.lit(6))).alias("px"))
+
+
+@book.add(f"WITH {TILE}, p AS (SELECT *, 5 AS ch, 6 AS cw, 1 AS ty, 1 AS tx FROM tile) SELECT sample_id, {listed_sql(_CROPPED)} AS px FROM p")
+def g04_centre_crop(spark, sf_dir):
+    return tiles(spark, sf_dir).select("sample_id", listed(G.centre_crop(*_shape(), F.lit(5), F.lit(6))).alias("px"))
+
+
+@book.add(f"""WITH {TILE}, o AS (SELECT *, list_filter(range(0, 64), lambda i: px[i + 1] > 110) AS on_ FROM tile), m AS (SELECT *, (list_min(on_) // 8)::INT AS y0, (list_max(on_) // 8)::INT AS y1,
+      list_min(list_transform(on_, lambda i: i % 8))::INT AS x0, list_max(list_transform(on_, lambda i: i % 8))::INT AS x1 FROM o),
+    p AS (SELECT *, 5 AS ch, 6 AS cw, CASE WHEN y0 IS NULL THEN 1 ELSE greatest(0, least((y0 + y1 + 1 - 5) // 2, 3)) END AS ty, CASE WHEN x0 IS NULL THEN 1 ELSE greatest(0, least((x0 + x1 + 1 - 6) // 2, 2)) END AS tx FROM m)
+    SELECT sample_id, {listed_sql(_CROPPED)} AS px FROM p""")
+def g04_mask_aware_crop(spark, sf_dir):
+    """Around the bright part of a tile, which stands for a mask."""
+    bright = F.transform("px", lambda x: x > 110)
+    return tiles(spark, sf_dir).select("sample_id", listed(G.mask_aware_crop(*_shape(), bright, F.lit(5), F.lit(6))).alias("px"))
+
+
+@book.add(f"""WITH {TILE}, {_DRAWS}, s AS (SELECT *, CASE WHEN uv < 0.25 THEN 0 WHEN uv < 0.55 THEN 1 WHEN uv < 0.85 THEN 2 ELSE 3 END AS level, greatest(1, round((0.35 + uc * 0.64) * 8)::INT) AS side FROM dr),
+    c AS (SELECT *, CASE WHEN level = 0 THEN 8 ELSE side END AS ch, CASE WHEN level = 0 THEN 8 ELSE side END AS cw FROM s),
+    q AS (SELECT *, floor(ut * (9 - ch))::INT AS ty, floor(ul * (9 - cw))::INT AS tx FROM c), p AS (SELECT *, {_CROPPED} AS cut FROM q),
+    h AS (SELECT *, CASE WHEN uh < 0.5 AND level > 0 THEN flatten(list_transform(range(0, ch), lambda y: list_reverse(cut[y * cw + 1:y * cw + cw]))) ELSE cut END AS px1 FROM p),
+    v AS (SELECT *, CASE WHEN uf < 0.5 AND level > 1 THEN flatten(list_transform(range(0, ch), lambda y: px1[(ch - 1 - y) * cw + 1:(ch - 1 - y) * cw + cw])) ELSE px1 END AS px2 FROM h)
+    SELECT sample_id, ch AS h, cw AS w, level, {listed_sql('px2')} AS px FROM v""")
+def g13_geometry_by_plan(spark, sf_dir):
+    """The plan's crop and flips: level 0 leaves a tile as it is, higher ones crop by the drawn scale and flip."""
+    return G.geometry(G.plan(tiles(spark, sf_dir), "sample_id"), "sample_id").select("sample_id", "h", "w", "level", listed(F.col("px")).alias("px"))
+
+
 @book.add()
 def g13_composed_pipeline(spark, sf_dir):
-    """Crop, flip and contrast as expressions by each row's plan, then blur and a resolution step in one Arrow job."""
-    planned = G.plan(tiles(spark, sf_dir), "sample_id")
-    flipped = planned.withColumn("px", F.when(F.col("hflip"), G.flip_horizontal(*_shape())).otherwise(F.col("px")))
-    return G.apply_kernels(flipped.withColumn("px", G.contrast(F.col("px"), G.distortion("CC", 1))), [("GB", G.distortion("GB", 1)), ("JPEG", G.distortion("JPEG", 1))])
+    """Crop and flips as expressions by each row's plan, resized to one size, then its own distortion at its own level in one Arrow job."""
+    return G.composed(G.plan(tiles(spark, sf_dir), "sample_id"), "sample_id", (8, 8)).select("sample_id", "h", "w", "c", "px", "level", "distortion_kind", "distortion_level")
+
+
+@book.add("SELECT kind, level::INT AS level, value::DOUBLE AS value, n FROM (VALUES " + ", ".join(f"('{k}', {n}, {v})" for k, vs in G.DISTORTIONS.items() for n, v in enumerate(vs, 1)) + f") d(kind, level, value) LEFT JOIN (WITH {TILE}, {_DRAWS} SELECT ['BW', 'CC', 'CS', 'GB', 'GNC', 'JPEG'][floor({_U.format('kind')} * 6)::INT + 1] AS kind, count(*) AS n FROM dr GROUP BY 1) u USING (kind)")
+def g02_distortion_parameters(spark, sf_dir):
+    """Each kind's parameters by level, beside how many samples the plan gives to the kind."""
+    planned = G.plan(tiles(spark, sf_dir), "sample_id").groupBy(F.col("distortion_kind").alias("kind")).agg(F.count("*").alias("n"))
+    rows = [(k, n, float(v)) for k, vs in G.DISTORTIONS.items() for n, v in enumerate(vs, 1)]
+    return spark.createDataFrame(rows, "kind string, level int, value double").join(planned, "kind", "left")
+
+
+@book.add(f"WITH {TILE} SELECT sample_id, {listed_sql('list_transform(range(0, 64), lambda i: greatest(0.0, least(255.0, trunc(round(px[i + 1] * 0.299 + px[(i + 1) % 64 + 1] * 0.587 + px[(i + 2) % 64 + 1] * 0.114 + (px[i + 1] - (px[i + 1] * 0.299 + px[(i + 1) % 64 + 1] * 0.587 + px[(i + 2) % 64 + 1] * 0.114)) * 0.25::DOUBLE, 9)))))')} AS red FROM tile")
+def g07_saturation(spark, sf_dir):
+    """Tiles of three channels, made of neighbouring values, with less colour; their red channel."""
+    three = tiles(spark, sf_dir).withColumn("px", F.flatten(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.array(*[F.get("px", (i + k) % 64) for k in range(3)])))).withColumn("c", F.lit(3))
+    out = G.apply_kernels(three, [("CS", 0.25)])
+    return out.select("sample_id", listed(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("px", i * 3))).alias("red"))
+
+
+@book.add()
+def g09_blur(spark, sf_dir):
+    return G.apply_kernels(tiles(spark, sf_dir), [("GB", G.distortion("GB", 1))])
+
+
+@book.add(f"WITH {TILE} SELECT sample_id, {listed_sql('flatten(list_transform(range(0, 4), lambda y: list_transform(range(0, 4), lambda x: (px[y * 16 + x * 2 + 1] + px[y * 16 + x * 2 + 2] + px[y * 16 + x * 2 + 9] + px[y * 16 + x * 2 + 10]) / 4)))')} AS px FROM tile")
+def g11_resolution_ladder(spark, sf_dir):
+    """Halved once; a second step would go below the floor."""
+    return G.apply_kernels(tiles(spark, sf_dir), [("halved", 5)]).select("sample_id", listed(F.col("px")).alias("px"))
+
+
+@book.add(f"WITH {TILE} SELECT sample_id, {listed_sql('flatten(list_transform(range(0, 8), lambda y: list_transform(range(0, 8), lambda x: px[(7 - x) * 8 + y + 1])))')} AS px FROM tile")
+def g12_quarter_turn(spark, sf_dir):
+    return G.apply_kernels(tiles(spark, sf_dir), [("rotate", 90.0)]).select("sample_id", listed(F.transform("px", lambda x: F.round(x, 3))).alias("px"))
+
+
+@book.add(f"WITH {TILE} SELECT shape, count(*) AS n, height, width, frames FROM (SELECT sample_id % 3 AS k FROM tile) JOIN (VALUES (0, '1x3x64x32', 64, 32, NULL), (1, '1x16x3x?x48', 224, 48, 16), (2, '?', 224, 224, NULL)) s(k, shape, height, width, frames) USING (k) GROUP BY ALL")
+def p37_target_sizes(spark, sf_dir):
+    """What size each model's input asks for; here three models share the tiles."""
+    shapes = {0: ("1x3x64x32", [1, 3, 64, 32]), 1: ("1x16x3x?x48", [1, 16, 3, None, 48]), 2: ("?", [None])}
+    sizes = spark.createDataFrame([(k, name, *A.target_size(shape)) for k, (name, shape) in shapes.items()], "k int, shape string, height int, width int, frames int")
+    return tiles(spark, sf_dir).withColumn("k", (F.col("sample_id") % 3).cast("int")).join(sizes, "k").groupBy("shape", "height", "width", "frames").agg(F.count("*").alias("n"))
+
+
+@book.add(f"WITH {TILE}, s AS (SELECT sample_id, list_sum(list_transform(range(1, 65), lambda i: vec[i] * (i % 5 - 2))) AS z FROM tile) SELECT form, sample_id, round(1 / (1 + exp(-z)), 6) AS p FROM s, (VALUES ('array'), ('dict'), ('list')) f(form)")
+def g17_output_forms(spark, sf_dir):
+    """One model whose output is an array, a dict of logits, or a list of one array; scores are the same."""
+    weights = np.arange(1, 65) % 5 - 2
+    forms = {"array": lambda x: x @ weights, "dict": lambda x: {"logits": x @ weights}, "list": lambda x: [x @ weights]}
+    parts = [scoring.as_records(scoring.score(tiles(spark, sf_dir), f)).select(F.lit(name).alias("form"), "sample_id", F.round(F.get("probs", F.lit(0)), 6).alias("p")) for name, f in forms.items()]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 @book.add(f"""WITH {TILE}, s AS (SELECT sample_id, label, list_sum(list_transform(range(1, 65), lambda i: vec[i] * (i % 5 - 2))) AS z FROM tile), p AS (SELECT *, 1 / (1 + exp(-z)) AS p FROM s)

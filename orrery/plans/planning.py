@@ -8,10 +8,11 @@ from ..adapters import EVT, REC, REG, SAMPLES, records, registry, rolling, sampl
 from ..operators import sampling as S
 from ..operators.breakdowns import count_if
 from ..schemas import BUDGETS
+from ..sources.tables import new_folder
 from .common import Book, r6
 
 book = Book()
-_ROLL = "contains(lower(name), 'gasstation')"
+_ROLL = "contains(lower(name), 'rolling')"
 
 
 @book.add(f"WITH {REG} SELECT name, media_per_archive FROM reg WHERE modality = 'image' AND NOT {_ROLL} AND content_category = 'en'")
@@ -49,10 +50,15 @@ def u06_all_modalities(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@book.add(f"WITH {REG} SELECT name FROM reg WHERE NOT {_ROLL} AND modality = 'image'")
+@book.add(f"""WITH {REG}, h AS (SELECT 'held-' || name AS name, modality FROM reg WHERE media_type = 'real'), a AS (SELECT name, modality FROM reg UNION ALL SELECT name, modality FROM h)
+    SELECT 'all' AS run, name FROM a UNION ALL SELECT 'rolling only', name FROM reg WHERE {_ROLL} UNION ALL SELECT 'no rolling', name FROM a WHERE NOT {_ROLL} UNION ALL SELECT 'holdouts only', name FROM h""")
 def f18_source_selection(spark, sf_dir):
-    """Holdouts join only where the run is not of rolling datasets alone; here: regular ones."""
-    return S.discover(registry(spark, sf_dir), "image", no_rolling=True).select("name")
+    """Which datasets a run takes: holdouts join unless it is of rolling datasets alone, or they are the only ones."""
+    reg = registry(spark, sf_dir)
+    held = reg.where("media_type = 'real'").withColumn("name", F.concat(F.lit("held-"), "name"))
+    runs = {"all": {}, "rolling only": {"rolling_only": True}, "no rolling": {"no_rolling": True}, "holdouts only": {"holdouts_only": True}}
+    parts = [S.sources(reg, held, **how).select(F.lit(run).alias("run"), "name") for run, how in runs.items()]
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
 
 @book.add(f"WITH {REG} SELECT name, CASE WHEN media_per_archive = -1 THEN 999999 WHEN {_ROLL} THEN 10000 ELSE 2000 END AS cap FROM reg")
@@ -97,7 +103,7 @@ def w02_archive_sample(spark, sf_dir):
     d AS (SELECT smp.*, cap, row_number() OVER (PARTITION BY dataset_name ORDER BY {_DRAW}, doc_id) AS rn FROM smp JOIN plan ON dataset_name = name)
     SELECT dataset_name, doc_id FROM d WHERE rn <= cap""")
 def j10_planned_sample(spark, sf_dir):
-    plan = F.broadcast(S.sampling_plan(registry(spark, sf_dir), 800))
+    plan = S.sampling_plan(registry(spark, sf_dir), 800)
     joined = samples(spark, sf_dir).join(plan, F.col("dataset_name") == F.col("name"))
     return S.seeded_sample(joined, "dataset_name", "doc_id", F.col("cap")).select("dataset_name", "doc_id")
 
@@ -145,10 +151,10 @@ def p39_run_columns(spark, sf_dir):
     return rows.select("sample_id", "aug_pass", *run, F.round(F.col("inference_time_ms") / 32, 6).alias("per_sample_ms"), F.substring(F.repeat("sample_id", 30), 1, 300).alias("error_message"))
 
 
-@book.add(f"WITH {REC} SELECT sample_id, 1000 + row_number() OVER (ORDER BY sample_id) AS sample_seed FROM rec WHERE NOT aug_pass AND dataset_name = 'public-1'")
+@book.add(f"WITH {REC} SELECT dataset_name, sample_id, 1000 + row_number() OVER (PARTITION BY dataset_name ORDER BY sample_id) AS sample_seed FROM rec WHERE NOT aug_pass")
 def p26_sample_seed(spark, sf_dir):
-    one = records(spark, sf_dir).where("not aug_pass and dataset_name = 'public-1'")
-    return S.ranked(one, ["dataset_name"], [F.col("sample_id")]).select("sample_id", (F.lit(1000) + F.col("rn")).alias("sample_seed"))
+    base = records(spark, sf_dir).where("not aug_pass").select("dataset_name", "sample_id")
+    return S.numbered(base, "dataset_name", [F.col("sample_id")]).select("dataset_name", "sample_id", (F.lit(1000) + F.col("rn")).alias("sample_seed"))
 
 
 @book.add(f"WITH {REG} SELECT modality, media_type, CASE WHEN {_ROLL} THEN 'rolling' ELSE 'regular' END AS kind, count(*) AS datasets, sum(least(n_samples, 2000))::BIGINT AS planned FROM reg GROUP BY ALL")
@@ -195,12 +201,12 @@ def p38_mode_budget(spark, sf_dir):
     return budgets.join(registry(spark, sf_dir), "modality", "left").groupBy("mode", "modality", "budget").agg(F.count("name").alias("datasets"))
 
 
-@book.add(f"""WITH {SAMPLES} SELECT doc_id, CASE WHEN u < 0.25 THEN 0 WHEN u < 0.55 THEN 1 WHEN u < 0.85 THEN 2 ELSE 3 END AS level, round(0.35 + v * 0.64, 6) AS crop_scale, w < 0.5 AS flip
-    FROM (SELECT doc_id, ('0x' || substr(md5('42:level:' || doc_id), 1, 8))::BIGINT / 4294967296.0 AS u, ('0x' || substr(md5('42:crop:' || doc_id), 1, 8))::BIGINT / 4294967296.0 AS v, ('0x' || substr(md5('42:hflip:' || doc_id), 1, 8))::BIGINT / 4294967296.0 AS w FROM smp)""")
+@book.add(f"""WITH {SAMPLES} SELECT doc_id, CASE WHEN u < 0.25 THEN 0 WHEN u < 0.55 THEN 1 WHEN u < 0.85 THEN 2 ELSE 3 END AS level, round(0.35 + v * 0.64, 6) AS crop_scale, w < 0.5 AS flip, ['BW', 'CC', 'CS', 'GB', 'GNC', 'JPEG'][floor(k * 6)::INT + 1] AS kind
+    FROM (SELECT doc_id, ('0x' || substr(md5('42:kind:' || doc_id), 1, 8))::BIGINT / 4294967296.0 AS k, ('0x' || substr(md5('42:level:' || doc_id), 1, 8))::BIGINT / 4294967296.0 AS u, ('0x' || substr(md5('42:crop:' || doc_id), 1, 8))::BIGINT / 4294967296.0 AS v, ('0x' || substr(md5('42:hflip:' || doc_id), 1, 8))::BIGINT / 4294967296.0 AS w FROM smp)""")
 def g01_augmentation_plan(spark, sf_dir):
     from ..operators.augment import plan
 
-    return plan(samples(spark, sf_dir), "doc_id").select("doc_id", "level", F.round("crop_scale", 6).alias("crop_scale"), F.col("hflip").alias("flip"))
+    return plan(samples(spark, sf_dir), "doc_id").select("doc_id", "level", F.round("crop_scale", 6).alias("crop_scale"), F.col("hflip").alias("flip"), F.col("distortion_kind").alias("kind"))
 
 
 @book.add(f"""WITH {REG}, e AS (SELECT CASE WHEN ordinal % 5 <> 0 THEN name END AS name, path, CASE WHEN ordinal % 3 = 0 THEN 'smell' ELSE modality END AS modality, CASE WHEN ordinal % 4 <> 0 THEN media_type END AS media_type FROM reg)
@@ -229,9 +235,7 @@ _HELD = "held AS (SELECT name AS original_name, media_type || '-' || modality ||
 @book.add(f"WITH {REG}, {_HELD} SELECT name, original_name FROM held")
 def k05_holdout_mapping(spark, sf_dir):
     """The mapping of holdout names, written and read back."""
-    from .ingestion import _folder
-
-    path = _folder(spark)
+    path = new_folder(spark)
     _holdouts(spark, sf_dir)[1].write.parquet(path)
     return spark.read.schema("name string, original_name string").parquet(path)
 

@@ -11,6 +11,7 @@ def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
+# Columns of run records and of registries.
 RUN_RECORD = _struct(
     ("run_id", _S), ("run_started_at", _L), ("mode", _S), ("modality", _S), ("model_name", _S), ("input_name", _S),
     ("target_height", _I), ("target_width", _I), ("augment_level", _I), ("crop_prob", _D), ("aug_pass", _B),
@@ -40,8 +41,8 @@ BUDGETS = {
     "small": {"image": 5000, "video": 5000, "audio": 5000},
     "full": {"image": 55000, "video": 26000, "audio": 37000},
 }
-ROLLING_PATTERN, HOLDOUT_PATTERN = "gasstation", "-holdout-"
-PROVENANCE = ("public", "holdout", "gasstation")
+ROLLING_PATTERN, HOLDOUT_PATTERN = "rolling", "-holdout-"
+PROVENANCE = ("public", "holdout", "rolling")
 MAX_FRAMES, MAX_LISTED, DEFAULT_SIZE = 64, 5000, (224, 224)
 REGULAR_CACHE_CAP, WEEK_CACHE_CAP = 500, 10_000
 REGULAR_RANGE, ROLLING_RANGE, ROLLING_WEIGHT = (100, 2000), (500, 10_000), 5.0

@@ -78,8 +78,22 @@ def row_metadata(rows: DataFrame, media: list[str]) -> Column:
     return F.map_from_entries(F.array(*entries))
 
 
+def safe(kind: T.DataType, c: Column) -> Column:
+    """A value with all that JSON can't say replaced, at any depth: NaN and infinities null, bytes base64, times ISO text."""
+    if isinstance(kind, T.StructType):
+        inner = F.struct(*[safe(f.dataType, c.getField(f.name)).alias(f.name) for f in kind.fields])
+        return F.when(c.isNotNull(), inner)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: safe(kind.elementType, x))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: safe(kind.valueType, v))
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c)
+    return clean(kind, c) if isinstance(kind, (T.BinaryType, T.TimestampType, T.TimestampNTZType)) else c
+
+
 def clean(kind: T.DataType, c: Column) -> Column:
-    """A value as JSON-safe text: NaN and infinities null, bytes base64, times ISO, nested values as JSON."""
+    """A value as JSON-safe text: NaN and infinities null, bytes base64, times ISO, nested values as JSON of safe values."""
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return F.when(F.isnan(c) | (F.abs(c) == float("inf")), None).otherwise(c.cast("string"))
     if isinstance(kind, T.BinaryType):
@@ -87,5 +101,5 @@ def clean(kind: T.DataType, c: Column) -> Column:
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
-        return F.to_json(c)
+        return F.to_json(safe(kind, c), {"ignoreNullFields": "false"})
     return c.cast("string")

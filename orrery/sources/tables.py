@@ -1,13 +1,31 @@
-"""Tables that runs write: records, results, augmented samples."""
+"""Tables that runs write: records, results, augmented samples, and scratch tables that cut lineage."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import breakdowns, metrics
+
 from ..schemas import RUN_RECORD
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A new folder shared by driver and executors, below spark.checkpoint.dir; one of this machine only where nothing is set, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{base.rstrip('/')}/cache-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written to a new shared folder and read again."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_records(rows: DataFrame, path: str) -> None:
     """Run records in their schema, a partition for each run; no rows write nothing."""
     have = set(rows.columns)
@@ -19,10 +37,25 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RUN_RECORD).parquet(path)
 
 
-def results_document(ok_rows: DataFrame, modality: str) -> DataFrame:
-    """One nested row: run and metrics."""
-    metrics = ok_rows.agg(F.count("*").alias("total"), F.coalesce(F.sum(F.col("correct").cast("long")), F.lit(0)).alias("correct"), F.coalesce(F.avg(F.col("correct").cast("int")), F.lit(0.0)).alias("accuracy"))
-    return metrics.select(F.struct(F.lit(modality).alias("modality")).alias("run"), F.struct("total", "correct", "accuracy").alias("metrics"))
+def results_document(records: DataFrame, registry: DataFrame, modality: str, aug_weight: float = 0.3) -> DataFrame:
+    """One nested row: run, metrics of the base pass, results by dataset and by media type, and the augmented pass with the blend.
+
+    The lists have an entry for each dataset or media type of the registry, so the document stays small."""
+    def listed(rows: DataFrame, key: str, values: list[str], name: str) -> DataFrame:
+        entry = F.struct(F.col(key).alias("name"), *values)
+        return rows.agg(F.sort_array(F.collect_list(entry)).alias(name))
+
+    values = ["total", "correct", "accuracy"]
+    pack = metrics.metric_pack(metrics.ok_rows(records))
+    parts = [
+        pack.select(F.struct(*pack.columns).alias("metrics")),
+        listed(breakdowns.per_source(registry, breakdowns.per_dataset(records)), "name", values, "datasets"),
+        listed(breakdowns.by_media_type(records), "media_type", values, "media_types"),
+        metrics.robustness(records, aug_weight).select(F.struct("aug_n", "aug_score", "robustness", "blended").alias("augmentation"))]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(F.broadcast(part), F.lit(True))  # a row each
+    return out.select(F.struct(F.lit(modality).alias("modality")).alias("run"), "metrics", "datasets", "media_types", "augmentation")
 
 
 def append_augmented(rows: DataFrame, path: str, version: str, height: int, width: int) -> None:

@@ -68,13 +68,29 @@ def latest(spark: SparkSession, target: str, key: list[str]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*key, "v.*")
 
 
+def newest_generations(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
+    """(iso_week, generation): where each week's cache stands, from the folders' names alone."""
+    found = spark.read.parquet(target).groupBy("iso_week", "generation").agg(F.lit(True).alias("there"))
+    found = found if before is None else found.where(F.col("generation") < before)
+    return found.groupBy("iso_week").agg(F.max("generation").alias("generation"))
+
+
+def read_cache(spark: SparkSession, target: str, before: int | None = None, weeks: DataFrame | None = None) -> DataFrame:
+    """The cache's rows, each week from its newest generation; the join prunes the folders that are read."""
+    places = newest_generations(spark, target, before)
+    places = places if weeks is None else places.join(weeks, "iso_week", "left_semi")
+    return spark.read.parquet(target).join(places, ["iso_week", "generation"]).drop("generation")
+
+
 def capped_cache(cap: int, target: str) -> Callable[[DataFrame, int], None]:
-    """Adds a batch to its weeks and keeps the newest ``cap`` rows of each; only touched weeks are rewritten, in a new generation,
-    so a repeated batch starts from the generation before it."""
+    """Adds a batch to its weeks and keeps the newest ``cap`` rows of each. A batch writes a generation of the weeks that it touches
+    alone and reads no others; a repeated batch replaces its generation and starts from those before it."""
     def sink(rows: DataFrame, batch: int) -> None:
         spark = rows.sparkSession
-        old = spark.read.parquet(f"{target}/generation={batch - 1}") if batch else None
-        both = rows.unionByName(old) if old is not None else rows
+        both = rows
+        if batch:
+            old = read_cache(spark, target, batch, rows.select("iso_week").distinct())
+            both = rows.unionByName(old.select(*rows.columns))
         evict(both.dropDuplicates(["event_id"]).withColumn("idx", F.col("event_id")), "iso_week", cap).drop("idx").write.mode("overwrite").partitionBy("iso_week").parquet(f"{target}/generation={batch}")
 
     return sink

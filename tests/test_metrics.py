@@ -54,9 +54,9 @@ def test_composition(spark):
 
 
 def test_weights_hit_target_shares(spark):
-    names = ["public-a"] * 80 + ["x-holdout-1"] * 15 + ["gasstation-1"] * 5
+    names = ["public-a"] * 80 + ["x-holdout-1"] * 15 + ["rolling-1"] * 5
     rows = spark.createDataFrame([(n,) for n in names], "dataset_name string")
-    shares = {"public": 0.5, "holdout": 0.3, "gasstation": 0.2}
+    shares = {"public": 0.5, "holdout": 0.3, "rolling": 0.2}
     out = {r.provenance: r for r in M.provenance_weights(rows, shares).collect()}
     assert {c: r.weight * r.n / 100 for c, r in out.items()} == pytest.approx(shares)
     absent = {r.provenance: r.weight * r.n / 95 for r in M.provenance_weights(rows.where("dataset_name not like 'gas%'"), shares).collect()}
@@ -65,11 +65,11 @@ def test_weights_hit_target_shares(spark):
 
 
 def test_names_and_shares(spark):
-    names = {"real-image-holdout-a1b2c3d4": "holdout", "gasstation-image-w23": "gasstation", "GASSTATION-VIDEO": "gasstation", "34data/pica-100k": "public", None: "public"}
+    names = {"real-image-holdout-a1b2c3d4": "holdout", "rolling-image-w23": "rolling", "GASSTATION-VIDEO": "rolling", "34data/pica-100k": "public", None: "public"}
     rows = spark.createDataFrame([(k,) for k in names], "n string").select("n", M.provenance(F.col("n")).alias("p")).collect()
     assert {r.n: r.p for r in rows} == names
-    assert M.composition({"holdout": 0.3, "gasstation": 0.2})["public"] == pytest.approx(0.5)
-    for bad in ({"holdout": -0.1}, {"holdout": 0.7, "gasstation": 0.4}):
+    assert M.composition({"holdout": 0.3, "rolling": 0.2})["public"] == pytest.approx(0.5)
+    for bad in ({"holdout": -0.1}, {"holdout": 0.7, "rolling": 0.4}):
         with pytest.raises(ValueError):
             M.composition(bad)
 
