@@ -16,17 +16,20 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced
+from .common import replaced, small_batches
 
 MEASUREMENTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _EXTRA = ("n_upper_words", "n_lines")
 _STRUCT = "struct<" + ",".join(f"{n}:bigint" for n in MEASUREMENTS + _EXTRA) + ">"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: Texts of more words number their words and compare windows as hashes of numbers, which takes some tens of bytes a word.
+MANY_WORDS = 20_000
 
 #: (name, condition under which a document fails). The position is the bit; new rules go to the end.
 RULES = (
@@ -64,7 +67,9 @@ def measure_text(text: str) -> tuple[int, ...]:
                 duplicates += 1
             seen.add(line)
     repeated = 0
-    if n > WINDOW:
+    if n > MANY_WORDS:
+        repeated = _repeated_of_many(words)
+    elif n > WINDOW:
         windows = list(zip(*(words[k:] for k in range(WINDOW)), strict=False))
         once: set = set()
         twice: set = set()
@@ -80,6 +85,35 @@ def measure_text(text: str) -> tuple[int, ...]:
     return n, chars, sum(map(text.count, SYMBOLS)), duplicates, repeated, upper, lines
 
 
+def _repeated_of_many(words: list[bytes]) -> int:
+    """Words in windows found twice or more, of a very long text."""
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int32, len(words))
+    n = len(ids) - WINDOW + 1
+    hashes = np.zeros(n, np.uint64)
+    for k in range(WINDOW):
+        hashes = hashes * np.uint64(0x9E3779B97F4A7C15) + ids[k : k + n].astype(np.uint64) + np.uint64(1)
+    order = np.argsort(hashes, kind="stable")
+    # windows beside each other in this order are compared word for word; those of one hash that differ are told apart exactly
+    same = np.ones(n - 1, bool)
+    for k in range(WINDOW):
+        same &= ids[order[1:] + k] == ids[order[:-1] + k]
+    equal_hash = hashes[order[1:]] == hashes[order[:-1]]
+    twice = np.zeros(n, bool)
+    twice[order[1:][same]] = twice[order[:-1][same]] = True
+    if (equal_hash & ~same).any():
+        seen: dict[bytes, int] = {}
+        for at in order[np.isin(hashes[order], hashes[order[1:]][equal_hash & ~same])]:
+            window = ids[at : at + WINDOW].tobytes()
+            if window in seen:
+                twice[[at, seen[window]]] = True
+            seen[window] = at
+    covered = np.zeros(len(ids) + 1, np.int32)
+    np.add.at(covered, np.flatnonzero(twice), 1)
+    np.add.at(covered, np.flatnonzero(twice) + WINDOW, -1)
+    return int((np.cumsum(covered) > 0).sum())
+
+
 def _measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     names = [*MEASUREMENTS, *_EXTRA]
     for batch in batches:
@@ -90,6 +124,7 @@ def _measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus the measurements and ``fail_bits`` (long)."""
+    small_batches(docs.sparkSession)
     docs = replaced(docs, [*MEASUREMENTS, *_EXTRA, "fail_bits", "_m"])
     measured = docs.withColumn("_m", F.arrow_udf(_measure, _STRUCT)(F.col(f"`{text}`")))
     measured = measured.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_m.{n}").alias(n) for n in (*MEASUREMENTS, *_EXTRA)])

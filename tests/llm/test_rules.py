@@ -25,6 +25,18 @@ def test_measurements_against_brute_force():
         assert rules.measure_text(text)[:5] == _brute(text), text
 
 
+def test_very_long_texts_against_brute_force(monkeypatch):
+    rng = random.Random(6)
+    for many in (8, 40):
+        monkeypatch.setattr(rules, "MANY_WORDS", many)
+        for _ in range(300):
+            text = " ".join(rng.choice("ab") if rng.random() < 0.8 else rng.choice("cdefg") for _ in range(rng.randint(0, 120)))
+            assert rules.measure_text(text)[:5] == _brute(text), text
+    monkeypatch.undo()
+    words = [f"w{k}" for k in range(60_000)]
+    assert rules.measure_text(" ".join(words + words[:20]))[4] == 40
+
+
 def test_ledger_policies_and_ablations(spark):
     good = "some words that are all different from each other and go on for more than twenty words in one line so nothing is wrong here"
     rows = [(1, good), (2, None), (3, ""), (4, good.upper()), (5, "# " * 30 + good), (6, "spam " * 40), (1, good)]
