@@ -5,19 +5,19 @@ windows of ``n`` words; an item with fewer, but not none, is one window. Text wo
 vocabulary first; only where all words of a window are known is the window itself looked up, word for word, so a hit
 needs no further check. A document word inside any occurrence of a window is hit.
 
-The n-gram set is broadcast only in blocks of at most ``BLOCK_CHARS`` characters of benchmark text (measured; a single
+The n-gram set is made once, as sorted hashes of word numbers with the places of their windows (about 40 bytes for each
+benchmark word), and broadcast in blocks of at most ``BLOCK_CHARS`` characters of benchmark text (measured; a single
 longer item is a block of its own); a larger benchmark takes several blocks, each scanned against all documents, and the
 hits are united. No shuffle of the documents is needed.
 
 Defined cases: null or empty texts have no words, are never hit and never contaminated; benchmark items that are null or
-have no words have no windows; repeated benchmark rows count once for an item id; an empty benchmark hits nothing; columns of
-the names added are replaced, all others stay.
+have no words have no windows; repeated benchmark rows count once for an item id, and an item without an id is named by the empty string; an
+empty benchmark hits nothing; very long texts are scanned whole; columns of the names added are replaced, all others stay.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -26,10 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced
+from .common import replaced, small_batches
 
 WINDOW = 13
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 16_000_000
 _KEEP = {*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(0x80, 0x100)}
 _NORMAL = bytes(b if b in _KEEP else b + 32 if chr(b).isupper() and b < 0x80 else 0x20 for b in range(256))
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
@@ -40,33 +40,65 @@ def normal_words(text: str) -> list[bytes]:
     return text.encode().translate(_NORMAL).split()
 
 
+def _hashes(ids: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` numbers from each start on."""
+    out = np.zeros(len(starts), np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + ids[starts + k].astype(np.uint64)
+    return out
+
+
 class Index:
-    """Windows of one block of the benchmark: word numbers, and the items of each window by its length."""
+    """Windows of one block of the benchmark. By length: hashes in order, and each one's start in the numbered words and item."""
 
     def __init__(self, items: list[tuple[str, str]], n: int):
         self.word: dict[bytes, int] = {}
-        self.windows: dict[int, dict[bytes, list[str]]] = {}
+        self.items = sorted({item for item, _ in items})
+        number, texts, at = {item: k for k, item in enumerate(self.items)}, [], 0
+        windows: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for item, text in items:
             words = normal_words(text or "")
-            ids = np.array([self.word.setdefault(w, len(self.word) + 1) for w in words], np.int32)
-            size = min(n, len(words))
-            for at in range(len(words) - size + 1 if size else 0):
-                found = self.windows.setdefault(size, {}).setdefault(ids[at : at + size].tobytes(), [])
-                if item not in found:
-                    found.append(item)
+            texts.append(np.array([self.word.setdefault(w, len(self.word) + 1) for w in words], np.int32))
+            if words:
+                size = min(n, len(words))
+                starts = np.arange(at, at + len(words) - size + 1)
+                windows.setdefault(size, []).append((starts, np.full(len(starts), number[item], np.int32)))
+            at += len(words)
+        self.ids = np.concatenate(texts) if texts else np.zeros(0, np.int32)
+        self.windows = {}
+        for size, parts in windows.items():
+            starts, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+            hashes = _hashes(self.ids, starts, size)
+            order = np.argsort(hashes, kind="stable")
+            self.windows[size] = hashes[order], starts[order], of[order]
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set[str]]:
         words = normal_words(text)
         ids = np.fromiter(map(self.word.get, words, repeat(0)), np.int32, len(words))
         unknown = np.concatenate(([0], np.cumsum(ids == 0)))
         spans: list[tuple[int, int]] = []
-        items: set[str] = set()
-        for size, windows in self.windows.items():
-            for at in np.flatnonzero(unknown[size:] == unknown[:-size]) if len(words) >= size else ():
-                if found := windows.get(ids[at : at + size].tobytes()):
-                    spans.append((int(at), int(at) + size))
-                    items.update(found)
-        return len(words), united(spans), items
+        items: set[int] = set()
+        for size, (hashes, starts, of) in self.windows.items():
+            if len(words) < size:
+                continue
+            at = np.flatnonzero(unknown[size:] == unknown[:-size])
+            found = _hashes(ids, at, size)
+            first, past = np.searchsorted(hashes, found, "left"), np.searchsorted(hashes, found, "right")
+            at, found, first, past = (x[first < past] for x in (at, found, first, past))
+            # each window of the benchmark once for each different one of the text
+            _, one = np.unique(found, return_index=True)
+            for k in one:
+                here = np.arange(first[k], past[k])
+                equal = (self.ids[starts[here][:, None] + np.arange(size)] == ids[at[k] : at[k] + size]).all(1)
+                items.update(of[here[equal]].tolist())
+            same = np.zeros(len(at), bool)
+            for turn in range(int((past - first).max(initial=0))):  # mostly one: the first window of a hash is the word for word one
+                left = np.flatnonzero(~same & (first + turn < past))
+                if not len(left):
+                    break
+                same[left] = (self.ids[starts[first[left] + turn][:, None] + np.arange(size)] == ids[at[left][:, None] + np.arange(size)]).all(1)
+            spans += [(int(a), int(a) + size) for a in at[same]]
+        return len(words), united(spans), {self.items[k] for k in items}
 
 
 def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -79,17 +111,6 @@ def united(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-_made: dict[str, Index] = {}
-
-
-def _index(name: str, shared, n: int) -> Index:
-    """The index of a broadcast block, made once per worker; ``name`` is the block's own."""
-    if name not in _made:
-        _made.clear()
-        _made[name] = Index(shared.value, n)
-    return _made[name]
-
-
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[str, str]]]:
     """Blocks of (item id, text), each at most BLOCK_CHARS characters, or a single item."""
     rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("item"), F.col(f"`{text}`").alias("text")).where("text is not null")
@@ -104,7 +125,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[s
             break
         count *= 2
     for b in range(count):
-        if found := [(r.item or "", r.text) for r in rows.distinct().where(block == b).collect()]:  # bounded by BLOCK_CHARS
+        if found := [(r.item or "", r.text) for r in rows.where(block == b).distinct().collect()]:  # bounded by BLOCK_CHARS
             yield found
 
 
@@ -112,12 +133,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     """``docs`` plus n_words, n_hit (long), hit_spans (word ranges, end exclusive), hit_items (sorted strings), contaminated."""
     docs = replaced(docs, ["n_words", "n_hit", "hit_spans", "hit_items", "contaminated", "_f"])
     spark = docs.sparkSession
+    small_batches(spark)
 
     def scan(block: list[tuple[str, str]]) -> Column:
-        shared, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+        shared = spark.sparkContext.broadcast(Index(block, n))  # bounded by BLOCK_CHARS
 
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            index = _index(name, shared, n)
+            index = shared.value
             kind = pa.struct([("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("past", pa.int32())]))), ("items", pa.list_(pa.string()))])
             for batch in batches:
                 rows = [index.scan(v.as_py() or "") for v in batch]

@@ -62,3 +62,20 @@ def test_empty_tables(spark):
     _, _, frame, benchmark = _tables(spark)
     assert decontam.find_contamination(frame.limit(0), benchmark).count() == 0
     assert not any(r.contaminated for r in decontam.find_contamination(frame, benchmark.limit(0)).collect())
+
+
+def test_long_texts_hash_collisions_and_clashing_columns(spark, monkeypatch):
+    """Windows that all hash alike are still told apart word for word."""
+    docs, items, _, _ = _tables(spark)
+    shared = [(100 + k, f"{ITEM} tail{k}") for k in range(30)]
+    monkeypatch.setattr(decontam, "_hashes", lambda ids, starts, size: ids[starts].astype("uint64") % 2)
+    index = decontam.Index([(str(i), t) for i, t in items + shared if t is not None], decontam.WINDOW)
+    want = _brute(docs, items + shared)
+    for doc, text in docs:
+        n, spans, found = index.scan(text or "")
+        assert (n, sum(b - a for a, b in spans), sorted(found)) == want[doc][:3]
+    monkeypatch.undo()
+    long = [(1, "filler " * 200_000 + ITEM + " end" * 50_000, 3, "mine")] * 2
+    frame = spark.createDataFrame(long, "doc_id long, text string, n_hit int, item_id string")
+    rows = decontam.find_contamination(frame, spark.createDataFrame([(4, ITEM)], "item_id long, text string")).collect()
+    assert [(r.n_hit, r.item_id, r.hit_items, r.contaminated) for r in rows] == [(15, "mine", ["4"], False)] * 2
