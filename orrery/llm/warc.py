@@ -11,6 +11,9 @@ Tasks write files under names of their own attempt and return what they wrote; o
 read, so lost executors and repeated tasks leave at most files that nothing refers to. Files are reached with
 pyarrow's file systems, by the folder's URI. The list of index files is broadcast: one row for each index partition, checked.
 
+A key with very many captures lies in several index files, cut by page id, so that several tasks read it. Record ids are
+random; page ids are fields of their own, as they may repeat. Very long payloads are held one at a time.
+
 Defined cases: null html is an empty payload; a null URL has an empty key and target; control characters in URLs are
 percent-encoded; repeated rows with the least page id are responses each; a null page id revisits the least one, or is a
 response if its payload has no page id at all; payloads shorter than ``min_bytes`` are never revisited; an empty table writes nothing.
@@ -63,10 +66,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     block = http if refers_to is not None else http + payload
     head = [
         "WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {DATE}", f"WARC-Page-ID: {'' if page_id is None else page_id}",
         "WARC-Target-URI: " + _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url or ""), f"WARC-Payload-Digest: sha1:{digest}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -79,10 +82,10 @@ def parse(data: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     length = int(re.search(rb"(?i)\r\ncontent-length: (\d+)", http)[1])
-    number = lambda s: int(s) if (s := s.removeprefix("<urn:page:").removesuffix(">")) else None
+    number = lambda s: int(s) if s else None
     out = {
-        "page_id": number(fields["WARC-Record-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"],
-        "refers_to": number(fields.get("WARC-Refers-To", "")), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
+        "page_id": number(fields["WARC-Page-ID"]), "url": fields["WARC-Target-URI"], "record_type": fields["WARC-Type"],
+        "refers_to": number(fields.get("WARC-Refers-To-Page-ID")), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"),
         "payload_bytes": length, "payload": payload if fields["WARC-Type"] == "response" else None}
     if out["payload"] is not None and (len(payload) != length or payload_digest(payload) != out["payload_digest"]):
         raise ValueError(f"record {out['page_id']} does not hold its payload")
@@ -155,8 +158,8 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds, strict=True)], list(names))
 
 
-def write_index(captures: DataFrame, folder: str) -> DataFrame:
-    """Writes the index files; returns the upper level (file, first_key, last_key, directory_offset, directory_length)."""
+def write_index(captures: DataFrame, folder: str, partitions: int | None = None) -> DataFrame:
+    """Writes the index files, ``partitions`` or as many as Spark finds right for their size; returns the upper level (file, first_key, last_key, directory_offset, directory_length)."""
     schema = "file string, first_key string, last_key string, directory_offset long, directory_length long"
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +189,7 @@ def write_index(captures: DataFrame, folder: str) -> DataFrame:
         if block or directory:
             yield done()
 
-    ranged = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
+    ranged = captures.repartitionByRange(*[partitions] * (partitions is not None), "key", "page_id").sortWithinPartitions("key", "page_id", "file", "offset")
     return Scratch(captures.sparkSession, "warc-index").put(ranged.mapInArrow(write, schema), "index")[0]
 
 
@@ -228,9 +231,9 @@ def look_up(urls: DataFrame, index: DataFrame, folder: str) -> DataFrame:
                         keys, block = [x[0] for x in lines], at
                     rows += map(tuple, lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)])
                     at += 1
-                if len(rows) >= 10_000:
-                    yield _batch(rows, _CAPTURES)
-                    rows = []
+                    if len(rows) >= 10_000:  # a key may have any number of blocks
+                        yield _batch(rows, _CAPTURES)
+                        rows = []
             yield _batch(rows, _CAPTURES)
 
     keys = urls.select("url").distinct().mapInArrow(route, "key string, file string, directory_offset long, directory_length long").distinct()

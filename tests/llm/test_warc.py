@@ -43,6 +43,17 @@ def test_small_blocks_and_repeated_keys(spark, monkeypatch):
     assert warc.look_up(pages, index, f"{folder}/i").count() == 60
 
 
+def test_one_url_of_most_pages_and_long_payloads(spark):
+    rows = [(k, "http://hot.org/", f"{k % 50} ") for k in range(13_000)] + [(13_000 + k, f"http://h{k}.org/", "long" * 1_000_000) for k in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    folder = Scratch(spark, "test").base
+    index = warc.write_index(warc.write_archives(pages, f"{folder}/a"), f"{folder}/i", 4)
+    assert index.where("first_key <= 'org,hot)/' and last_key >= 'org,hot)/'").count() > 1
+    found = warc.fetch(warc.look_up(pages, index, f"{folder}/i"), f"{folder}/a", payloads=False)
+    assert found.select("page_id").distinct().count() == found.count() == len(rows)
+    assert {r.payload_bytes for r in found.where("page_id >= 13000").collect()} == {4_000_000}
+
+
 def test_empty_table_and_threshold(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
     folder = Scratch(spark, "test").base
@@ -56,5 +67,7 @@ def test_keys_and_damage():
     assert warc.url_key("http://User@A.b.org:8/p?x") == "org,b,a:8)/p?x" and warc.url_key(None) == ""
     data = warc.record(1, "http://a/", b"abc", warc.payload_digest(b"abc"), None)
     assert warc.parse(data)["payload"] == b"abc"
+    ids = {warc.record(p, None, b"", "x", None).split(b"WARC-Record-ID: ")[1].split(b"\r")[0] for p in (1, 1, None, None)}
+    assert len(ids) == 4
     with pytest.raises(ValueError):
         warc.parse(data.replace(b"abc", b"abd"))
