@@ -1,13 +1,13 @@
 """URL filter: pattern rules indexed by their rarest literal token.
 
-A rule has a pattern (a regular expression over ``host || path`` or over the lower-cased whole URL), a verdict, and the
-literal tokens that every URL it fits must contain as whole tokens. Token counts over all URLs choose the rarest token of
-each rule; a URL's tokens fetch the rules filed under them by an equi-join, and only those rules run their expression.
+A rule has a pattern (a regular expression over ``host || path`` or over the lower-cased whole URL), a verdict, and for each
+of its alternatives the literal tokens that every URL it fits must contain as whole tokens. Token counts over all URLs choose the
+rarest token of each alternative; a URL's tokens fetch the rules filed under them by an equi-join, and only those rules run their expression.
 
 Only DataFrame expressions are used. The rule index is broadcast when it has at most ``BROADCAST_RULES`` rows, else it is
 joined by a shuffle, where Spark can split a hot token. Verdicts are worked out once per distinct URL.
 
-Defined cases: a null URL, or one without ``://``, has an empty host and path and gets the default verdict; rows keep
+Defined cases: very long URLs are judged whole; a null URL, or one without ``://``, has an empty host and path and gets the default verdict; rows keep
 their multiplicity; columns called host, path, rule or verdict are replaced, all others are kept; of several fitting
 rules the fixed ones beat patterns, then the longest wins, then block beats allow, then the least rule text.
 """
@@ -28,19 +28,17 @@ PREFIX_RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("examp
 
 #: (pattern over the lower-cased URL, its literal tokens, verdict): what decides where no fixed rule fits. Fixed values.
 PATTERN_RULES = (
-    (r"^[a-z]+://([^/?#]*\.)?cheap-pills\.", ("cheap", "pills"), "block"),
-    (r"^[a-z]+://([^/?#]*\.)?spam-farm\.", ("spam", "farm"), "block"),
-    (r"^[a-z]+://([^/?#]*\.)?free-casino\.", ("free", "casino"), "block"),
-    (r"^[a-z]+://([^/?#]*\.)?online-casino\.", ("online", "casino"), "block"),
-    (r"^[a-z]+://([^/?#]*\.)?payday-loans?\.", ("payday",), "block"),
-    (r"^[a-z]+://([^/?#]*\.)?replica-watches\.", ("replica", "watches"), "block"),
-    (r"^[a-z]+://([^/?#]*\.)?(porn|xxx)\.", ("porn",), "block"),
-    (r"^[a-z]+://([^/?#]*\.)?xxx\.", ("xxx",), "block"),
-    (r"^[a-z]+://[^?#]*/wp-login\.php([?#]|$)", ("wp", "login", "php"), "block"),
-    (r"^[a-z]+://[^?#]*/cgi-bin/", ("cgi", "bin"), "block"),
-    (r"[?&]sessionid=[0-9a-f]{16,}", ("sessionid",), "block"),
+    (r"^[a-z]+://([^/?#]*\.)?cheap-pills\.", (("cheap", "pills"),), "block"),
+    (r"^[a-z]+://([^/?#]*\.)?spam-farm\.", (("spam", "farm"),), "block"),
+    (r"^[a-z]+://([^/?#]*\.)?(free|online)-casino\.", (("free", "casino"), ("online", "casino")), "block"),
+    (r"^[a-z]+://([^/?#]*\.)?payday-loans?\.", (("payday",),), "block"),
+    (r"^[a-z]+://([^/?#]*\.)?replica-watches\.", (("replica", "watches"),), "block"),
+    (r"^[a-z]+://([^/?#]*\.)?(porn|xxx)\.", (("porn",), ("xxx",)), "block"),
+    (r"^[a-z]+://[^?#]*/wp-login\.php([?#]|$)", (("wp", "login", "php"),), "block"),
+    (r"^[a-z]+://[^?#]*/cgi-bin/", (("cgi", "bin"),), "block"),
+    (r"[?&]sessionid=[0-9a-f]{16,}", (("sessionid",),), "block"),
 )
-_RULE_SCHEMA = "rule string, on_url boolean, pattern string, verdict string, fixed boolean, size int, tokens array<string>"
+_RULE_SCHEMA = "rule string, on_url boolean, pattern string, verdict string, fixed boolean, size int, alternatives array<array<string>>"
 
 
 def host_of(url: Column) -> Column:
@@ -60,8 +58,8 @@ def compile_rules(spark: SparkSession, prefixes=PREFIX_RULES, patterns=PATTERN_R
     rows = []
     for host, path, verdict in prefixes:
         tokens = re.findall("[a-z0-9]+", host.lower()) + [t.lower() for t in re.findall(r"[A-Za-z0-9]+(?=[^A-Za-z0-9])", path)]
-        rows.append((host + path, False, rf"^(?:[^/]*\.)?{_quote(host)}{_quote(path)}", verdict, True, len(host + path), tokens))
-    rows += [(p, True, p, verdict, False, len(p), list(tokens)) for p, tokens, verdict in patterns]
+        rows.append((host + path, False, rf"^(?:[^/]*\.)?{_quote(host)}{_quote(path)}", verdict, True, len(host + path), [tokens]))
+    rows += [(p, True, p, verdict, False, len(p), [list(t) for t in alternatives]) for p, alternatives, verdict in patterns]
     return spark.createDataFrame(rows, _RULE_SCHEMA)
 
 
@@ -70,13 +68,15 @@ def _tokens(url: Column) -> Column:
 
 
 def index_rules(rules: DataFrame, urls: DataFrame) -> DataFrame:
-    """``rules`` with ``token``: the rarest of each rule's tokens over all of ``urls``; a rule without tokens is refused."""
-    wanted = rules.select(F.explode_outer("tokens").alias("token")).distinct()
-    seen = urls.select(F.explode(_tokens(F.col("url"))).alias("token")).join(_sized(wanted), "token").groupBy("token").count()
-    each = rules.select("*", F.explode_outer("tokens").alias("token")).join(seen, "token", "left")
-    order = Window.partitionBy("rule", "verdict").orderBy(F.coalesce("count", F.lit(0)), "token")
+    """``rules`` with ``token``: for each alternative of a rule its rarest token over all of ``urls``; one without tokens is refused."""
+    each = rules.select("*", F.posexplode_outer("alternatives").alias("alternative", "tokens")).drop("alternatives")
+    each = each.select("*", F.explode_outer("tokens").alias("token")).drop("tokens")
+    seen = urls.select(F.explode(_tokens(F.col("url"))).alias("token")).join(_sized(each.select("token").distinct()), "token").groupBy("token").count()
+    each = each.join(seen, "token", "left")
+    order = Window.partitionBy("rule", "verdict", "alternative").orderBy(F.coalesce("count", F.lit(0)), "token")
     bad = F.raise_error(F.lit("a rule needs a literal token"))
-    return each.withColumn("at", F.row_number().over(order)).where("at = 1").withColumn("token", F.coalesce("token", bad.cast("string"))).drop("at", "count", "tokens")
+    filed = each.withColumn("at", F.row_number().over(order)).where("at = 1").withColumn("token", F.coalesce("token", bad.cast("string")))
+    return filed.drop("at", "count", "alternative").distinct()
 
 
 def _sized(rules: DataFrame) -> DataFrame:
@@ -95,6 +95,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     rank = F.struct(F.col("fixed").cast("int"), "size", (F.col("verdict") == "block").cast("int"))
     best = fits.groupBy("url").agg(F.max(F.struct(rank.alias("rank"), "rule", "verdict", "fixed")).alias("b"))
     best = best.select(F.col("url").alias("_url"), "b")
-    out = pages.join(best, F.col("url") == F.col("_url"), "left")
+    # null URLs fit nothing, and would all meet in one task
+    out = pages.where("url is not null").join(best, F.col("url") == F.col("_url"), "left")
+    out = out.unionByName(pages.where("url is null"), allowMissingColumns=True)
     return out.select(*[F.col(f"`{c}`") for c in pages.columns], host_of(url).alias("host"), path_of(url).alias("path"),
                       F.when(F.col("b.fixed"), F.col("b.rule")).alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))

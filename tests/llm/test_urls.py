@@ -36,12 +36,27 @@ def test_against_brute_force(spark, monkeypatch, limit):
 
 def test_rarest_token_and_refusal(spark):
     pages = spark.createDataFrame([(k, f"http://common.rare{k % 5}.net/") for k in range(20)], "page_id long, url string")
-    rules = urls.compile_rules(spark, (), ((r"common\.rare1\.", ("common", "rare1"), "block"),))
+    rules = urls.compile_rules(spark, (), ((r"common\.rare1\.", (("common", "rare1"),), "block"),))
     assert [r.token for r in urls.index_rules(rules, pages.select("url")).collect()] == ["rare1"]
     with pytest.raises(Exception, match="literal token"):
-        urls.index_rules(urls.compile_rules(spark, (), (("x", (), "block"),)), pages.select("url")).collect()
+        urls.index_rules(urls.compile_rules(spark, (), (("x", ((),), "block"),)), pages.select("url")).collect()
 
 
 def test_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert urls.filter_urls(pages, urls.compile_rules(spark)).count() == 0
+
+
+def test_thousands_of_rules_with_alternatives(spark):
+    """Against every rule's expression run on every URL; a common word of all URLs is never the token that fetches."""
+    patterns = tuple((rf"^[a-z]+://([^/?#]*\.)?(bad{k}|evil{k})-shop\.", ((f"bad{k}", "shop"), (f"evil{k}", "shop")), "block" if k % 3 else "allow") for k in range(3000))
+    found = [f"http://www.{('bad', 'evil', 'good')[k % 3]}{k * 7 % 4000}-shop.net/{'x' * (k % 5)}" for k in range(600)] + ["http://bad3-shop.evil9-shop.org/", "http://x.net/" + "y" * 100_000, None, "bad1-shop.net"]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate(found)], "page_id long, url string")
+    rules = urls.compile_rules(spark, (), patterns)
+    index = urls.index_rules(rules, pages.select("url"))
+    assert index.count() == 6000 and index.where("token = 'shop'").isEmpty()
+    compiled = [(re.compile(p), p, v) for p, _, v in patterns]
+    for r in urls.filter_urls(pages, rules).collect():
+        url = found[r.page_id]
+        fits = [(len(p), v == "block", p, v) for c, p, v in compiled if url and "://" in url and c.search(url)]
+        assert r.verdict == (max(fits)[3] if fits else "allow"), url
