@@ -12,7 +12,7 @@ the radius are abandoned. A task returns a spanning forest of the links it found
 bucket, so dense groups never give all pairs and no link between groups is lost.
 
 Defined cases: a text without words (null, empty, only white space) has fingerprint zero and links as any other; fewer
-than three words are one shingle; rows without an id are not compared and have no component; repeated rows have the same
+than three words are one shingle; very long texts are hashed whole; ids are whole numbers; rows without an id are not compared and have no component; repeated rows have the same
 result each; an empty table gives no rows; columns of the names added are replaced.
 """
 
@@ -22,11 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, replaced
+from .common import Scratch, connected_components, replaced, small_batches
 
 SHINGLE, SEED, RADIUS, BUCKET = 3, 42, 3, 4096
 _ITEMS = 1 << 16
@@ -34,6 +33,8 @@ _ITEMS = 1 << 16
 
 def fingerprint(text: str) -> int:
     """The unsigned 64-bit fingerprint of a whole text."""
+    import xxhash  # where it is missing the other operators still work
+
     words = text.encode().lower().split()  # bytes: A-Z alone are lowered, split at 0x20 and 0x09-0x0D
     if not words:
         return 0
@@ -54,6 +55,7 @@ def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def with_fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus fp (long, the fingerprint's 64 bits)."""
+    small_batches(docs.sparkSession)
     docs = replaced(docs, ["fp"])
     return docs.withColumn("fp", F.arrow_udf(_fingerprints, "long")(F.col(f"`{text}`")))
 
