@@ -37,6 +37,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        self.written: list[str] = []
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -46,6 +47,7 @@ class Scratch:
         """Writes ``df`` as Parquet; returns it reread, and its path."""
         path = self.path(name)
         df.write.parquet(path)
+        self.written.append(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, path: str) -> None:
@@ -54,6 +56,14 @@ class Scratch:
         hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+    def clear(self, but: str) -> None:
+        """Removes all tables but one, which the result still reads."""
+        for path in self.written:
+            if path != but:
+                self.drop(path)
+        self.written = [but]
+
+
 def replaced(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns whose names (case ignored, as Spark does) clash with those an operator adds."""
     own = {n.lower() for n in names}
