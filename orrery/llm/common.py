@@ -70,6 +70,16 @@ def replaced(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in own])
 
 
+def whole(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all columns as one struct ``_row``: what an operator adds can't clash with the rest."""
+    return df.select(*[F.col(f"`{n}`") for n in names], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+
+
+def unpacked(df: DataFrame, like: DataFrame, text: str) -> DataFrame:
+    """The columns of ``like`` again, of which ``text`` is that of ``df``."""
+    return df.select(*[F.col(f"`{text}`") if c == text else F.col(f"_row.`{c}`").alias(c) for c in like.columns])
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, root): the least node that each node of ``edges`` (u, v) reaches; nodes without edges don't appear.
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced, small_batches
+from .common import replaced, small_batches, unpacked, whole
 
 WINDOW = 13
 BLOCK_CHARS = 16_000_000
@@ -169,9 +169,9 @@ def _count(done: Column, span: Column) -> Column:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents", text: str = "text") -> DataFrame:
     """``docs`` without contaminated documents (``mode`` documents), or with the hit words cut out of all texts (spans)."""
-    found = find_contamination(docs, benchmark, text)
+    found = find_contamination(whole(docs, text), benchmark, text)
     if mode == "documents":
-        return found.where(~F.col("contaminated")).drop("n_words", "n_hit", "hit_spans", "hit_items", "contaminated")
+        return unpacked(found.where(~F.col("contaminated")), docs, text)
 
     def cut(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, spans in batches:
@@ -184,4 +184,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, mode: str = "documents"
                 out.append(value)
             yield pa.array(out, pa.string())
 
-    return found.withColumn(text, F.arrow_udf(cut, "string")(F.col(f"`{text}`"), F.col("hit_spans"))).select(*[f"`{c}`" for c in docs.columns])
+    return unpacked(found.withColumn(text, F.arrow_udf(cut, "string")(F.col(f"`{text}`"), F.col("hit_spans"))), docs, text)
