@@ -16,8 +16,9 @@ def logits_of(output: object, rows: int, classes: int | None = None) -> np.ndarr
     """A model's output as (rows, 1, 2 or 3, or ``classes``) logits: an array, a mapping with logits, or a tuple or list of one of these."""
     if isinstance(output, dict):
         output = output.get("logits", next(iter(output.values())) if len(output) == 1 else None)
-    if isinstance(output, (tuple, list)) and len(output) == 1:
+    if isinstance(output, tuple) and len(output) == 1 or isinstance(output, list) and len(output) == 1 and isinstance(output[0], (np.ndarray, dict)):
         output = output[0]
+        output = output.get("logits") if isinstance(output, dict) else output
     if output is None:
         raise ValueError("the model returned no logits")
     array = np.asarray(output, float)

@@ -162,7 +162,7 @@ def a18_source_document(spark, sf_dir):
 
 @book.add(f"""WITH {REC}, {_OK}, {_DATASETS}, per AS ({_PER_DATASET}) SELECT ds.media_type, sum(total)::BIGINT AS total, round(sum(correct) / sum(total), 6) AS accuracy FROM per JOIN ds ON name = dataset_name GROUP BY 1""")
 def j05_results_by_registered_media_type(spark, sf_dir):
-    joined = B.per_dataset(records(spark, sf_dir)).join(F.broadcast(_datasets(spark, sf_dir)), F.col("dataset_name") == F.col("name"))
+    joined = B.per_dataset(records(spark, sf_dir)).join(_datasets(spark, sf_dir), F.col("dataset_name") == F.col("name"))
     return joined.groupBy("media_type").agg(F.sum("total").alias("total"), F.round(F.sum("correct") / F.sum("total"), 6).alias("accuracy"))
 
 

@@ -66,4 +66,4 @@ def obfuscate(registry: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def original_names(names: DataFrame, mapping: DataFrame) -> DataFrame:
     """``names`` with original_name, the name itself where the mapping has none."""
-    return names.join(F.broadcast(mapping), "name", "left").withColumn("original_name", F.coalesce("original_name", "name"))
+    return names.join(mapping, "name", "left").withColumn("original_name", F.coalesce("original_name", "name"))

@@ -59,13 +59,13 @@ def test_weights_hit_target_shares(spark):
     shares = {"public": 0.5, "holdout": 0.3, "rolling": 0.2}
     out = {r.provenance: r for r in M.provenance_weights(rows, shares).collect()}
     assert {c: r.weight * r.n / 100 for c, r in out.items()} == pytest.approx(shares)
-    absent = {r.provenance: r.weight * r.n / 95 for r in M.provenance_weights(rows.where("dataset_name not like 'gas%'"), shares).collect()}
+    absent = {r.provenance: r.weight * r.n / 95 for r in M.provenance_weights(rows.where("dataset_name not like 'rolling%'"), shares).collect()}
     assert absent == pytest.approx({"public": 0.625, "holdout": 0.375})
     assert [r.weight for r in M.provenance_weights(rows.where("dataset_name like 'pub%'"), {"holdout": 1.0}).collect()] == [1.0]
 
 
 def test_names_and_shares(spark):
-    names = {"real-image-holdout-a1b2c3d4": "holdout", "rolling-image-w23": "rolling", "GASSTATION-VIDEO": "rolling", "34data/pica-100k": "public", None: "public"}
+    names = {"real-image-holdout-a1b2c3d4": "holdout", "rolling-image-w23": "rolling", "ROLLING-VIDEO": "rolling", "34data/pica-100k": "public", None: "public"}
     rows = spark.createDataFrame([(k,) for k in names], "n string").select("n", M.provenance(F.col("n")).alias("p")).collect()
     assert {r.n: r.p for r in rows} == names
     assert M.composition({"holdout": 0.3, "rolling": 0.2})["public"] == pytest.approx(0.5)
