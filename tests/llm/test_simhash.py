@@ -68,3 +68,9 @@ def test_one_of_each_group_stays(spark):
     want = {root for _, root in _components(docs).values()}
     assert sorted(k for k in kept if k is not None) == sorted(want) and None in kept
     assert simhash.components(frame.limit(0)).count() == 0
+
+
+def test_very_long_text():
+    """More shingles than are counted at a time."""
+    text = " ".join(f"w{k % 977}y{k % 13}" for k in range(70_000))
+    assert simhash.fingerprint(text) == _fingerprint(text)
