@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, fm, lines, mil, rules, simhash, urls, warc
+from . import align, bpe, chat, decontam, exact, fim, fm, lines, mil, rules, simhash, urls, warc
 from .common import Scratch
 
 
@@ -144,9 +144,47 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.score(docs, machine).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row that stays of its group of equal texts."""
+    found = exact.exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), keep="largest", with_text=False)
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+_OP11_SQL = """
+    WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents),
+    g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY norm)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM d JOIN g USING (norm)"""
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens by two vocabularies, aligned, with corpus-wide counts of linked ids."""
+    aligned = align.align(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digests = aligned.select("doc_id", "n_a", "n_b", "n_groups", "pairs", "pair_links", F.when(F.col("n_a") == 0, "").otherwise(F.sha2("alignment", 256)).alias("groups_sha256"))
+    return align.score_links(digests).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document turned for filling in the middle, and restored."""
+    turned = fim.restore(fim.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
+    return turned.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("fim", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+_OP13_SQL = """
+    WITH h AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+    d AS (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS x, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS y, ('0x' || substr(h, 17, 8))::BIGINT % 100 AS z, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS w FROM h),
+    c AS (SELECT doc_id, text, n, least(x, y) AS a, greatest(x, y) AS b,
+      CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR z >= 90 THEN 'plain' WHEN w < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+    s AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+      sha256(text) AS restored_sha256
+    FROM s"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_line_dedup, op4_decontamination, op5_byte_bpe, op6_simhash_near_dedup, op7_warc, op8_quality_classifier, op9_url_filters, op10_toxicity)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_quality_rules, op3_line_dedup, op4_decontamination, op5_byte_bpe, op6_simhash_near_dedup, op7_warc, op8_quality_classifier, op9_url_filters, op10_toxicity,
+                                    op11_exact_dedup, op12_cross_tokenizer_alignment, op13_fill_in_middle)}
 
 
 def oracle_sql() -> dict:
-    return {"op1_chat_formatting": _op1_sql(), "op9_url_filters": _op9_sql()}
+    return {"op1_chat_formatting": _op1_sql(), "op9_url_filters": _op9_sql(), "op11_exact_dedup": _OP11_SQL, "op13_fill_in_middle": _OP13_SQL}
