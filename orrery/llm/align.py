@@ -198,7 +198,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
 def _frequent_from(counts: DataFrame) -> int:
     """The least power of two such that at most ``HOT_PAIRS`` pairs have as many links."""
     by = counts.groupBy(F.floor(F.log2("links")).cast("int").alias("power")).agg(F.count("*").alias("n")).collect()  # a row for each power of two
-    total, least = 0, 63
+    total, least = 0, 62
     for row in sorted(by, key=lambda r: -r.power):
         total += row.n
         if total > HOT_PAIRS:
