@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import REC, REG, records, registry, table
 from ..operators import metrics as M
-from ..sources import archives, registry_files, shards
+from ..sources import archive_format, archives, registry_files, shards
 from ..sources.tables import new_folder
 from .common import Book
 
@@ -70,6 +70,28 @@ def s05_archive_members(spark, sf_dir):
     return archives.read_archives(spark, _archives(spark, sf_dir), "image").select("archive_filename", "member_path", _digest(F.col("media")))
 
 
+@book.add(f"SELECT archive_filename, member_path, md5(coalesce(text, '')) AS digest FROM ({_NAMED})")
+def s05_archive_format(spark, sf_dir):
+    """The same by the archive format, in small blocks, so that archives are cut."""
+    archive_format.register(spark)
+    rows = spark.read.format("archive").option("block_bytes", 64 << 10).load(_archives(spark, sf_dir))
+    return rows.select("archive_filename", "member_path", _digest(F.col("media")))
+
+
+@book.add(f"SELECT archive_filename, member_path, md5(coalesce(text, '')) AS digest FROM ({_NAMED})")
+def s05_archive_table_function(spark, sf_dir):
+    """The same by the table function over a listing."""
+    archive_format.register(spark)
+    listed = archives.list_archives(spark, _archives(spark, sf_dir))
+    return spark.sql("SELECT archive_filename, member_path, md5(media) AS digest FROM archive_members(TABLE({listed}) PARTITION BY path)", listed=listed)
+
+
+@book.add(f"WITH m AS (SELECT *, row_number() OVER (PARTITION BY archive_filename ORDER BY md5('42::' || member_path), member_path) AS rn FROM ({_NAMED})) SELECT archive_filename, member_path, md5(coalesce(text, '')) AS digest FROM m WHERE rn <= 25")
+def w02_drawn_members(spark, sf_dir):
+    """Members drawn from the archives' directories; only those are read."""
+    return archives.read_archives(spark, _archives(spark, sf_dir), "image", per_archive=25).select("archive_filename", "member_path", _digest(F.col("media")))
+
+
 @book.add(f"SELECT archive_filename, member_path, CASE WHEN lang <> 'de' THEN lang END AS lang, md5(coalesce(text, '')) AS digest FROM ({_NAMED})")
 def s06_archive_members_with_metadata(spark, sf_dir):
     """Members beside the metadata of their archive and path, null where there is none."""

@@ -13,7 +13,7 @@ from orrery.functions.arrays import target_size
 from orrery.operators import augment as G
 from orrery.operators import ingest as N
 from orrery.operators import scoring
-from orrery.sources import archives, files, registry_files, shards
+from orrery.sources import archive_format, archives, files, registry_files, shards
 
 YAML = """
 datasets:
@@ -62,6 +62,82 @@ def test_archives_members_and_metadata(spark, tmp_path):
     assert archives.read_archives(spark, str(tmp_path), "image", per_archive=1).where("media is not null").count() == 2
 
 
+def _large(path, size=2_500_000_000):
+    """A tar above 2 GB: a member of nothing but a hole before and between small ones."""
+    with open(path, "wb") as out:
+        def add(name, content, hole=0):
+            info = tarfile.TarInfo(name)
+            info.size = len(content) + hole
+            out.write(info.tobuf(tarfile.GNU_FORMAT))
+            out.write(content)
+            out.seek(hole + -(len(content) + hole) % 512, 1)
+
+        add("a.jpg", b"first")
+        add("hole.bin", b"", size)
+        add("b.jpg", b"second")
+        out.write(bytes(1024))
+
+
+@pytest.mark.parametrize("way", ["directory", "format", "function"])
+def test_archive_above_two_gigabytes(spark, tmp_path, way):
+    _large(tmp_path / "large.tar")
+    archive_format.register(spark)
+    if way == "directory":
+        rows = archives.read_archives(spark, str(tmp_path), "image")
+    elif way == "format":
+        rows = spark.read.format("archive").load(str(tmp_path))
+    else:
+        rows = spark.sql("SELECT * FROM archive_members(TABLE({listed}))", listed=archives.list_archives(spark, str(tmp_path)))
+    assert {(r.member_path, bytes(r.media)) for r in rows.collect()} == {("a.jpg", b"first"), ("b.jpg", b"second")}
+
+
+def test_members_of_one_archive_are_read_by_several_tasks(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "one.zip", "w") as z:
+        for k in range(60):
+            z.writestr(f"{k}.jpg", bytes([k]) * 1000, zipfile.ZIP_DEFLATED if k % 2 else zipfile.ZIP_STORED)
+    with tarfile.open(tmp_path / "two.tar", "w") as t:
+        for k in range(60):
+            info = tarfile.TarInfo("d/" * 60 + f"{k}.jpg")  # long names have headers of their own
+            info.size = 1000
+            t.addfile(info, io.BytesIO(bytes([k]) * 1000))
+    archive_format.register(spark)
+    found = archives.read_members(archives.member_directory(archives.list_archives(spark, str(tmp_path)), "image"), block_bytes=8_000)
+    planned = spark.read.format("archive").option("block_bytes", "8000").load(str(tmp_path))
+    for rows in (found, planned):
+        rows = rows.withColumn("task", F.spark_partition_id()).collect()
+        assert {(r.archive_filename, r.member_path.split("/")[-1], bytes(r.media)) for r in rows} == {(a, f"{k}.jpg", bytes([k]) * 1000) for a in ("one.zip", "two.tar") for k in range(60)}
+        assert len(rows) == 120 and all(len({r.task for r in rows if r.archive_filename == a}) > 1 for a in ("one.zip", "two.tar"))
+
+
+def test_members_that_are_not_drawn_are_not_read(spark, tmp_path):
+    """All contents are spoiled but those of the drawn members: no error shows."""
+    with zipfile.ZipFile(tmp_path / "one.zip", "w") as z:
+        for k in range(40):
+            z.writestr(f"{k}.jpg", f"content {k} ".encode() * 9)
+    directory = archives.member_directory(archives.list_archives(spark, str(tmp_path)), "image").collect()
+    drawn = {r.member_path for r in archives.read_archives(spark, str(tmp_path), "image", per_archive=7).collect()}
+    with open(tmp_path / "one.zip", "r+b") as f:
+        for r in directory:
+            if r.member_path not in drawn:
+                f.seek(r.place + 40)
+                f.write(b"spoiled")
+    again = archives.read_archives(spark, str(tmp_path), "image", per_archive=7).collect()
+    assert {r.member_path for r in again} == drawn and len(drawn) == 7 and not any(r.error for r in again)
+    everything = archives.read_archives(spark, str(tmp_path), "image").collect()
+    assert sum(r.error is not None and r.media is None for r in everything) == 33  # wrong checksums, each its own row
+
+
+def test_broken_archives_tell_their_error(spark, tmp_path):
+    _archives(tmp_path)
+    whole = (tmp_path / "two.tar.gz").read_bytes()
+    (tmp_path / "cut.tar.gz").write_bytes(whole[: len(whole) // 2])
+    archive_format.register(spark)
+    ways = [archives.read_archives(spark, str(tmp_path), "image"), spark.read.format("archive").load(str(tmp_path))]
+    for rows in ways:
+        rows = rows.collect()
+        assert {r.archive_filename for r in rows if r.error} == {"bad.zip", "cut.tar.gz"} and sum(r.media is not None for r in rows) == 3
+
+
 def test_raw_files_and_listing(spark, tmp_path):
     _archives(tmp_path)
     lazy = archives.read_raw(spark, str(tmp_path), "image", lazily=True)
