@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..schemas import REGULAR_CACHE_CAP, WEEK_CACHE_CAP
 from .sampling import is_rolling, last_wins, numbered
+from .topk import first_rows
 
 
 def with_metadata(samples: DataFrame, metadata: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -100,8 +101,9 @@ def next_index(existing: DataFrame, incoming: DataFrame, by: str, order: list[Co
 
 def evict(rows: DataFrame, by: str = "iso_week", cap: int = WEEK_CACHE_CAP, drop: str = "oldest") -> DataFrame:
     """At most ``cap`` rows of each group by idx; ``drop`` oldest keeps the newest, and the other way round."""
-    order = F.col("idx").desc() if drop == "oldest" else F.col("idx").asc()
-    return rows.withColumn("_rn", F.row_number().over(Window.partitionBy(by).orderBy(order))).where(F.col("_rn") <= cap).drop("_rn")
+    last = F.lit((1 << 63) - 1)  # rows without an idx are the oldest
+    order = F.coalesce(-F.col("idx"), last) if drop == "oldest" else F.coalesce(F.col("idx"), -last)
+    return first_rows(rows, by, [order], cap, "_rn").drop("_rn")
 
 
 def media_name(modality: Column, idx: Column) -> Column:

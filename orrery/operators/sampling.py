@@ -2,7 +2,8 @@
 
 Draws order rows by MD5 of (seed, id): the same rows at any partitioning, in any engine. For a cap far below a dataset's
 size, ``seeded_sample`` first keeps rows whose hash is below about twice the share wanted, so the ordering window never
-sees a large dataset whole; the few datasets that this leaves short are drawn again in full.
+sees a large dataset whole; the few datasets that this leaves short are drawn again in full. Of what is left each partition
+keeps its first rows alone (see topk), so no more than the cap of a partition is shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import REGULAR_RANGE, ROLLING_PATTERN, ROLLING_RANGE, ROLLING_WEIGHT
+from .topk import first_rows
 
 
 def draw(seed: int, key: Column, salt: str = "") -> Column:
@@ -39,7 +41,8 @@ def seeded_sample(rows: DataFrame, by: str, key: str, cap: int | Column, seed: i
         kept = near.groupBy(F.col(by).alias("_b2")).agg(F.count("*").alias("_k"), F.max(cap).alias("_c")).where("_k >= _c").select("_b2")
         whole = sized.join(kept, F.col(by).eqNullSafe(F.col("_b2")), "left_anti")
         marked = near.join(kept, F.col(by).eqNullSafe(F.col("_b2")), "left_semi").unionByName(whole).drop("_by", "_n")
-    return ranked(marked, [by], [F.col("_draw"), F.col(key)]).where(F.col("rn") <= cap).drop("_draw")
+    none = "" if dict(rows.dtypes)[key] == "string" else 0
+    return first_rows(marked, by, [F.coalesce("_draw", F.lit("")), F.coalesce(F.col(key), F.lit(none))], cap).drop("_draw")
 
 
 def is_rolling(name: Column, pattern: str = ROLLING_PATTERN) -> Column:

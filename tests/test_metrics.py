@@ -83,3 +83,30 @@ def test_partitioning_does_not_matter(spark, parts):
     assert got == {(r.g, r.id) for r in S.seeded_sample(rows.coalesce(1), "g", "id", 9).collect()} and len(got) == 63
     filtered = {(r.g, r.id) for r in S.seeded_sample(rows, "g", "id", 9, prefilter_above=20).collect()}
     assert filtered == got
+
+
+def test_first_rows_of_a_hot_group_are_kept_before_the_shuffle(spark):
+    """No partition sends more of a group than the cap, and the rows are those of a plain window; nulls and ties stand too."""
+    from orrery.operators import ingest as N
+    from orrery.operators import topk
+
+    rows = spark.range(90_000, numPartitions=3).select(
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("iso_week"),
+        F.when(F.col("id") % 1000 != 5, F.pmod(F.xxhash64("id"), F.lit(30_000))).alias("idx"), F.array(F.col("id")).alias("list"))
+    sent = topk.keep_first(rows, "iso_week", [F.coalesce(F.col("idx"), F.lit(0))], 2_500).groupBy("iso_week", F.spark_partition_id().alias("p")).count().collect()
+    assert max(r["count"] for r in sent) == 2_500 and {r.iso_week for r in sent} >= {"hot", None}
+    for drop, order in (("oldest", F.desc("idx")), ("newest", F.asc("idx"))):
+        from pyspark.sql import Window
+
+        want = rows.withColumn("k", F.row_number().over(Window.partitionBy("iso_week").orderBy(order))).where("k <= 2500").groupBy("iso_week", "idx").count().collect()
+        got = N.evict(rows, cap=2_500, drop=drop).groupBy("iso_week", "idx").count().collect()
+        assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_first_rows_with_a_cap_for_each_row(spark):
+    from orrery.operators import sampling as S
+
+    rows = spark.range(300).select("id", (F.col("id") % 3).alias("g"), (F.col("id") % 3 * 4).alias("cap"))
+    got = S.seeded_sample(rows, "g", "id", F.col("cap"))
+    assert {r.g: r["count"] for r in got.groupBy("g").count().collect()} == {1: 4, 2: 8}
+    assert S.seeded_sample(rows.limit(0), "g", "id", 3).count() == 0
