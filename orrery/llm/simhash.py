@@ -22,10 +22,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, replaced, small_batches
+from .common import Placed, Scratch, connected_components, replaced, small_batches
 
 SHINGLE, SEED, RADIUS, BUCKET = 3, 42, 3, 4096
 _ITEMS = 1 << 16
@@ -201,26 +201,40 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(np.ascontiguousarray(np.concatenate(held, axis=1)))
 
 
-def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, fp, component_id) for every row of ``docs``; component_id is the least key reachable over links."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    prints, _ = scratch.put(with_fingerprint(docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))).select("id", "fp"), "prints")
-    classes, _ = scratch.put(prints.where("id is not null").groupBy("fp").agg(F.min("id").alias("id")), "classes")
-    filed = _candidates(classes, scratch)
+def _rooted(docs: DataFrame, text: str, key: str, scratch: Scratch) -> DataFrame:
+    """(id, hash, fp, best) of every row; hash is that of its text, best the least (id, hash) reachable over links, null without an id."""
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.xxhash64(f"`{text}`").alias("hash"), F.col(f"`{text}`").alias("text"))
+    prints, _ = scratch.put(with_fingerprint(rows).select("id", "hash", "fp"), "prints")
+    classes, _ = scratch.put(prints.where("id is not null").groupBy("fp").agg(F.min(F.struct("id", "hash")).alias("own")), "classes")
+    # a class is known by its fingerprint: an id that comes again with another text belongs to several
+    filed = _candidates(classes.select("fp", F.col("fp").alias("id")), scratch)
     dealt = filed.repartition("key").sortWithinPartitions("key")
     edges = dealt.mapInArrow(_links, "u long, v long")
     roots, _ = scratch.put(connected_components(edges, scratch), "roots")
-    of_class = classes.join(roots, F.col("id") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("root", "id").alias("component_id"))
+    linked = classes.join(roots, F.col("fp") == F.col("node")).select("node", "root", "own")
+    least = linked.groupBy(F.col("root").alias("r")).agg(F.min("own").alias("reached"))
+    reached = linked.join(least, F.col("root") == F.col("r")).select("node", "reached")
+    of_class = classes.join(reached, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), F.coalesce("reached", "own").alias("best"))
     joined = prints.join(of_class, F.col("fp") == F.col("_fp"), "left")
-    return joined.select(F.col("id").alias(key), "fp", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return joined.select("id", "hash", "fp", F.when(F.col("id").isNotNull(), F.col("best")).alias("best"))
+
+
+def components(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, fp, component_id) for every row of ``docs``; component_id is the least key reachable over links."""
+    found = _rooted(docs, text, key, Scratch(docs.sparkSession, "simhash"))
+    return found.select(F.col("id").alias(key), "fp", F.col("best.id").alias("component_id"))
 
 
 def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """One document of each group (that of the least key); rows without a key stay, of repeated keys one row stays."""
-    found, _ = Scratch(docs.sparkSession, "simhash-kept").put(components(docs, text, key).where(F.col(key).isNotNull()), "found")
-    gone = found.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("_gone")).distinct()
-    kept = docs.join(gone, F.col(f"`{key}`") == F.col("_gone"), "left_anti")
-    if found.groupBy(key).count().where("count > 1").isEmpty():
-        return kept
-    return kept.where(F.col(f"`{key}`").isNotNull()).dropDuplicates([key]).unionByName(kept.where(F.col(f"`{key}`").isNull()))
+    """One row of each group stays, that of the least key; rows without a key stay. Groups are of rows, not of keys: a key that
+    comes again with an unlinked text is a document of its own. Of rows with the same key and text the first stays, by all their columns as JSON."""
+    scratch, placed = Scratch(docs.sparkSession, "simhash-kept"), Placed(docs, [])
+    rows, text, key = placed.rows, placed.at(text), placed.at(key)
+    found, _ = scratch.put(_rooted(rows, text, key, scratch).where("id is not null"), "found")
+    gone = found.where(F.struct("id", "hash") != F.col("best")).select("id", F.col("hash").alias("h")).distinct()
+    kept = rows.join(gone, (F.col(key).cast("long") == F.col("id")) & (F.xxhash64(text) == F.col("h")), "left_anti")
+    if not found.groupBy("id", "hash").count().where("count > 1").isEmpty():
+        order = Window.partitionBy(key, F.xxhash64(text)).orderBy(F.to_json(F.struct(*rows.columns)))
+        first = kept.where(F.col(key).isNotNull()).withColumn("place", F.row_number().over(order)).where("place = 1").drop("place")
+        kept = first.unionByName(kept.where(F.col(key).isNull()))
+    return kept.select(*placed.columns())

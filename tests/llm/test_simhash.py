@@ -70,6 +70,18 @@ def test_one_of_each_group_stays(spark):
     assert simhash.components(frame.limit(0)).count() == 0
 
 
+def test_repeated_ids_with_other_texts_are_documents_of_their_own(spark):
+    a, b, c = (" ".join(f"{w}{k}" for k in range(60)) for w in ("alpha", "beta", "gamma"))
+    rows = [(2, a, 1), (5, a, 1), (5, b, 1), (7, c, 2), (7, c, 1), (7, a, 1), (8, b, 1), (None, c, 1), (9, None, 1), (9, "", 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n int").repartition(3)
+    kept = sorted(map(tuple, simhash.deduplicate(frame).collect()), key=repr)
+    one = [r for r in kept if r[0] == 9]  # both have fingerprint zero
+    assert len(one) == 1 and [r for r in kept if r[0] != 9] == [(2, a, 1), (5, b, 1), (7, c, 1), (None, c, 1)]
+    # two unlinked texts of one id keep both, whatever their order
+    pair = spark.createDataFrame([(5, a, 1), (5, b, 1)], frame.schema)
+    assert simhash.deduplicate(pair).count() == 2
+
+
 def test_very_long_text():
     """More shingles than are counted at a time."""
     text = " ".join(f"w{k % 977}y{k % 13}" for k in range(70_000))
