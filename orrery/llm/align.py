@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import byte_alphabet
-from .common import Scratch, replaced, small_batches
+from .common import Placed, Scratch, small_batches
 
 ADDED = ["n_a", "n_b", "n_groups", "alignment", "pairs", "pair_links"]
 MEMO_WINDOWS, MEMO_TOKENS = 100_000, 64
@@ -178,12 +178,8 @@ def align(docs: DataFrame, text: str = "text", a_path: str | None = None, b_path
             n_a, n_b, n_groups, alignment, pairs, links = zip(*[aligner.align(v.as_py() or "") for v in batch], strict=True)
             yield pa.StructArray.from_arrays([*[pa.array(n, pa.int64()) for n in (n_a, n_b, n_groups)], pa.array(alignment, pa.string()), _lists(pairs, np.int64), _lists(links, np.int32)], ADDED)
 
-    docs = replaced(docs, ADDED)
-    # columns by place, so that names can't clash
-    names = docs.columns
-    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    rows = rows.withColumn("done", run(F.col(f"c{names.index(text)}")))
-    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "done.*")
+    placed = Placed(docs, ADDED)
+    return placed.rows.withColumn("done", run(F.col(placed.at(text)))).select(*placed.columns(), "done.*")
 
 
 def pair_counts(aligned: DataFrame) -> DataFrame:
@@ -211,15 +207,14 @@ def score_links(aligned: DataFrame, scratch: Scratch | None = None) -> DataFrame
     """``aligned`` without pairs and pair_links, plus n_links, n_best (links whose pair is the most frequent one of its B id) and
     count_sum (the links' counts over the corpus, summed up). ``aligned`` is written once, so leave out what isn't needed."""
     scratch = scratch or Scratch(aligned.sparkSession, "align")
-    aligned = replaced(aligned, ["n_links", "n_best", "count_sum"])
-    names = aligned.columns
-    at = {n: f"c{i}" for i, n in enumerate(names)}
+    placed = Placed(aligned, ["n_links", "n_best", "count_sum"])
+    pairs, links = placed.at("pairs"), placed.at("pair_links")
     # row numbers, fixed once they are written
-    rows, _ = scratch.put(aligned.toDF(*at.values()).withColumn("row", F.monotonically_increasing_id()), "aligned")
-    counts = pair_counts(rows.select(F.col(at["pairs"]).alias("pairs"), F.col(at["pair_links"]).alias("pair_links")))
+    rows, _ = scratch.put(placed.rows.withColumn("row", F.monotonically_increasing_id()), "aligned")
+    counts = pair_counts(rows.select(F.col(pairs).alias("pairs"), F.col(links).alias("pair_links")))
     counts, _ = scratch.put(counts.select("pair", "links", "best"), "counts")
     floor = _frequent_from(counts)
-    each = rows.select("row", F.explode(F.arrays_zip(F.col(at["pairs"]).alias("pair"), F.col(at["pair_links"]).alias("n"))).alias("p")).select("row", "p.pair", "p.n")
+    each = rows.select("row", F.explode(F.arrays_zip(F.col(pairs).alias("pair"), F.col(links).alias("n"))).alias("p")).select("row", "p.pair", "p.n")
     frequent, rare = F.broadcast(counts.where(F.col("links") >= floor)), counts.where(F.col("links") < floor)
 
     def sums(met: DataFrame) -> DataFrame:
@@ -230,5 +225,5 @@ def score_links(aligned: DataFrame, scratch: Scratch | None = None) -> DataFrame
         found = found.union(sums(each.join(frequent.select("pair"), "pair", "left_anti").join(rare, "pair")))
         found = found.groupBy("row").agg(*[F.sum(c).alias(c) for c in ("n_links", "n_best", "count_sum")])
     out = rows.join(found.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
-    kept = [n for n in names if n not in ("pairs", "pair_links")]
-    return out.select(*[F.col(at[n]).alias(n) for n in kept], *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_best", "count_sum")])
+    kept = [c for c, n in zip(placed.columns(), placed.names, strict=True) if n.lower() not in ("pairs", "pair_links")]
+    return out.select(*kept, *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_links", "n_best", "count_sum")])

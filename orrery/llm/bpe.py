@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import replaced, small_batches
+from .common import Placed, replaced, small_batches
 
 CACHE_PIECES = 60_000
 #: Rows of an Arrow batch whose tokens are in memory at a time.
@@ -156,9 +156,9 @@ def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, p
                 ids.append(found), starts.append(first), ends.append(last)
             yield pa.StructArray.from_arrays([_lists(ids), _lists(starts), _lists(ends)], ["ids", "starts", "ends"])
 
-    docs = replaced(docs, ["token_ids", "token_starts", "token_ends", "_t"])
-    coded = docs.withColumn("_t", run(F.col(f"`{text}`")))
-    return coded.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_t.ids").alias("token_ids"), F.col("_t.starts").alias("token_starts"), F.col("_t.ends").alias("token_ends"))
+    placed = Placed(docs, ["token_ids", "token_starts", "token_ends"])
+    coded = placed.rows.withColumn("t", run(F.col(placed.at(text))))
+    return coded.select(*placed.columns(), F.col("t.ids").alias("token_ids"), F.col("t.starts").alias("token_starts"), F.col("t.ends").alias("token_ends"))
 
 
 def decode(coded: DataFrame, ids: str = "token_ids", ranks_path: str | None = None) -> DataFrame:

@@ -64,20 +64,42 @@ class Scratch:
         self.written = [but]
 
 
+def quoted(name: str) -> str:
+    """A column's name as one part of an expression, whatever characters it has."""
+    return f"`{name.replace('`', '``')}`"
+
+
 def replaced(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` without columns whose names (case ignored, as Spark does) clash with those an operator adds."""
     own = {n.lower() for n in names}
-    return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in own])
+    return df.select(*[F.col(quoted(c)) for c in df.columns if c.lower() not in own])
+
+
+class Placed:
+    """``df`` without the columns that an operator adds, with all others called c0, c1, ... by place, so that no name of the
+    operator's own can clash with them; ``columns`` gives them their names back."""
+
+    def __init__(self, df: DataFrame, added: list[str]):
+        df = replaced(df, added)
+        self.names = df.columns
+        self.rows = df.toDF(*[f"c{i}" for i in range(len(self.names))])
+
+    def at(self, name: str) -> str:
+        """What a column is called meanwhile (case ignored, as Spark does)."""
+        return f"c{[n.lower() for n in self.names].index(name.lower())}"
+
+    def columns(self, but: str | None = None) -> list[Column]:
+        return [F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if but is None or f"c{i}" != self.at(but)]
 
 
 def whole(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, and all columns as one struct ``_row``: what an operator adds can't clash with the rest."""
-    return df.select(*[F.col(f"`{n}`") for n in names], F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    return df.select(*[F.col(quoted(n)) for n in names], F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("_row"))
 
 
 def unpacked(df: DataFrame, like: DataFrame, text: str) -> DataFrame:
     """The columns of ``like`` again, of which ``text`` is that of ``df``."""
-    return df.select(*[F.col(f"`{text}`") if c == text else F.col(f"_row.`{c}`").alias(c) for c in like.columns])
+    return df.select(*[F.col(quoted(text)) if c == text else F.col(f"_row.{quoted(c)}").alias(c) for c in like.columns])
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:

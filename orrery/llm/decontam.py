@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced, small_batches, unpacked, whole
+from .common import Placed, small_batches, unpacked, whole
 
 WINDOW = 13
 BLOCK_CHARS = 16_000_000
@@ -131,8 +131,7 @@ def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[list[tuple[s
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", n: int = WINDOW) -> DataFrame:
     """``docs`` plus n_words, n_hit (long), hit_spans (word ranges, end exclusive), hit_items (sorted strings), contaminated."""
-    docs = replaced(docs, ["n_words", "n_hit", "hit_spans", "hit_items", "contaminated", "_f"])
-    spark = docs.sparkSession
+    placed, spark = Placed(docs, ["n_words", "n_hit", "hit_spans", "hit_items", "contaminated"]), docs.sparkSession
     small_batches(spark)
 
     def scan(block: list[tuple[str, str]]) -> Column:
@@ -145,9 +144,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
                 rows = [index.scan(v.as_py() or "") for v in batch]
                 yield pa.array([{"n_words": w, "spans": [{"first": a, "past": b} for a, b in s], "items": sorted(i)} for w, s, i in rows], kind)
 
-        return F.arrow_udf(run, _FOUND)(F.col(f"`{text}`"))
+        return F.arrow_udf(run, _FOUND)(F.col(placed.at(text)))
 
-    found = docs
+    found = placed.rows
     names = []
     for k, block in enumerate(_blocks(benchmark, item, "text") or []):
         found = found.withColumn(f"_f{k}", scan(block))
@@ -156,7 +155,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         found, names = found.withColumn("_f0", scan([])), ["_f0"]
     spans = F.sort_array(F.concat(*[F.col(f"{c}.spans") for c in names]))
     items = F.array_sort(F.array_distinct(F.concat(*[F.col(f"{c}.items") for c in names])))
-    out = found.select(*[F.col(f"`{c}`") for c in docs.columns], F.col(f"{names[0]}.n_words").alias("n_words"), spans.alias("hit_spans"), items.alias("hit_items"))
+    out = found.select(*placed.columns(), F.col(f"{names[0]}.n_words").alias("n_words"), spans.alias("hit_spans"), items.alias("hit_items"))
     n_hit = F.aggregate("hit_spans", F.struct(F.lit(0).alias("past"), F.lit(0).cast("long").alias("n")), _count, lambda a: a["n"])
     out = out.withColumn("n_hit", n_hit)
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, replaced
+from .common import Placed, Scratch, ascii_lower
 
 ADDED = ["keep_id", "group_size", "kept", "text_sha256"]
 #: Characters of a text in a splitter.
@@ -45,11 +45,9 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
     if keep not in ("smallest", "largest"):
         raise ValueError("keep is smallest or largest")
     spark = docs.sparkSession
-    scratch, docs = Scratch(spark, "exact"), replaced(docs, ADDED)
-    names = docs.columns
-    # columns by place, so that names can't clash
-    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text, key = f"c{names.index(text)}", f"c{names.index(key)}"
+    scratch, placed = Scratch(spark, "exact"), Placed(docs, ADDED)
+    left = placed.columns(but=None if with_text else text)
+    rows, text, key = placed.rows, placed.at(text), placed.at(key)
     hot = hot_texts(rows, text, int(spark.conf.get("spark.sql.shuffle.partitions")), scratch)
 
     norm = normal(F.col(text))
@@ -61,8 +59,7 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
     group = equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = ranged.withColumns({"place": F.row_number().over(equal), "keep": F.first(key).over(group), "size": F.count("*").over(group)})
     first, split = F.col("place") == 1, F.col("spread").isNotNull()
-    left = [(c, name) for c, name in zip(rows.columns, names, strict=True) if with_text or c != text]
-    found = found.select(*[c for c, _ in left], "keep", "size", first.alias("first"), split.alias("split"), F.sha2("norm", 256).alias("sha"), F.when(split & first, F.col("norm")).alias("norm"))
+    found = found.select(*[c for c in rows.columns if with_text or c != text], "keep", "size", first.alias("first"), split.alias("split"), F.sha2("norm", 256).alias("sha"), F.when(split & first, F.col("norm")).alias("norm"))
     found, _ = scratch.put(found, "groups")
 
     # hot texts: their shares' first rows, united by the whole text
@@ -72,5 +69,4 @@ def exact_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", keep:
     out = found.join(F.broadcast(united), F.col("split") & (F.col("sha") == F.col("s")), "left")
     keep_id = F.when(F.col("split"), F.col("all_keep")).otherwise(F.col("keep"))
     kept = F.col("first") & F.col("keep").eqNullSafe(keep_id)
-    out = out.select(*[c for c, _ in left], keep_id.alias("keep_id"), F.coalesce("all_size", "size").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
-    return out.toDF(*[name for _, name in left], *ADDED)
+    return out.select(*left, keep_id.alias("keep_id"), F.coalesce("all_size", "size").alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))

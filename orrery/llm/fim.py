@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced, small_batches
+from .common import Placed, replaced, small_batches
 
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
 #: Rows of an Arrow batch whose results are in memory at a time.
@@ -96,12 +96,9 @@ def fill_in_middle(docs: DataFrame, text: str = "text", key: str = "doc_id", see
                 yield pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(form), pa.array(first, pa.int64()), pa.array(middle, pa.int64()), pa.array(out, pa.binary()).cast(pa.string())],
                                                  ["n", "form", "prefix_chars", "middle_chars", "fim"])
 
-    docs = replaced(docs, ["n", "form", "prefix_chars", "middle_chars", "fim"])
-    # columns by place, so that names can't clash
-    names = docs.columns
-    rows = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    rows = rows.withColumn("done", run(F.col(f"c{names.index(text)}"), F.col(f"c{names.index(key)}").cast("string")))
-    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)], "done.*")
+    placed = Placed(docs, ["n", "form", "prefix_chars", "middle_chars", "fim"])
+    rows = placed.rows.withColumn("done", run(F.col(placed.at(text)), F.col(placed.at(key)).cast("string")))
+    return rows.select(*placed.columns(), "done.*")
 
 
 def restore(turned: DataFrame, fim: str = "fim", form: str = "form") -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import replaced, small_batches
+from .common import Placed, replaced, small_batches
 
 MEASUREMENTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _EXTRA = ("n_upper_words", "n_lines")
@@ -125,9 +125,9 @@ def _measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` plus the measurements and ``fail_bits`` (long)."""
     small_batches(docs.sparkSession)
-    docs = replaced(docs, [*MEASUREMENTS, *_EXTRA, "fail_bits", "_m"])
-    measured = docs.withColumn("_m", F.arrow_udf(_measure, _STRUCT)(F.col(f"`{text}`")))
-    measured = measured.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(f"_m.{n}").alias(n) for n in (*MEASUREMENTS, *_EXTRA)])
+    placed = Placed(docs, [*MEASUREMENTS, *_EXTRA, "fail_bits"])
+    measured = placed.rows.withColumn("m", F.arrow_udf(_measure, _STRUCT)(F.col(placed.at(text))))
+    measured = measured.select(*placed.columns(), *[F.col(f"m.{n}").alias(n) for n in (*MEASUREMENTS, *_EXTRA)])
     bits = [F.when(F.expr(condition), F.lit(_BIT[name])).otherwise(F.lit(0)) for name, condition in RULES]
     total: Column = F.lit(0).cast("long")
     for bit in bits:

@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, replaced
+from .common import Placed, ascii_lower
 
 BROADCAST_RULES = 100_000
 
@@ -85,7 +85,7 @@ def _sized(rules: DataFrame) -> DataFrame:
 
 def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """``pages`` (any columns, with ``url``) plus host, path, rule (of fixed rules, else null) and verdict."""
-    pages = replaced(pages, ["host", "path", "rule", "verdict"])
+    placed = Placed(pages, ["host", "path", "rule", "verdict"])
     urls = pages.select("url").where("url is not null").distinct()
     index = index_rules(rules, urls)
     url = F.col("url")
@@ -96,7 +96,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     best = fits.groupBy("url").agg(F.max(F.struct(rank.alias("rank"), "rule", "verdict", "fixed")).alias("b"))
     best = best.select(F.col("url").alias("_url"), "b")
     # null URLs fit nothing, and would all meet in one task
-    out = pages.where("url is not null").join(best, F.col("url") == F.col("_url"), "left")
-    out = out.unionByName(pages.where("url is null"), allowMissingColumns=True)
-    return out.select(*[F.col(f"`{c}`") for c in pages.columns], host_of(url).alias("host"), path_of(url).alias("path"),
+    url = F.col(placed.at("url"))
+    out = placed.rows.where(url.isNotNull()).join(best, url == F.col("_url"), "left")
+    out = out.unionByName(placed.rows.where(url.isNull()), allowMissingColumns=True)
+    return out.select(*placed.columns(), host_of(url).alias("host"), path_of(url).alias("path"),
                       F.when(F.col("b.fixed"), F.col("b.rule")).alias("rule"), F.coalesce("b.verdict", F.lit(default)).alias("verdict"))
