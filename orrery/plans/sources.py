@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..adapters import REC, REG, records, registry, table
 from ..operators import metrics as M
-from ..sources import archive_format, archives, registry_files, shards
+from ..sources import archive_format, archive_stream, archives, registry_files, shards
+from ..streaming import feeds
 from ..sources.tables import new_folder
 from .common import Book
 
@@ -92,6 +93,17 @@ def w02_drawn_members(spark, sf_dir):
     return archives.read_archives(spark, _archives(spark, sf_dir), "image", per_archive=25).select("archive_filename", "member_path", _digest(F.col("media")))
 
 
+@book.add(f"SELECT archive_filename, member_path, md5(coalesce(text, '')) AS digest FROM ({_NAMED})")
+def t01_archive_arrivals(spark, sf_dir):
+    """Archives as a stream, each once by its place in the ledger; a second run finds nothing new."""
+    archive_stream.register(spark)
+    folder, base = _archives(spark, sf_dir), new_folder(spark)
+    for _ in range(2):
+        arrivals = spark.readStream.format("archive_arrivals").option("path", folder).option("ledger", f"{base}/ledger").load()
+        feeds.run(arrivals.select("archive_filename", "member_path", _digest(F.col("media"))), feeds.upsert(f"{base}/out", ["member_path"]), f"{base}/check")
+    return spark.read.parquet(f"{base}/out").drop("batch")
+
+
 @book.add(f"SELECT archive_filename, member_path, CASE WHEN lang <> 'de' THEN lang END AS lang, md5(coalesce(text, '')) AS digest FROM ({_NAMED})")
 def s06_archive_members_with_metadata(spark, sf_dir):
     """Members beside the metadata of their archive and path, null where there is none."""

@@ -6,15 +6,22 @@ from pyspark.sql import functions as F
 
 from ..adapters import EVT, table
 from ..sources.tables import new_folder
-from ..streaming import feeds
+from ..streaming import feeds, weeks
 from .common import Book
 
 book = Book()
 
 
-def _arrivals(spark, sf_dir, doubled: bool = False) -> tuple[str, str]:
-    """(folder of the feed in six files, work folder)."""
+#: Arrival of an event, 0 to 5 in order of time, as ``_arrivals`` deals them.
+_ARRIVAL = "floor((epoch_us(ts) - min(epoch_us(ts)) OVER ()) * 6::DECIMAL(2,0) / (max(epoch_us(ts)) OVER () - min(epoch_us(ts)) OVER () + 1))::INT"
+
+
+def _arrivals(spark, sf_dir, doubled: bool = False, order: tuple[int, ...] | None = (0, 1, 2, 3, 4, 5)) -> tuple[str, str]:
+    """(folder of the feed in six files, work folder). The six arrivals part the time; ``order`` is that in which they come, None: all at once, dealt by chance."""
     base = new_folder(spark)
+    if order is None:
+        table(spark, sf_dir, "events").repartition(6).write.parquet(f"{base}/feed")
+        return f"{base}/feed", base
     events = table(spark, sf_dir, "events")
     rows = events.unionByName(events.where("event_id % 10 = 0")) if doubled else events
     # six arrivals, one after the other, so that the files' order is that of time
@@ -22,14 +29,14 @@ def _arrivals(spark, sf_dir, doubled: bool = False) -> tuple[str, str]:
     span = rows.agg(F.min(at).alias("first"), (F.max(at) - F.min(at) + 1).alias("width"))
     arrival = F.floor((at - F.col("first")) * F.lit(6).cast("decimal(2,0)") / F.col("width")).cast("int")
     rows = rows.join(F.broadcast(span), F.lit(True)).withColumn("arrival", arrival).drop("first", "width")
-    for k in range(6):
+    for k in order:
         rows.where(F.col("arrival") == k).drop("arrival").coalesce(1).write.mode("append").parquet(f"{base}/feed")
     return f"{base}/feed", base
 
 
 @book.add(f"WITH {EVT} SELECT event_id, iso_week FROM evt")
 def t01_incremental_ingest(spark, sf_dir):
-    feed, base = _arrivals(spark, sf_dir)
+    feed, base = _arrivals(spark, sf_dir, order=None)
     feeds.ingest(spark, feed, f"{base}/out", f"{base}/check")
     return feeds.ingest(spark, feed, f"{base}/out", f"{base}/check").select("event_id", "iso_week")  # the second run finds nothing new
 
@@ -65,6 +72,26 @@ def t05_deduplicated(spark, sf_dir):
 
 @book.add(f"WITH {EVT}, x AS (SELECT event_id, iso_week, row_number() OVER (PARTITION BY iso_week ORDER BY event_id DESC) AS rn FROM evt) SELECT event_id, iso_week FROM x WHERE rn <= 150")
 def t07_capped_weeks(spark, sf_dir):
+    """Weeks capped by keyed state: rows that enter and leave, a micro-batch at a time."""
+    feed, base = _arrivals(spark, sf_dir)
+    weeks.cap_weeks(feeds.with_week(feeds.read_feed(spark, feed, 2)), 150, f"{base}/out", f"{base}/check")
+    return weeks.capped_weeks(spark, f"{base}/out").select("event_id", "iso_week")
+
+
+@book.add(f"WITH {EVT}, x AS (SELECT event_id, iso_week, row_number() OVER (PARTITION BY iso_week ORDER BY event_id DESC) AS rn FROM evt) SELECT event_id, iso_week FROM x WHERE rn <= 150")
+def t07_capped_generations(spark, sf_dir):
+    """The same by generations of the touched weeks' files, without keyed state."""
     feed, base = _arrivals(spark, sf_dir)
     feeds.run(feeds.with_week(feeds.read_feed(spark, feed, 2)), feeds.capped_cache(150, f"{base}/out"), f"{base}/check")
     return feeds.read_cache(spark, f"{base}/out").select("event_id", "iso_week")
+
+
+@book.add(f"""WITH a AS (SELECT event_id, ts, {_ARRIVAL} AS arrival FROM events), o AS (SELECT *, [0, 3, 4, 1, 2, 5][arrival + 1] AS come FROM a),
+    n AS (SELECT come, max(max(ts)) OVER (ORDER BY come ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM o GROUP BY come)
+    SELECT event_id, coalesce(ts < newest - INTERVAL 7 days, false) AS late FROM o JOIN n USING (come)""")
+def t06_late_rows(spark, sf_dir):
+    """Arrivals out of order: rows more than a week older than what had come before are put aside, not lost."""
+    feed, base = _arrivals(spark, sf_dir, order=(0, 3, 4, 1, 2, 5))
+    feeds.run(feeds.read_feed(spark, feed, 1), weeks.gate(f"{base}/gate", "7 days"), f"{base}/check")
+    in_time, late = weeks.gated(spark, f"{base}/gate")
+    return in_time.select("event_id", F.lit(False).alias("late")).union(late.select("event_id", F.lit(True)))

@@ -42,21 +42,23 @@ def found(path: str, suffixes: tuple[str, ...], start: int | None = None, stop:
     yield from contents(path, sorted(rows, key=lambda r: r["place"]))
 
 
+def listed(path: str) -> Iterator[tuple[str, int]]:
+    """(path, size) of the archives in a folder, or of one."""
+    local = path.startswith(("file:", "/"))
+    store, root = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(path)
+    info = store.get_file_info(root)
+    files = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
+    scheme = "" if local else path.split("://", 1)[0] + "://"
+    return ((scheme + f.path, f.size) for f in files if f.is_file and KINDS.search(f.path.lower()))
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, path: str, modality: str, block_bytes: int):
         self.path, self.suffixes, self.block_bytes = path, MEDIA_SUFFIXES[modality], block_bytes
 
-    def _listed(self) -> Iterator[tuple[str, int]]:
-        local = self.path.startswith(("file:", "/"))
-        store, root = (fs.LocalFileSystem(), "/" + self.path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(self.path)
-        info = store.get_file_info(root)
-        files = [info] if info.is_file else store.get_file_info(fs.FileSelector(root, recursive=True))
-        scheme = "" if local else self.path.split("://", 1)[0] + "://"
-        return ((scheme + f.path, f.size) for f in files if f.is_file and KINDS.search(f.path.lower()))
-
     def partitions(self) -> list[Part]:
         parts = []
-        for path, size in self._listed():
+        for path, size in listed(self.path):
             cuts: list[int] = []
             if size > self.block_bytes:
                 try:
