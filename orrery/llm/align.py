@@ -23,7 +23,7 @@ import json
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from .bpe import byte_alphabet
 from .common import Placed, Scratch, small_batches
 
 ADDED = ["n_a", "n_b", "n_groups", "alignment", "pairs", "pair_links"]
-MEMO_WINDOWS, MEMO_TOKENS = 100_000, 64
+MEMO_WINDOWS, MEMO_TOKENS = 120_000, 64
 HOT_PAIRS = 1 << 20
 SLICE = 100
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -82,7 +82,10 @@ class Aligner:
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
         self.of_b = Vocabulary([self._piece(i) for i in range(self.b.get_piece_size())])
         self.size_a, self.size_b = self.of_a.lengths.tolist(), self.of_b.lengths.tolist()
-        self.memo: dict[tuple, tuple[str, list[int], int]] = {}
+        self.name_a, self.name_b = ([f"{i}," for i in range(len(sizes))] for sizes in (self.size_a, self.size_b))
+        # two halves: a window that is met again moves to the young one, and the old one goes when the young one is full
+        self.memo: dict[tuple, tuple[str, list[int]]] = {}
+        self.old: dict[tuple, tuple[str, list[int]]] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -97,26 +100,34 @@ class Aligner:
         same = all(b"".join(map(v.bytes_of.__getitem__, ids)) == wanted for v, ids in ((self.of_a, a), (self.of_b, b)))
         return (a, b) if same else ([], [])
 
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, list[int], int]:
-        """(groups as text, linked pairs as a << 32 | b, number of groups) of a window."""
-        groups, pairs, i0, j0 = [], [], 0, 0
-        ends_b = {end: j for j, end in enumerate(accumulate(map(self.size_b.__getitem__, b)), 1)}
-        for i, end in enumerate(accumulate(map(self.size_a.__getitem__, a)), 1):
-            j = ends_b.get(end)
-            if j:
-                groups.append(f"{','.join(map(str, a[i0:i]))}|{','.join(map(str, b[j0:j]))}")
-                pairs.append(a[i - 1] << 32 | b[j - 1])
-                i0, j0 = i, j
-        return ";".join(groups), pairs, len(groups)
-
-    def known(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, list[int], int]:
-        found = self.memo.get((a, b))
-        if found is None:
-            found = self.window(a, b)
-            if len(a) + len(b) <= MEMO_TOKENS:
-                if len(self.memo) >= MEMO_WINDOWS:
-                    self.memo.clear()
-                self.memo[a, b] = found
+    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, list[int]]:
+        """(groups as text, linked pairs as a << 32 | b) of a window: the side that is behind takes its next token, until both stand at one byte."""
+        size_a, size_b, name_a, name_b = self.size_a, self.size_b, self.name_a, self.name_b
+        groups, pairs, i, j, end_a, end_b, part_a, part_b = [], [], 0, 0, 0, 0, "", ""
+        while i < len(a) or j < len(b):
+            if end_a <= end_b:
+                x = a[i]
+                i += 1
+                end_a += size_a[x]
+                part_a += name_a[x]
+            else:
+                y = b[j]
+                j += 1
+                end_b += size_b[y]
+                part_b += name_b[y]
+            if end_a == end_b:
+                groups.append(f"{part_a[:-1]}|{part_b[:-1]}")
+                pairs.append(x << 32 | y)
+                part_a = part_b = ""
+        return ";".join(groups), pairs
+
+    def known(self, window: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[str, list[int]]:
+        """A window that isn't in the young half of the memo: from the old half, or worked out."""
+        found = self.old.get(window) or self.window(*window)
+        if len(window[0]) + len(window[1]) <= MEMO_TOKENS:
+            if len(self.memo) >= MEMO_WINDOWS:
+                self.memo, self.old = {}, self.memo
+            self.memo[window] = found
         return found
 
     def align(self, text: str) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
@@ -129,19 +140,14 @@ class Aligner:
         marked_a, marked_b = np.flatnonzero(self.of_a.spaced[ids_a]), np.flatnonzero(self.of_b.spaced[ids_b])
         # a marked token that begins at the same byte in both: what comes before ends there in both
         _, at_a, at_b = np.intersect1d(starts_a[marked_a], starts_b[marked_b], assume_unique=True, return_indices=True)
-        cuts_a, cuts_b = [0, *marked_a[at_a].tolist(), len(a)], [0, *marked_b[at_b].tolist(), len(b)]
+        cuts_a, cuts_b = marked_a[at_a].tolist(), marked_b[at_b].tolist()
         a, b = tuple(a), tuple(b)
-        windows = [(a[i:k], b[j:m]) for i, k, j, m in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False) if i < k]
-        found = Counter(windows)
-        done = {w: self.known(*w) for w in found}
-        links: dict[int, int] = {}
-        n_groups = 0
-        for w, times in found.items():
-            _, pairs, n = done[w]
-            n_groups += n * times
-            for p in pairs:
-                links[p] = links.get(p, 0) + times
-        return len(a), len(b), n_groups, ";".join([done[w][0] for w in windows]), np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int32, len(links))
+        windows = [(a[i:k], b[j:m]) for i, k, j, m in zip(cuts_a, [*cuts_a[1:], len(a)], cuts_b, [*cuts_b[1:], len(b)], strict=True)]
+        if not cuts_a or cuts_a[0] or cuts_b[0]:  # what comes before the first anchor
+            windows.insert(0, (a[: cuts_a[0]], b[: cuts_b[0]]) if cuts_a else (a, b))
+        done = [self.memo.get(w) or self.known(w) for w in windows]
+        links = Counter(chain.from_iterable([pairs for _, pairs in done]))
+        return len(a), len(b), links.total(), ";".join([groups for groups, _ in done]), np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int32, len(links))
 
 
 @lru_cache(maxsize=1)
