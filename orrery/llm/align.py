@@ -34,7 +34,9 @@ from .bpe import byte_alphabet
 from .common import Placed, Scratch, small_batches
 
 ADDED = ["n_a", "n_b", "n_groups", "alignment", "pairs", "pair_links"]
-MEMO_WINDOWS, MEMO_TOKENS = 120_000, 64
+MEMO_WINDOWS, MEMO_TOKENS = 200_000, 64
+#: Ids of B stand beyond those of A in a packed window.
+B_FROM = 1 << 24
 HOT_PAIRS = 1 << 20
 SLICE = 100
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -84,68 +86,82 @@ class Aligner:
         self.size_a, self.size_b = self.of_a.lengths.tolist(), self.of_b.lengths.tolist()
         self.name_a, self.name_b = ([f"{i}," for i in range(len(sizes))] for sizes in (self.size_a, self.size_b))
         # two halves: a window that is met again moves to the young one, and the old one goes when the young one is full
-        self.memo: dict[tuple, tuple[str, list[int]]] = {}
-        self.old: dict[tuple, tuple[str, list[int]]] = {}
+        self.memo: dict[bytes, tuple[str, tuple[int, ...]]] = {}
+        self.old: dict[bytes, tuple[str, tuple[int, ...]]] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
 
-    def tokens(self, text: str) -> tuple[list[int], list[int]]:
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Ids by A and by B; none where they don't give the text back."""
+        none = np.zeros(0, np.int64)
         if not text:
-            return [], []
-        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text, num_threads=1)
-        wanted = (" " + text).encode()
-        same = all(b"".join(map(v.bytes_of.__getitem__, ids)) == wanted for v, ids in ((self.of_a, a), (self.of_b, b)))
-        return (a, b) if same else ([], [])
-
-    def window(self, a: tuple[int, ...], b: tuple[int, ...]) -> tuple[str, list[int]]:
+            return none, none
+        a, b, wanted = self.a.encode_ordinary(" " + text), self.b.encode(text, num_threads=1), b" " + text.encode()
+        ids_a = np.array(a)
+        # A has every byte, and its merges lose none; B's normalisation may
+        same = self.of_a.lengths[ids_a].sum() == len(wanted) and b"".join(map(self.of_b.bytes_of.__getitem__, b)) == wanted
+        return (ids_a, np.array(b)) if same else (none, none)
+
+    def window(self, key: bytes) -> tuple[str, tuple[int, ...]]:
         """(groups as text, linked pairs as a << 32 | b) of a window: the side that is behind takes its next token, until both stand at one byte."""
         size_a, size_b, name_a, name_b = self.size_a, self.size_b, self.name_a, self.name_b
-        groups, pairs, i, j, end_a, end_b, part_a, part_b = [], [], 0, 0, 0, 0, "", ""
-        while i < len(a) or j < len(b):
-            if end_a <= end_b:
-                x = a[i]
+        ids = memoryview(key).cast("i").tolist()
+        groups, pairs, i, end_a, end_b, part_a, part_b = [], [], 0, 0, 0, "", ""
+        for y in ids:
+            if y < B_FROM:
+                continue
+            y -= B_FROM
+            while end_a <= end_b:
+                x = ids[i]
+                i += 1
+                end_a += size_a[x]
+                part_a += name_a[x]
+            end_b += size_b[y]
+            part_b += name_b[y]
+            while end_a < end_b:
+                x = ids[i]
                 i += 1
                 end_a += size_a[x]
                 part_a += name_a[x]
-            else:
-                y = b[j]
-                j += 1
-                end_b += size_b[y]
-                part_b += name_b[y]
             if end_a == end_b:
                 groups.append(f"{part_a[:-1]}|{part_b[:-1]}")
                 pairs.append(x << 32 | y)
                 part_a = part_b = ""
-        return ";".join(groups), pairs
+        return ";".join(groups), tuple(pairs)
 
-    def known(self, window: tuple[tuple[int, ...], tuple[int, ...]]) -> tuple[str, list[int]]:
+    def known(self, key: bytes) -> tuple[str, tuple[int, ...]]:
         """A window that isn't in the young half of the memo: from the old half, or worked out."""
-        found = self.old.get(window) or self.window(*window)
-        if len(window[0]) + len(window[1]) <= MEMO_TOKENS:
+        found = self.old.get(key) or self.window(key)
+        if len(key) <= 4 * MEMO_TOKENS:
             if len(self.memo) >= MEMO_WINDOWS:
                 self.memo, self.old = {}, self.memo
-            self.memo[window] = found
+            self.memo[key] = found
         return found
 
-    def align(self, text: str) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
-        """(tokens by A, tokens by B, groups, alignment, pairs in order, links of each)."""
-        a, b = self.tokens(text)
-        if not a:
-            return 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32)
-        ids_a, ids_b = np.array(a), np.array(b)
+    def windows(self, ids_a: np.ndarray, ids_b: np.ndarray) -> list[bytes]:
+        """The windows in order, each as its tuple of ids, packed: those of A, then those of B beyond ``B_FROM``."""
         starts_a, starts_b = (np.cumsum(v.lengths[ids]) - v.lengths[ids] for v, ids in ((self.of_a, ids_a), (self.of_b, ids_b)))
         marked_a, marked_b = np.flatnonzero(self.of_a.spaced[ids_a]), np.flatnonzero(self.of_b.spaced[ids_b])
         # a marked token that begins at the same byte in both: what comes before ends there in both
         _, at_a, at_b = np.intersect1d(starts_a[marked_a], starts_b[marked_b], assume_unique=True, return_indices=True)
-        cuts_a, cuts_b = marked_a[at_a].tolist(), marked_b[at_b].tolist()
-        a, b = tuple(a), tuple(b)
-        windows = [(a[i:k], b[j:m]) for i, k, j, m in zip(cuts_a, [*cuts_a[1:], len(a)], cuts_b, [*cuts_b[1:], len(b)], strict=True)]
-        if not cuts_a or cuts_a[0] or cuts_b[0]:  # what comes before the first anchor
-            windows.insert(0, (a[: cuts_a[0]], b[: cuts_b[0]]) if cuts_a else (a, b))
-        done = [self.memo.get(w) or self.known(w) for w in windows]
+        cuts_a, cuts_b = np.append(marked_a[at_a], len(ids_a)), np.append(marked_b[at_b], len(ids_b))
+        if cuts_a[0]:  # what comes before the first anchor
+            cuts_a, cuts_b = np.append(0, cuts_a), np.append(0, cuts_b)
+        # tokens in the order of their windows, A before B
+        window_a, window_b = (np.searchsorted(cuts, np.arange(n), "right") for cuts, n in ((cuts_a, len(ids_a)), (cuts_b, len(ids_b))))
+        order = np.argsort(np.concatenate([2 * window_a, 2 * window_b + 1]), kind="stable")
+        packed = np.concatenate([ids_a, ids_b + B_FROM]).astype(np.int32)[order].tobytes()
+        ends = (4 * (cuts_a + cuts_b)).tolist()
+        return [packed[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+
+    def align(self, text: str) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
+        """(tokens by A, tokens by B, groups, alignment, pairs in order, links of each)."""
+        a, b = self.tokens(text)
+        if not len(a):
+            return 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32)
+        done = [self.memo.get(w) or self.known(w) for w in self.windows(a, b)]
         links = Counter(chain.from_iterable([pairs for _, pairs in done]))
         return len(a), len(b), links.total(), ";".join([groups for groups, _ in done]), np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int32, len(links))
 
