@@ -116,6 +116,91 @@ def contrast(px: Column, factor: float) -> Column:
     return F.transform(px, lambda x: (x * factor).cast("int").cast("double"))
 
 
+def gaussian(key: Column, place: Column, seed: int = 42) -> Column:
+    """A standard normal number for a place of a row, by Box and Muller from two parts of the MD5 of (seed, place, key): no state, so the same in any order."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:noise:"), place.cast("string"), F.lit(":"), key.cast("string")).cast("binary"))
+
+    def part(d: Column, first: int) -> Column:
+        return (F.conv(F.substring(d, first, 8), 16, 10).cast("double") + 0.5) / 2.0**32
+
+    # an array of one element gives the digest a name
+    return F.transform(F.array(digest), lambda d: F.sqrt(-2 * F.log(part(d, 1))) * F.cos(2 * np.pi * part(d, 9)))[0]
+
+
+def noisy(px: Column, key: Column, variance: float, seed: int = 42) -> Column:
+    """Gaussian noise on every value, cut to a whole number within 0 to 255."""
+    scale = 255 * variance**0.5
+    return F.transform(px, lambda x, i: F.greatest(F.lit(0.0), F.least(F.lit(255.0), (x + scale * gaussian(key, i, seed)).cast("int").cast("double"))))
+
+
+def gaussian_weights(size: int) -> list[float]:
+    """Of odd width ``size``, deviation a sixth of it, their sum 1."""
+    weights = np.exp(-((np.arange(size) - size // 2) ** 2) / (2 * (size / 6) ** 2))
+    return (weights / weights.sum()).tolist()
+
+
+def mirrored(place: Column, n: Column, width: int) -> Column:
+    """A place within 0 to n - 1, mirrored at the edge values, or between them where the side isn't longer than half of ``width``."""
+    inner = F.when(n > width // 2, 2 * (n - 1)).otherwise(2 * n)
+    at = F.pmod(place, F.greatest(inner, F.lit(1)))
+    return F.when(at < n, at).otherwise(F.when(n > width // 2, inner - at).otherwise(inner - 1 - at))
+
+
+def convolved(px: Column, h: Column, w: Column, c: Column, weights: list[float], down: bool) -> Column:
+    """Each value as the weighted sum of those around it, along a column (``down``) or a row."""
+    half = len(weights) // 2
+
+    def summed(i: Column) -> Column:
+        y, x, z = F.floor(i / (w * c)), F.floor(i / c) % w, i % c
+        total = None
+        for k, weight in enumerate(weights):
+            row = mirrored(y + k - half, h, len(weights)) if down else y
+            column = x if down else mirrored(x + k - half, w, len(weights))
+            term = F.get(px, ((row * w + column) * c + z).cast("int")) * weight
+            total = term if total is None else total + term
+        return total
+
+    return F.transform(F.sequence(F.lit(0), h * w * c - 1), summed)
+
+
+def blurred(tiles: DataFrame, size: int) -> DataFrame:
+    """Separable Gaussian blur: a pass down, then a pass across."""
+    weights, shape = gaussian_weights(size), (F.col("h"), F.col("w"), F.col("c"))
+    down = tiles.withColumn("px", convolved(F.col("px"), *shape, weights, True))
+    return down.withColumn("px", convolved(F.col("px"), *shape, weights, False))
+
+
+def occluded(px: Column, h: Column, w: Column, c: Column, key: Column, density: int, width: int = 8, unit: int = 256, seed: int = 42) -> Column:
+    """Grey squares: ``density`` of them for each whole ``unit`` of the shorter side, at places drawn for the row; they may overlap."""
+    def corner(k: Column) -> Column:
+        def at(what: str, side: Column) -> Column:
+            number = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:{what}:"), k.cast("string"), F.lit(":"), key.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double")
+            return F.floor(number / 2.0**32 * F.greatest(side - width, F.lit(1)))
+
+        return F.struct(at("block top", h).alias("top"), at("block left", w).alias("left"))
+
+    n = F.floor(F.least(h, w) / unit) * density
+    corners = F.when(n > 0, F.transform(F.sequence(F.lit(1), n.cast("int")), corner)).otherwise(F.array().cast("array<struct<top:bigint,left:bigint>>"))
+
+    def inside(i: Column, s: Column) -> Column:
+        y, x = F.floor(i / (w * c)), F.floor(i / c) % w
+        return (y >= s["top"]) & (y < s["top"] + width) & (x >= s["left"]) & (x < s["left"] + width)
+
+    return F.transform(F.array(corners), lambda cs: F.transform(px, lambda x, i: F.when(F.exists(cs, lambda s: inside(i, s)), 128.0).otherwise(x)))[0]
+
+
+def augment_frames(frames: DataFrame, plans: DataFrame, key: str = "sample_id", seed: int = 42, also: tuple[str, ...] = ()) -> DataFrame:
+    """All frames of a sample under its one plan row: crop and flips are the same for every frame, and for ``also``, other tiles of a frame's
+    shape (a mask, the other of a pair). ``plans`` has a row for each sample; frames without one are left as they are."""
+    recorded = plans.select(F.col(key).alias("_k"), "level", "crop_scale", "hflip", "vflip")
+    planned = frames.join(recorded, F.col(key) == F.col("_k"), "left").withColumn("level", F.coalesce("level", F.lit(0))).drop("_k")
+    out = geometry(planned, key, seed)
+    for name in also:
+        shared = geometry(planned.withColumn("px", F.col(name)).withColumnRenamed("frame", "_f").select(F.col(key).alias("_k"), "_f", "h", "w", "c", "px", "level", "crop_scale", "hflip", "vflip"), "_k", seed)
+        out = out.drop(name).join(shared.select("_k", "_f", F.col("px").alias(name)), (F.col(key) == F.col("_k")) & (F.col("frame") == F.col("_f"))).drop("_k", "_f")
+    return out
+
+
 # Kernels over one tile as an array (h, w, c); each takes the tile, a parameter and a random generator.
 
 def resize(tile: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -165,10 +250,10 @@ def blur(tile: np.ndarray, size: float, rng=None) -> np.ndarray:
     return tile
 
 
-def blocks(tile: np.ndarray, density: float, rng: np.random.Generator, width: int = 8, area: int = 256 * 256) -> np.ndarray:
-    """Grey squares over a share of the tile: ``density`` of them for each ``area`` pixels, wherever they fall; they may overlap."""
+def blocks(tile: np.ndarray, density: float, rng: np.random.Generator, width: int = 8, unit: int = 256) -> np.ndarray:
+    """Grey squares: ``density`` of them for each whole ``unit`` of the shorter side, wherever they fall; they may overlap."""
     size = np.array(tile.shape[:2])
-    corners = (rng.random((round(density * size.prod() / area), 2)) * np.maximum(size - width + 1, 1)).astype(int)
+    corners = (rng.random((int(size.min() // unit * density), 2)) * np.maximum(size - width, 1)).astype(int)
     distance = [np.arange(n)[None, :] - corners[:, k, None] for k, n in enumerate(size)]
     down, across = [(d >= 0) & (d < width) for d in distance]
     covered = down.T.astype(np.float32) @ across.astype(np.float32) > 0

@@ -1,7 +1,8 @@
 """Weighted evaluation metrics over run records, as aggregate expressions.
 
 Rows are records with label, predicted, probs, correct and inference_time_ms; a row of weight w counts as w copies. One
-aggregation gives the sums, and the metrics are expressions over them; exact percentiles take two more scans that count values.
+aggregation gives the sums, with bounds for the percentile wanted, and the metrics are expressions over them; it is written, a row
+for a group, and one more scan counts the values between the bounds for the exact percentile.
 An empty input still gives its row of defaults.
 """
 
@@ -69,13 +70,14 @@ def _range(value: str, q: float) -> Column:
     return F.struct(F.count(value).alias("n"), F.when(small, F.min(value)).otherwise(near[0]).alias("low"), F.when(small, F.max(value)).otherwise(near[1]).alias("high"))
 
 
-def quantile(rows: DataFrame, value: str, q: float, by: list[str] | None = None, name: str = "quantile") -> DataFrame:
+def quantile(rows: DataFrame, value: str, q: float, by: list[str] | None = None, name: str = "quantile", bounds: DataFrame | None = None) -> DataFrame:
     """The exact, linearly interpolated quantile of each group of ``by`` (null where a group has no values), as (by, name).
 
     Values are counted, those below the range of the rank wanted as one; the ordered window sees only the counts within
-    it, so no task holds a group's values."""
+    it, so no task holds a group's values. ``bounds``, with a column ``_r`` of ``_range``, saves the scan for them."""
     by = by or []
-    bounds = rows.groupBy(*[F.col(c).alias(f"_{c}") for c in by]).agg(_range(value, q).alias("_r"))
+    bounds = rows.groupBy(*by).agg(_range(value, q).alias("_r")) if bounds is None else bounds
+    bounds = bounds.select(*[F.col(c).alias(f"_{c}") for c in by], "_r")
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
@@ -88,26 +90,29 @@ def quantile(rows: DataFrame, value: str, q: float, by: list[str] | None = None,
     return picked.select(*by, (F.col("_a") + F.when(F.col("_f") > 0, F.col("_f") * (F.col("_b") - F.col("_a"))).otherwise(0.0)).alias(name))
 
 
-def _with_quantile(sums: DataFrame, rows: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
-    """``sums`` with the 95th percentile of ``value`` beside them, null where there is none."""
-    found = quantile(rows, value, 0.95, by, name)
+def _with_quantile(sums: list[Column], rows: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
+    """The aggregates ``sums`` of each group with the 95th percentile of ``value`` beside them, null where there is none: two scans of ``rows``."""
+    from ..sources.tables import kept
+
+    done = kept(rows.groupBy(*(by or [])).agg(*sums, _range(value, 0.95).alias("_r")))
+    found = quantile(rows, value, 0.95, by, name, done)
     if not by:
-        return sums.join(F.broadcast(found.agg(F.max(name).alias(name))), F.lit(True))  # a row each
+        return done.drop("_r").join(F.broadcast(found.agg(F.max(name).alias(name))), F.lit(True))  # a row each
     same = F.lit(True)
     for c in by:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return sums.join(found.select(*[F.col(c).alias(f"_{c}") for c in by], name), same, "left").drop(*[f"_{c}" for c in by])
+    return done.drop("_r").join(found.select(*[F.col(c).alias(f"_{c}") for c in by], name), same, "left").drop(*[f"_{c}" for c in by])
 
 
 def latency(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean and 95th percentile (interpolated) of inference_time_ms, 0 where there is none."""
-    means = rows.groupBy(*(by or [])).agg(F.coalesce(F.avg("inference_time_ms"), F.lit(0.0)).alias("avg_ms"))
-    return _with_quantile(means, rows, "inference_time_ms", "p95_ms", by).withColumn("p95_ms", F.coalesce("p95_ms", F.lit(0.0)))
+    means = F.coalesce(F.avg("inference_time_ms"), F.lit(0.0)).alias("avg_ms")
+    return _with_quantile([means], rows, "inference_time_ms", "p95_ms", by).withColumn("p95_ms", F.coalesce("p95_ms", F.lit(0.0)))
 
 
 def metric_pack(rows: DataFrame, weight: Column | None = None, by: list[str] | None = None, agg: str = "geomean") -> DataFrame:
     """n, accuracy, latencies, mcc, cross_entropy, brier and score; one row, or one for each group of ``by``."""
-    sums = rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.sum(F.when(F.coalesce(F.size("probs"), F.lit(0)) <= 0, 1).otherwise(0)).alias("missing_probs"), accuracy(weight), F.coalesce(F.avg("inference_time_ms"), F.lit(0.0)).alias("avg_ms"), *confusion(weight), *losses(weight))
+    sums = [F.count("*").alias("n"), F.sum(F.when(F.coalesce(F.size("probs"), F.lit(0)) <= 0, 1).otherwise(0)).alias("missing_probs"), accuracy(weight), F.coalesce(F.avg("inference_time_ms"), F.lit(0.0)).alias("avg_ms"), *confusion(weight), *losses(weight)]
     sums = _with_quantile(sums, rows, "inference_time_ms", "p95_ms", by).withColumn("p95_ms", F.coalesce("p95_ms", F.lit(0.0)))
     out = sums.withColumn("mcc", mcc()).withColumn("score", F.when(F.col("n") > 0, score(agg)).otherwise(0.0))
     return out.drop("tp", "tn", "fp", "fn").withColumn("missing_probs", F.coalesce("missing_probs", F.lit(0)).cast("long"))
@@ -153,11 +158,14 @@ def realized_composition(rows: DataFrame, spark) -> DataFrame:
 
 def paired_degradation(records: DataFrame, binary: bool = False) -> DataFrame:
     """Base and augmented rows of one sample: pairs, mean and 95th percentile of the drop of P(correct class)."""
+    from ..sources.tables import kept
+
     p = scores.correct_probability(binary)
     base = ok_rows(records).select("sample_id", p.alias("base"))
     augmented = ok_rows(records, True).select("sample_id", p.alias("aug"))
     drops = base.join(augmented, "sample_id").where("base is not null and aug is not null").select((F.col("base") - F.col("aug")).alias("drop"))
-    return _with_quantile(drops.agg(F.count("*").alias("pairs"), F.avg("drop").alias("mean_drop")), drops, "drop", "p95_drop")
+    drops = kept(drops)  # a number for each pair: the join is made once
+    return _with_quantile([F.count("*").alias("pairs"), F.avg("drop").alias("mean_drop")], drops, "drop", "p95_drop")
 
 
 def robustness(records: DataFrame, aug_weight: float = 0.3) -> DataFrame:

@@ -112,9 +112,24 @@ def g05_aspect_and_resize(spark, sf_dir):
     return out.select("sample_id", "h", "w", listed(F.transform("px", lambda x: F.round(x, 3))).alias("px"))
 
 
-@book.add()
+_PART = "(('0x' || substr(md5('42:noise:' || i || ':' || sample_id), {}, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE"
+_NOISY = f"greatest(0.0, least(255.0, trunc(px[i + 1] + {255 * G.distortion('GNC', 3) ** 0.5!r}::DOUBLE * sqrt(-2 * ln({_PART.format(1)})) * cos(2 * pi() * ({_PART.format(9)})))))"
+
+
+@book.add(f"WITH {TILE} SELECT sample_id, {listed_sql(f'list_transform(range(0, 64), lambda i: {_NOISY})')} AS px FROM tile")
 def g08_colour_noise(spark, sf_dir):
-    return G.apply_kernels(tiles(spark, sf_dir), [("GNC", G.distortion("GNC", 3))])
+    """Noise from hashed counters: the same at any partitioning, and in any engine."""
+    return tiles(spark, sf_dir).select("sample_id", listed(G.noisy(F.col("px"), F.col("sample_id"), G.distortion("GNC", 3))).alias("px"))
+
+
+_SQUARE = "floor(('0x' || substr(md5('42:block {}:' || k || ':' || sample_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE * 6)::INT"
+
+
+@book.add(f"""WITH {TILE}, s AS (SELECT *, list_transform(range(1, 7), lambda k: {_SQUARE.format('top')}) AS tops, list_transform(range(1, 7), lambda k: {_SQUARE.format('left')}) AS lefts FROM tile)
+    SELECT sample_id, {listed_sql("list_transform(range(0, 64), lambda i: CASE WHEN len(list_filter(range(1, 7), lambda k: i // 8 >= tops[k] AND i // 8 < tops[k] + 2 AND i % 8 >= lefts[k] AND i % 8 < lefts[k] + 2)) > 0 THEN 128.0 ELSE px[i + 1] END)")} AS px FROM s""")
+def g10_occlusion(spark, sf_dir):
+    """Grey squares of two pixels, three for each four pixels of the shorter side."""
+    return tiles(spark, sf_dir).select("sample_id", listed(G.occluded(*_shape(), F.col("sample_id"), 3, width=2, unit=4)).alias("px"))
 
 
 _U = "('0x' || substr(md5('42:{}:' || sample_id), 1, 8))::BIGINT / 4294967296.0"
@@ -153,6 +168,23 @@ def g13_geometry_by_plan(spark, sf_dir):
     return G.geometry(G.plan(tiles(spark, sf_dir), "sample_id"), "sample_id").select("sample_id", "h", "w", "level", listed(F.col("px")).alias("px"))
 
 
+_FRAMES = "tile3 AS (SELECT sample_id, f AS frame, list_transform(range(0, 64), lambda i: px[(i + f * 8) % 64 + 1]) AS px FROM tile, range(3) r(f))"
+
+
+@book.add(f"""WITH {TILE}, {_FRAMES}, {_DRAWS.replace("FROM tile", "FROM tile3")}, s AS (SELECT *, CASE WHEN uv < 0.25 THEN 0 WHEN uv < 0.55 THEN 1 WHEN uv < 0.85 THEN 2 ELSE 3 END AS level, greatest(1, round((0.35 + uc * 0.64) * 8)::INT) AS side FROM dr),
+    c AS (SELECT *, CASE WHEN level = 0 THEN 8 ELSE side END AS ch, CASE WHEN level = 0 THEN 8 ELSE side END AS cw FROM s),
+    q AS (SELECT *, floor(ut * (9 - ch))::INT AS ty, floor(ul * (9 - cw))::INT AS tx FROM c), p AS (SELECT *, {_CROPPED} AS cut FROM q),
+    h AS (SELECT *, CASE WHEN uh < 0.5 AND level > 0 THEN flatten(list_transform(range(0, ch), lambda y: list_reverse(cut[y * cw + 1:y * cw + cw]))) ELSE cut END AS px1 FROM p),
+    v AS (SELECT *, CASE WHEN uf < 0.5 AND level > 1 THEN flatten(list_transform(range(0, ch), lambda y: px1[(ch - 1 - y) * cw + 1:(ch - 1 - y) * cw + cw])) ELSE px1 END AS px2 FROM h)
+    SELECT sample_id, frame::INT AS frame, ch AS h, cw AS w, {listed_sql('px2')} AS px, {listed_sql('list_transform(px2, lambda z: 255 - z)')} AS other FROM v""")
+def g13_frames_of_one_plan(spark, sf_dir):
+    """Three frames a sample and a second tile beside each: one plan row gives all of them the same crop and flips."""
+    frames = tiles(spark, sf_dir).withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    frames = frames.withColumn("px", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("px", (i + F.col("frame") * 8) % 64))).withColumn("other", F.transform("px", lambda x: 255 - x))
+    out = G.augment_frames(frames, G.plan(tiles(spark, sf_dir), "sample_id"), also=("other",))
+    return out.select("sample_id", "frame", "h", "w", listed(F.col("px")).alias("px"), listed(F.col("other")).alias("other"))
+
+
 @book.add()
 def g13_composed_pipeline(spark, sf_dir):
     """Crop and flips as expressions by each row's plan, resized to one size, then its own distortion at its own level in one Arrow job."""
@@ -175,9 +207,17 @@ def g07_saturation(spark, sf_dir):
     return out.select("sample_id", listed(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.get("px", i * 3))).alias("red"))
 
 
-@book.add()
+#: For each weight the place that it takes its value from, along eight values mirrored at their ends.
+_MIRROR = [[abs(y + k) if y + k < 8 else 14 - y - k for k in range(-3, 4)] for y in range(8)]
+_WEIGHTS = [f"{v!r}::DOUBLE" for v in G.gaussian_weights(7)]
+_DOWN = " + ".join(f"{v} * px[{_MIRROR}[i // 8 + 1][{k + 1}] * 8 + i % 8 + 1]" for k, v in enumerate(_WEIGHTS))
+_ACROSS = " + ".join(f"{v} * px[(i // 8) * 8 + {_MIRROR}[i % 8 + 1][{k + 1}] + 1]" for k, v in enumerate(_WEIGHTS))
+
+
+@book.add(f"WITH {TILE}, d AS (SELECT sample_id, list_transform(range(0, 64), lambda i: {_DOWN}) AS px FROM tile), a AS (SELECT sample_id, list_transform(range(0, 64), lambda i: {_ACROSS}) AS px FROM d) SELECT sample_id, {listed_sql('list_transform(px, lambda v: round(v, 3))')} AS px FROM a")
 def g09_blur(spark, sf_dir):
-    return G.apply_kernels(tiles(spark, sf_dir), [("GB", G.distortion("GB", 1))])
+    """Separable, as two passes of array expressions."""
+    return G.blurred(tiles(spark, sf_dir), G.distortion("GB", 1)).select("sample_id", listed(F.transform("px", lambda x: F.round(x, 3))).alias("px"))
 
 
 @book.add(f"WITH {TILE} SELECT sample_id, {listed_sql('flatten(list_transform(range(0, 4), lambda y: list_transform(range(0, 4), lambda x: (px[y * 16 + x * 2 + 1] + px[y * 16 + x * 2 + 2] + px[y * 16 + x * 2 + 9] + px[y * 16 + x * 2 + 10]) / 4)))')} AS px FROM tile")

@@ -191,6 +191,40 @@ def test_kernels_are_deterministic_and_sound(spark):
         G.distortion("CS", 6)
 
 
+@pytest.mark.parametrize("size", [7, 9, 21])
+def test_blur_as_expressions_equals_the_kernel(spark, size):
+    """Also where a side is not longer than half of the kernel."""
+    rng = np.random.default_rng(3)
+    shapes = [(12, 14, 3), (11, 12, 1), (8, 6, 2), (4, 9, 1)] if size < 21 else [(12, 14, 3), (11, 12, 1)]
+    rows = [(k, h, w, c, rng.uniform(0, 255, h * w * c).round(2).tolist()) for k, (h, w, c) in enumerate(shapes)]
+    frame = spark.createDataFrame(rows, "sample_id long, h int, w int, c int, px array<double>")
+    for r in G.blurred(frame, size).collect():
+        _, h, w, c, px = rows[r.sample_id]
+        if min(h, w) > size // 2:
+            assert np.allclose(r.px, G.blur(np.array(px).reshape(h, w, c), size).ravel())
+        assert len(r.px) == h * w * c and min(px) - 1e-9 <= min(r.px) and max(r.px) <= max(px) + 1e-9
+
+
+def test_noise_and_squares_by_hashed_draws(spark):
+    rows = spark.range(40).select(F.col("id").alias("sample_id"), F.lit(16).alias("h"), F.lit(20).alias("w"), F.lit(1).alias("c"), F.array_repeat(F.lit(128.0), 320).alias("px"))
+    noisy = rows.select(G.noisy(F.col("px"), F.col("sample_id"), 0.01).alias("px"))
+    values = np.array([r.px for r in noisy.collect()]) - 127.5
+    assert abs(values.mean()) < 0.7 and abs(values.std() - 25.5) < 0.6 and len({tuple(v) for v in values}) == 40
+    assert sorted(r.px for r in noisy.repartition(7).collect()) == sorted(r.px for r in noisy.collect())
+    zero = rows.withColumn("px", F.array_repeat(F.lit(0.0), 320))
+    for r in zero.select(G.occluded(*[F.col(x) for x in ("px", "h", "w", "c")], F.col("sample_id"), 2, width=3, unit=8).alias("px")).collect():
+        tile = np.array(r.px).reshape(16, 20)
+        assert set(r.px) == {0.0, 128.0} and 9 <= (tile == 128).sum() <= 4 * 9
+    plain = zero.select(G.occluded(*[F.col(x) for x in ("px", "h", "w", "c")], F.col("sample_id"), 2).alias("px")).first()
+    assert set(plain.px) == {0.0}  # below one whole unit there are no squares
+
+
+def test_frames_without_a_plan_stay(spark):
+    frames = spark.createDataFrame([(1, 0, 2, 2, 1, [1.0, 2.0, 3.0, 4.0]), (1, 1, 2, 2, 1, [5.0, 6.0, 7.0, 8.0])], "sample_id long, frame int, h int, w int, c int, px array<double>")
+    none = G.plan(frames.limit(0).select("sample_id"), "sample_id")
+    assert sorted((r.frame, r.px) for r in G.augment_frames(frames, none).collect()) == [(0, [1.0, 2.0, 3.0, 4.0]), (1, [5.0, 6.0, 7.0, 8.0])]
+
+
 def test_scoring_keeps_every_row(spark):
     rows = spark.createDataFrame([(k, [float(k)] * 3 if k % 4 else None, k % 2) for k in range(12)], "sample_id long, vec array<double>, label int").coalesce(1)
 
