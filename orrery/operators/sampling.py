@@ -15,6 +15,10 @@ from ..schemas import REGULAR_RANGE, ROLLING_PATTERN, ROLLING_RANGE, ROLLING_WEI
 from .topk import first_rows
 
 
+#: Rows of a table of places (one for each group in a partition) that are broadcast; more are joined by a shuffle.
+BROADCAST_PARTS = 200_000
+
+
 def draw(seed: int, key: Column, salt: str = "") -> Column:
     """The draw's MD5, in hex."""
     return F.md5(F.concat(F.lit(f"{seed}:{salt}:"), key.cast("string")).cast("binary"))
@@ -110,26 +114,28 @@ def name_matches(patterns: list[str], *columns: str) -> Column:
     return hit
 
 
-def numbered(rows: DataFrame, by: str, order: list[Column], name: str = "rn") -> DataFrame:
+def numbered(rows: DataFrame, by: str, order: list[Column], name: str = "rn", total: str | None = None) -> DataFrame:
     """``rows`` with their place in their group, from 1 on, without a group in one task: rows are sorted over range partitions and
-    written once; a place is that in its partition after the counts of the partitions before. Rows that tie in ``order`` take any order."""
+    written once; a place is that in its partition after the counts of the partitions before. Rows that tie in ``order`` take any
+    order. ``total`` names a column for the rows of the group."""
     from ..sources.tables import kept
 
     ranged = rows.repartitionByRange(F.col(by), *order).sortWithinPartitions(F.col(by), *order)
     ranged = kept(ranged.withColumns({"_at": F.monotonically_increasing_id(), "_part": F.spark_partition_id()}))
     parts = ranged.groupBy(F.col(by).alias("_by"), F.col("_part").alias("_p")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy("_by").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition of a group
-    parts = parts.select("_by", "_p", (before - F.col("_first") + 1).alias("_shift"))
+    every = [F.sum("_n").over(Window.partitionBy("_by")).alias(total)] if total else []
+    parts = kept(parts.select("_by", "_p", (before - F.col("_first") + 1).alias("_shift"), *every))
+    parts = F.broadcast(parts) if parts.count() <= BROADCAST_PARTS else parts
     out = ranged.join(parts, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_part") == F.col("_p")))
     return out.withColumn(name, (F.col("_at") + F.col("_shift")).cast("long")).drop("_at", "_part", "_by", "_p", "_shift")
 
 
 def batches(rows: DataFrame, by: str, order: list[Column], size: int) -> DataFrame:
     """batch_id from 1 on and batch_size for each group, by ``order``."""
-    placed = numbered(rows, by, order)
-    totals = rows.groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_all"))
-    placed = placed.withColumn("batch_id", F.ceil(F.col("rn") / size).cast("long")).join(totals, F.col(by).eqNullSafe(F.col("_by")))
-    return placed.withColumn("batch_size", F.least(F.lit(size).cast("long"), F.col("_all") - (F.col("batch_id") - 1) * size)).drop("_by", "_all")
+    placed = numbered(rows, by, order, total="_all")
+    placed = placed.withColumn("batch_id", F.ceil(F.col("rn") / size).cast("long"))
+    return placed.withColumn("batch_size", F.least(F.lit(size).cast("long"), F.col("_all") - (F.col("batch_id") - 1) * size)).drop("_all")
 
 
 def shard_quota(shards: DataFrame, target: int, seed: int = 42) -> DataFrame:
