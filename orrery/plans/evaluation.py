@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..adapters import EVT, REC, REG, records, registry, rolling
+from ..adapters import EVT, REC, REG, TILE, records, registry, rolling
 from ..functions import scores
 from ..operators import breakdowns as B
 from ..operators import metrics as M
@@ -258,19 +258,31 @@ def p10_right_class(spark, sf_dir):
     return ok.select("sample_id", "aug_pass", F.round(scores.correct_probability(), 6).alias("right_class"), F.round(scores.correct_probability(True), 6).alias("right_class_binary"))
 
 
-@book.add(f"WITH {REC} SELECT sample_id, aug_pass, status FROM rec")
+@book.add(f"WITH {REC} SELECT aug_pass, dataset_name, media_type, status, inference_time_ms, group_key, row_key, sample_id, label, predicted, correct FROM rec")
 def p25_without_heavy_columns(spark, sf_dir):
-    return records(spark, sf_dir).drop("probs", "row_key").select("sample_id", "aug_pass", "status")
+    """Records with lists, structs, bytes and maps beside them, all of which go."""
+    from ..sources.tables import without_heavy
 
+    rows = records(spark, sf_dir).withColumns({"media": F.col("row_key").cast("binary"), "place": F.struct("dataset_name"), "notes": F.create_map("sample_id", "status")})
+    return without_heavy(rows)
 
-@book.add(f"WITH {REC} SELECT sample_id, aug_pass, round(inference_time_ms * 16 / 16, 6) AS inference_time_ms, predicted = label AS correct, substr(repeat('failed at ' || sample_id || ' ', 20), 1, 160) AS short FROM rec")
+
+@book.add(f"""WITH {TILE}, z AS (SELECT sample_id, label, list_sum(list_transform(range(1, 65), lambda i: vec[i] * (i % 5 - 2))) AS z FROM tile)
+    SELECT sample_id, true AS shared, (z > 0)::INT = label AS correct, CASE WHEN z > 0 THEN substr(repeat('failed at ' || sample_id || ' ', 20), 1, 160) END AS short FROM z""")
 def p27_batch_shares(spark, sf_dir):
-    """Time of a batch over its size, the correct flag (p28) and the inner error text (p29)."""
+    """Scored in batches: a row's time is its batch's over the batch's size; the correct flag (p28) and the inner error text (p29)."""
+    import numpy as np
+
+    from ..adapters import tiles
     from ..functions.identity import error_text
+    from ..operators import scoring
+
+    weights = np.arange(1, 65) % 5 - 2
+    rows = scoring.as_records(scoring.score(tiles(spark, sf_dir), lambda x: x @ weights))
+    share = F.abs(F.col("inference_time_ms") * F.col("batch_size") - F.col("batch_inference_time_ms")) < 1e-6
+    message = F.when(F.col("predicted") == 1, F.repeat(F.concat(F.lit("failed at "), F.col("sample_id").cast("string"), F.lit(" ")), 20))
+    return rows.select("sample_id", (share & (F.col("batch_size") > 0)).alias("shared"), "correct", error_text(message, 160).alias("short"))
 
-    batch = F.col("inference_time_ms") * 16
-    message = F.repeat(F.concat(F.lit("failed at "), "sample_id", F.lit(" ")), 20)
-    return records(spark, sf_dir).select("sample_id", "aug_pass", F.round(batch / 16, 6).alias("inference_time_ms"), (F.col("predicted") == F.col("label")).alias("correct"), error_text(message, 160).alias("short"))
 
 
 @book.add(f"WITH {REC}, {_OK}, {_pack_sql('ok')} SELECT {_PACK} FROM pack")

@@ -36,9 +36,9 @@ def f07_row_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").where((F.col("lang") == "de") & (F.col("source") == "src3")).select("doc_id", "text")
 
 
-@book.add(f"WITH {REG} SELECT name, modality FROM reg WHERE modality = 'image' UNION ALL SELECT name || '-holdout-' || substr(md5(name), 1, 8), modality FROM reg WHERE modality = 'image' AND media_type = 'real'")
+@book.add(f"WITH {REG} SELECT name, modality FROM reg UNION ALL SELECT name || '-holdout-' || substr(md5(name), 1, 8), modality FROM reg WHERE media_type = 'real'")
 def u01_registry_with_holdouts(spark, sf_dir):
-    reg = registry(spark, sf_dir).where("modality = 'image'")
+    reg = registry(spark, sf_dir)
     held = reg.where("media_type = 'real'").withColumn("name", F.concat("name", F.lit("-holdout-"), F.substring(F.md5(F.col("name").cast("binary")), 1, 8)))
     return reg.unionByName(held).select("name", "modality")
 
@@ -221,18 +221,18 @@ def f05_validation_errors(spark, sf_dir):
     return problem_rows(broken)
 
 
-def _holdouts(spark, sf_dir):
+def _holdouts(spark, sf_dir, chosen: str = "true"):
     from ..sources.registry_files import obfuscate
 
     none = F.lit(None).cast("array<string>")
-    full = registry(spark, sf_dir).where("ordinal % 2 = 0").withColumns({"include_paths": F.array("content_category"), "exclude_paths": none, "source": F.lit("s3")})
+    full = registry(spark, sf_dir).where(chosen).withColumns({"include_paths": F.array("content_category"), "exclude_paths": none, "source": F.lit("s3")})
     return obfuscate(full)
 
 
-_HELD = "held AS (SELECT name AS original_name, media_type || '-' || modality || '-holdout-' || substr(sha1(path || '|' || modality || '|' || media_type || '|' || source_format || '|' || content_category || '||s3'), 1, 8) AS name FROM reg WHERE ordinal % 2 = 0)"
+_HELD = "held AS (SELECT name AS original_name, media_type || '-' || modality || '-holdout-' || substr(sha1(path || '|' || modality || '|' || media_type || '|' || source_format || '|' || content_category || '||s3'), 1, 8) AS name FROM reg WHERE {})"
 
 
-@book.add(f"WITH {REG}, {_HELD} SELECT name, original_name FROM held")
+@book.add(f"WITH {REG}, {_HELD.format('true')} SELECT name, original_name FROM held")
 def k05_holdout_mapping(spark, sf_dir):
     """The mapping of holdout names, written and read back."""
     path = new_folder(spark)
@@ -240,11 +240,11 @@ def k05_holdout_mapping(spark, sf_dir):
     return spark.read.schema("name string, original_name string").parquet(path)
 
 
-@book.add(f"WITH {REG}, {_HELD} SELECT original_name FROM held UNION ALL SELECT name FROM reg WHERE ordinal % 2 = 1")
+@book.add(f"WITH {REG}, {_HELD.format('ordinal % 2 = 0')} SELECT original_name FROM held UNION ALL SELECT name FROM reg WHERE ordinal % 2 = 1")
 def j11_original_names(spark, sf_dir):
     from ..sources.registry_files import original_names
 
-    held, mapping = _holdouts(spark, sf_dir)
+    held, mapping = _holdouts(spark, sf_dir, "ordinal % 2 = 0")
     names = held.select("name").union(registry(spark, sf_dir).where("ordinal % 2 = 1").select("name"))
     return original_names(names, mapping).select("original_name")
 

@@ -54,6 +54,11 @@ def explode_media(rows: DataFrame, columns: list[str], keep: list[str]) -> DataF
     return rows.select(*keep, F.explode(F.array(*each)).alias("m")).select(*keep, "m.*").where("media is not null")
 
 
+def from_base64(media: Column) -> Column:
+    """Bytes of media that come as base64 text, with a ``data:`` head or without; null where the text isn't base64."""
+    return F.try_to_binary(F.regexp_replace(media, r"^data:[^,]*;base64,", ""), F.lit("base64"))
+
+
 def read_shard(spark: SparkSession, path: str, columns: list[str], keep: list[str], filter_column: str | None = None, filter_value=None, sample_by: str | None = None, sample: int = -1, seed: int = 42) -> DataFrame:
     """Filter (pushed to the scan; a missing column gives no rows), sample of rows, then explode. ``sample`` -1 means all."""
     rows = spark.read.parquet(path)

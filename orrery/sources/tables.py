@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import breakdowns, metrics
 
@@ -26,6 +27,12 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without_heavy(rows: DataFrame) -> DataFrame:
+    """``rows`` without columns of bytes, lists, maps or structs: what stays is small enough to be looked at."""
+    heavy = (T.BinaryType, T.ArrayType, T.MapType, T.StructType)
+    return rows.select(*[F.col(f"`{f.name}`") for f in rows.schema if not isinstance(f.dataType, heavy)])
+
+
 def write_records(rows: DataFrame, path: str) -> None:
     """Run records in their schema, a partition for each run; no rows write nothing."""
     have = set(rows.columns)
