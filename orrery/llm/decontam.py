@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Placed, small_batches, unpacked, whole
+from .common import Placed, Scratch, small_batches, unpacked, whole
 
 WINDOW = 13
 BLOCK_CHARS = 16_000_000
@@ -146,9 +146,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
         return F.arrow_udf(run, _FOUND)(F.col(placed.at(text)))
 
-    found = placed.rows
-    names = []
+    found, names, written, scratch = placed.rows, [], None, Scratch(spark, "decontamination")
     for k, block in enumerate(_blocks(benchmark, item, "text") or []):
+        if k:  # what the blocks before found is written, so that a worker holds one block's index
+            found, path = scratch.put(found, "scanned")
+            if written:
+                scratch.drop(written)
+            written = path
         found = found.withColumn(f"_f{k}", scan(block))
         names.append(f"_f{k}")
     if not names:

@@ -36,6 +36,8 @@ BITS, FACTORS, PASSAGE, SAMPLE, EPOCHS, LEFT_OUT = 18, 8, 100, 8_000, 12, 0.3
 #: A term must be in so many documents of the sample, and its share of positive ones must differ from the sample's by so many
 #: standard deviations; so must a pair's, of terms in at least ``PAIR_SHARE`` of the documents (rarer ones meet too seldom to tell).
 MIN_DOCUMENTS, MIN_DEVIATION, PAIR_DEVIATION, PAIR_SHARE = 4, 4.0, 6.0, 0.03
+#: Terms whose pairs are counted at a time.
+PAIR_BLOCK = 512
 _TRIM = ".,;:!?\"'()[]{}|*#%&$"
 CACHE_WORDS = 200_000
 
@@ -90,20 +92,27 @@ def taking_part(bags: list[list[np.ndarray]], labels: np.ndarray) -> np.ndarray:
         hits[terms] += label
     own = deviations(counts, hits, share)
     active = (counts >= MIN_DOCUMENTS) & (own >= MIN_DEVIATION)
-    common = np.flatnonzero(counts >= max(PAIR_SHARE * len(bags), MIN_DOCUMENTS))[: 1 << 13]  # at most 1 / PAIR_SHARE for each term of a text
+    common = np.flatnonzero(counts >= max(PAIR_SHARE * len(bags), MIN_DOCUMENTS))
     place = np.full(size, -1)
     place[common] = np.arange(len(common))
-    both, good = np.zeros((2, len(common), len(common)), np.float32)
+    parts = []  # a byte for each text and common term, of which a text has few
     for at in range(0, len(texts), 1000):
-        there = np.zeros((len(texts[at : at + 1000]), len(common)), np.float32)
+        there = np.zeros((len(texts[at : at + 1000]), len(common)), np.uint8)
         for row, terms in zip(there, texts[at : at + 1000], strict=True):
             row[(p := place[terms])[p >= 0]] = 1
-        both += there.T @ there
-        good += there.T @ (there * labels[at : at + 1000, None])
-    far = deviations(both, good, share)
-    # more than either term tells by itself
-    told = np.maximum(own[common][:, None], own[common][None, :])
-    active[common[(far >= np.maximum(PAIR_DEVIATION, told + 1)).any(1)]] = True
+        parts.append((there, labels[at : at + 1000, None]))
+    # pairs of some terms with all others at a time, so that memory doesn't grow with the square of the terms
+    for at in range(0, len(common), PAIR_BLOCK):
+        some = slice(at, at + PAIR_BLOCK)
+        both, good = np.zeros((2, len(common[some]), len(common)), np.float32)
+        for there, label in parts:
+            there = there.astype(np.float32)
+            both += there[:, some].T @ there
+            good += (there[:, some] * label).T @ there
+        far = deviations(both, good, share)
+        # more than either term tells by itself
+        told = np.maximum(own[common[some]][:, None], own[common][None, :])
+        active[common[some][(far >= np.maximum(PAIR_DEVIATION, told + 1)).any(1)]] = True
     return active
 
 
