@@ -27,6 +27,19 @@ def new_archives(listed: DataFrame, ledger: DataFrame) -> DataFrame:
     return listed.join(ledger.select("iso_week", F.col("archive").alias("_a")), (listed["iso_week"] == ledger["iso_week"]) & (I.basename(F.col("archive_filename")) == F.col("_a")), "left_anti")
 
 
+def bucketed_ledger(processed: DataFrame, table: str, buckets: int | None = None) -> DataFrame:
+    """Adds (iso_week, archive) to the ledger ``table``, which lies in buckets of both: ``new_archives`` deals the listing to them and
+    never shuffles the ledger, however long it has grown. As many buckets as shuffle partitions unless said otherwise."""
+    spark = processed.sparkSession
+    rows = processed.select("iso_week", "archive").distinct()
+    if spark.catalog.tableExists(table):
+        rows.join(spark.table(table), ["iso_week", "archive"], "left_anti").select("iso_week", "archive").write.insertInto(table)
+    else:
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.write.bucketBy(n, "iso_week", "archive").sortBy("iso_week", "archive").format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def archives_to_fetch(metadata: DataFrame) -> DataFrame:
     """Distinct archives that metadata names, with the path of their week."""
     return metadata.select("archive_filename", "iso_week").where("archive_filename is not null").distinct().withColumn("path", F.concat(F.lit("archives/"), "iso_week", F.lit("/"), "archive_filename"))

@@ -225,6 +225,23 @@ def test_frames_without_a_plan_stay(spark):
     assert sorted((r.frame, r.px) for r in G.augment_frames(frames, none).collect()) == [(0, [1.0, 2.0, 3.0, 4.0]), (1, [5.0, 6.0, 7.0, 8.0])]
 
 
+def test_a_ledger_in_buckets_is_not_shuffled(spark):
+    listed = spark.range(3000).select(F.concat(F.lit("w"), (F.col("id") % 5).cast("string")).alias("iso_week"), F.concat(F.lit("a/b/"), F.col("id").cast("string")).alias("archive_filename"))
+    done = listed.where("substring(archive_filename, 5) % 3 = 0").select("iso_week", F.substring("archive_filename", 5, 99).alias("archive"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for _ in range(2):  # what is there isn't added again
+            ledger = N.bucketed_ledger(done, "ledger_test", 4)
+        fresh = N.new_archives(listed, ledger)
+        plan = fresh._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "bucket" in plan.lower()  # the listing alone is dealt
+        assert fresh.count() == 2000 and ledger.count() == 1000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("DROP TABLE IF EXISTS ledger_test")
+
+
 def test_scoring_keeps_every_row(spark):
     rows = spark.createDataFrame([(k, [float(k)] * 3 if k % 4 else None, k % 2) for k in range(12)], "sample_id long, vec array<double>, label int").coalesce(1)
 
