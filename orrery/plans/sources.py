@@ -133,13 +133,23 @@ def s07_raw_media(spark, sf_dir):
     return rows.select(F.regexp_extract("path", r"([^/]*)\.png$", 1).alias("item"), "length", _digest(F.col("media")))
 
 
-def _yaml(rows) -> str:
-    """A registry file of a table of datasets (a few hundred entries)."""
-    import yaml
+def _registry_files(spark, sf_dir) -> str:
+    """A folder with a registry file for each modality, each listing its datasets in another way; one entry is broken."""
+    folder = new_folder(spark)
+
+    def write(part: pd.DataFrame) -> pd.DataFrame:
+        import yaml
 
-    entries = [{"name": r.name, "path": r.path, "modality": r.modality, "media_type": r.media_type} | ({"media_per_archive": r.media_per_archive} if r.ordinal % 2 else {}) for r in rows.collect()]
-    by = {m: [e for e in entries if e["modality"] == m] for m in ("image", "video")}
-    return yaml.safe_dump({"datasets": [e for e in entries if e["modality"] == "audio"] + [{"name": "broken", "path": "x", "modality": "smell", "media_type": "real"}], "image": by["image"], "video_datasets": by["video"]})
+        modality = part["modality"].iloc[0]
+        entries = [{"name": r.name, "path": r.path, "modality": r.modality, "media_type": r.media_type} | ({"media_per_archive": int(r.media_per_archive)} if r.ordinal % 2 else {}) for r in part.itertuples(index=False)]
+        broken = [{"name": "broken", "path": "x", "modality": "smell", "media_type": "real"}]
+        listing = {"audio": {"datasets": entries + broken}, "image": {"image": entries}, "video": {"video_datasets": entries}}[modality]
+        _store(folder, f"{modality}.yaml", yaml.safe_dump(listing).encode())
+        return pd.DataFrame({"modality": [modality]})
+
+    rows = registry(spark, sf_dir).select("modality", "name", "path", "media_type", "media_per_archive", "ordinal")
+    rows.groupBy("modality").applyInPandas(write, "modality string").agg(F.count("*")).first()
+    return folder
 
 
 _SIZES = "CASE WHEN ordinal % 2 <> 0 THEN media_per_archive ELSE {} END AS media_per_archive, {} AS archives_per_dataset"
@@ -147,8 +157,8 @@ _SIZES = "CASE WHEN ordinal % 2 <> 0 THEN media_per_archive ELSE {} END AS media
 
 @book.add(f"WITH {REG} SELECT name, path, modality, media_type, 'huggingface' AS source, {_SIZES.format(100, 5)} FROM reg UNION ALL SELECT 'broken', NULL, 'smell', NULL, 'invalid modality smell', NULL, NULL")
 def s01_registry_file(spark, sf_dir):
-    """A registry as YAML with its three ways of listing; defaults are filled in, a broken entry is told apart."""
-    found, errors = registry_files.read_registry(spark, _yaml(registry(spark, sf_dir)))
+    """Registry files with three ways of listing, parsed by tasks; defaults are filled in, a broken entry is told apart."""
+    found, errors = registry_files.read_registry_files(spark, _registry_files(spark, sf_dir))
     none = F.lit(None).cast("string")
     wrong = errors.select("name", none.alias("path"), F.lit("smell").alias("modality"), none.alias("media_type"), F.col("error").alias("source"), F.lit(None).cast("int").alias("media_per_archive"), F.lit(None).cast("int").alias("archives_per_dataset"))
     return found.select(*wrong.columns).union(wrong)
@@ -157,7 +167,7 @@ def s01_registry_file(spark, sf_dir):
 @book.add(f"WITH {REG} SELECT media_type || '-' || modality || '-holdout-' || substr(sha1(path || '|' || modality || '|' || media_type || '|parquet|||huggingface'), 1, 8) AS name, name AS original_name, {_SIZES.format(-1, -1)} FROM reg")
 def s02_holdout_registry_file(spark, sf_dir):
     """The same file as one of holdouts: sizes are unlimited unless given, names hidden."""
-    found, _ = registry_files.read_registry(spark, _yaml(registry(spark, sf_dir)), holdout=True)
+    found, _ = registry_files.read_registry_files(spark, _registry_files(spark, sf_dir), holdout=True)
     return registry_files.obfuscate(found)[0].select("name", "original_name", "media_per_archive", "archives_per_dataset")
 
 

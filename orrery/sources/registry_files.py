@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +27,8 @@ def _entries(text: str) -> list[dict]:
     return flat
 
 
-def read_registry(spark: SparkSession, text: str, holdout: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(registry, errors) of a YAML text; entries with errors are left out of the registry and named in errors.
+def checked(text: str, holdout: bool = False) -> tuple[list[tuple], list[tuple[int, str, str]]]:
+    """(rows of a registry, (place, name, error) of what is wrong) of a YAML text; entries with errors are left out of the rows.
     Holdout registries default to unlimited sizes."""
     defaults = _DEFAULTS | ({k: -1 for k in _INTEGERS} if holdout else {})
     good, errors = [], []
@@ -35,9 +38,38 @@ def read_registry(spark: SparkSession, text: str, holdout: bool = False) -> tupl
         if not found:
             full = defaults | entry
             good.append(tuple([str(v) if isinstance(v, (int, float)) and f.dataType.typeName() == "string" else v for f, v in ((f, full.get(f.name)) for f in REGISTRY)]))
+    return good, errors
+
+
+def read_registry(spark: SparkSession, text: str, holdout: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(registry, errors) of one YAML text."""
+    good, errors = checked(text, holdout)
     return spark.createDataFrame(good, REGISTRY), spark.createDataFrame(errors, "place int, name string, error string")
 
 
+def read_registry_files(spark: SparkSession, path: str, holdout: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(registry, errors) of all YAML files below ``path``, each parsed by the task that reads it; a file that isn't YAML is one error."""
+    names = [f.name for f in REGISTRY]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in REGISTRY), "place int, error_name string, error string"])
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for text in (t for batch in batches for t in batch["value"]):
+            try:
+                good, errors = checked(text, holdout)
+            except (yaml.YAMLError, AttributeError, TypeError) as failure:
+                good, errors = [], [(0, "unknown", f"no registry: {failure}"[:300])]
+            rows = pd.DataFrame(good, columns=names, dtype=object).reindex(columns=[*names, "place", "error_name", "error"])
+            wrong = pd.DataFrame(errors, columns=["place", "error_name", "error"], dtype=object).reindex(columns=rows.columns)
+            every = pd.concat([rows.astype(object), wrong.astype(object)])
+            yield every.where(every.notna(), None)
+
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{yaml,yml}")
+    rows = files.mapInPandas(parse, schema)
+    return rows.where("error is null").select(*names), rows.where("error is not null").select("place", F.col("error_name").alias("name"), "error")
+
+
 def problems(entry: dict) -> list[str]:
     """What is wrong with an entry."""
     out = [f"missing required field {f}" for f in ("name", "path", "modality", "media_type") if entry.get(f) is None]

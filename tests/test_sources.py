@@ -38,6 +38,21 @@ def test_registry_and_holdouts(spark):
     assert {r.error for r in registry_files.problem_rows(wrong).collect()} == {"missing required field modality", "invalid media_type odd"}
 
 
+def test_registry_files_are_parsed_by_tasks(spark, tmp_path):
+    (tmp_path / "a.yaml").write_text(YAML)
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "b.yml").write_text("audio:\n  - {name: z, path: org/z, media_type: real, media_per_archive: 7}\n")
+    (tmp_path / "c.yaml").write_text("{ not: [yaml")
+    (tmp_path / "d.yaml").write_text("")
+    (tmp_path / "e.txt").write_text(YAML)
+    good, errors = registry_files.read_registry_files(spark, str(tmp_path))
+    rows = {r.name: r for r in good.collect()}
+    assert set(rows) == {"a", "d", "z"} and rows["z"].media_per_archive == 7 and rows["a"].include_paths == ["x", "b"] and rows["d"].media_per_archive == 100
+    assert sorted(r.name for r in errors.collect()) == ["b", "c", "unknown"]
+    one = registry_files.read_registry(spark, YAML)[0]
+    assert {r.name: r for r in one.collect()}["a"] == rows["a"]
+
+
 def _archives(path):
     with zipfile.ZipFile(path / "one_deadbeef.zip", "w") as z:
         for name in ("a/1.jpg", "a/2.PNG", "__MACOSX/3.jpg", "readme.txt"):
