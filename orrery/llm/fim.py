@@ -102,7 +102,7 @@ def fill_in_middle(docs: DataFrame, text: str = "text", key: str = "doc_id", see
 
 
 def restore(turned: DataFrame, fim: str = "fim", form: str = "form") -> DataFrame:
-    """``turned`` plus restored: the text that each row was before; null where the row has no output."""
+    """``turned`` plus restored: the text that each row was before; null where the row has no output or no form."""
     small_batches(turned.sparkSession)
 
     @F.arrow_udf("string")
@@ -110,6 +110,6 @@ def restore(turned: DataFrame, fim: str = "fim", form: str = "form") -> DataFram
         for outputs, forms in batches:
             for at in range(0, len(outputs), SLICE):
                 pairs = zip(outputs.slice(at, SLICE), forms.slice(at, SLICE), strict=True)
-                yield pa.array([invert(o.as_py().encode(), f.as_py()) if o.is_valid else None for o, f in pairs], pa.binary()).cast(pa.string())
+                yield pa.array([invert(o.as_py().encode(), f.as_py()) if o.is_valid and f.is_valid else None for o, f in pairs], pa.binary()).cast(pa.string())
 
     return replaced(turned, ["restored"]).withColumn("restored", run(F.col(f"`{fim}`"), F.col(f"`{form}`")))

@@ -62,7 +62,7 @@ def test_query_over_the_whole_table(spark, small):
 
 
 def test_unknown_form_or_missing_output(spark):
-    rows = spark.createDataFrame([("<P>a<S>c<M>b", "psm"), (None, "psm")], "fim string, form string")
-    assert [r.restored for r in fim.restore(rows).collect()] == ["abc", None]
+    rows = spark.createDataFrame([("<P>a<S>c<M>b", "psm"), (None, "psm"), ("x", None), ("x", "plain")], "fim string, form string")
+    assert [r.restored for r in fim.restore(rows).collect()] == ["abc", None, None, "x"]
     with pytest.raises(ValueError):
         fim.invert(b"no sentinel", "psm")
