@@ -34,7 +34,7 @@ from .bpe import byte_alphabet
 from .common import Placed, Scratch, small_batches
 
 ADDED = ["n_a", "n_b", "n_groups", "alignment", "pairs", "pair_links"]
-MEMO_WINDOWS, MEMO_TOKENS = 200_000, 64
+MEMO_WINDOWS, MEMO_TOKENS = 300_000, 64
 #: Ids of B stand beyond those of A in a packed window.
 B_FROM = 1 << 24
 HOT_PAIRS = 1 << 20
