@@ -4,7 +4,8 @@ Ranks are read from a rank file (base64 token, rank) whose path is a parameter.
 byte alphabet (every byte a printable character), every split of a token into two known tokens becomes a merge in rank
 order, and the tokenizers library's BPE model merges the pieces; a piece that is a token itself is kept whole. This gives
 what merging the adjacent pair of lowest rank gives. Pieces are the matches of the split pattern, merged one by one;
-merged pieces are kept per worker, up to ``CACHE_PIECES`` of them, after which the store starts anew.
+merged pieces are kept per worker in two halves of up to ``CACHE_PIECES``: one that is met again moves to the young half, and the
+old one goes when the young one is full.
 
 The model travels as a broadcast of the rank file's text, whose size is that of the vocabulary, checked against
 ``MAX_VOCABULARY_BYTES``.
@@ -17,8 +18,9 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import Placed, replaced, small_batches
 
-CACHE_PIECES = 60_000
+CACHE_PIECES = 100_000
 #: Rows of an Arrow batch whose tokens are in memory at a time.
 SLICE = 200
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -70,6 +72,17 @@ class ByteTable:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+class Merged(dict):
+    """Ids of pieces; a piece that isn't there is worked out, and stored by ``work``."""
+
+    def __init__(self, work: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.work = work
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        return self.work(piece)
+
+
 class Codec:
     """A vocabulary with its merges, made once per Python worker."""
 
@@ -88,23 +101,20 @@ class Codec:
         for token, rank in of_bytes.items():
             self.lengths[rank] = len(token)
         self.pieces = regex.compile(pattern).findall
-        self.merged: dict[str, list[int]] = {}
+        self.merged, self.old = Merged(self.piece), {}
 
-    def piece(self, piece: str) -> list[int]:
-        if len(self.merged) >= CACHE_PIECES:
-            self.merged.clear()
-        written = piece.encode().decode("latin-1").translate(self.shown)
-        ids = [t.id for t in self.model.tokenize(written)]
+    def piece(self, piece: str) -> tuple[int, ...]:
+        """Ids of a piece that isn't in the young half: from the old half, or merged."""
+        ids = self.old.get(piece) or tuple([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))])
         if len(piece) <= 64:
+            if len(self.merged) >= CACHE_PIECES:
+                self.old = dict(self.merged)
+                self.merged.clear()
             self.merged[piece] = ids
         return ids
 
     def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        known = self.merged.get
-        for piece in self.pieces(text):
-            out += known(piece) or self.piece(piece)
-        return out
+        return list(chain.from_iterable(map(self.merged.__getitem__, self.pieces(text))))
 
     def spans(self, text: bytes, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First character of each token and the one after its last, in code points; a token inside a character spans it."""
@@ -139,8 +149,8 @@ def _lists(values: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(values) if values else np.zeros(0, np.int32)))
 
 
-def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """``docs`` plus token_ids, token_starts and token_ends (arrays of int; character offsets, end exclusive)."""
+def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, pattern: str | None = None, offsets: bool = True) -> DataFrame:
+    """``docs`` plus token_ids, token_starts and token_ends (arrays of int; character offsets, end exclusive); without ``offsets`` token_ids alone."""
     small_batches(docs.sparkSession)
     shared, split = _ranks(docs.sparkSession, ranks_path), pattern or default_pattern()
 
@@ -156,7 +166,15 @@ def encode(docs: DataFrame, text: str = "text", ranks_path: str | None = None, p
                 ids.append(found), starts.append(first), ends.append(last)
             yield pa.StructArray.from_arrays([_lists(ids), _lists(starts), _lists(ends)], ["ids", "starts", "ends"])
 
+    @F.arrow_udf("array<int>")
+    def ids_alone(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = _codec(shared.value, split)
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
+            yield _lists([np.array(codec.encode(value or ""), np.int32) for value in batch.to_pylist()])
+
     placed = Placed(docs, ["token_ids", "token_starts", "token_ends"])
+    if not offsets:
+        return placed.rows.withColumn("t", ids_alone(F.col(placed.at(text)))).select(*placed.columns(), F.col("t").alias("token_ids"))
     coded = placed.rows.withColumn("t", run(F.col(placed.at(text))))
     return coded.select(*placed.columns(), F.col("t.ids").alias("token_ids"), F.col("t.starts").alias("token_starts"), F.col("t.ends").alias("token_ends"))
 

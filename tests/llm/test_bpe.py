@@ -38,3 +38,15 @@ def test_operator_round_trip_offsets_and_cases(spark, reference):
         whole = "".join(text[a:b] for a, b in zip(r.token_starts, r.token_ends, strict=True))
         assert len(whole) >= len(text)
     assert bpe.decode(bpe.encode(frame.limit(0))).count() == 0
+
+
+def test_ids_without_offsets_and_a_store_that_turns_over(spark, reference, monkeypatch):
+    texts = ["a€b 😀 don't", None, "", "one two three one two three " * 20, "x" * 100]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = bpe.encode(frame, offsets=False)
+    assert out.columns == ["doc_id", "text", "token_ids"]
+    assert all(r.token_ids == reference[0].encode_ordinary(r.text or "") for r in out.collect())
+    monkeypatch.setattr(bpe, "CACHE_PIECES", 2)
+    codec = bpe.Codec(open(bpe.default_ranks(), "rb").read(), tokenizers.PATTERN)
+    assert all(codec.encode(t or "") == reference[0].encode_ordinary(t or "") for t in texts)
+    assert len(codec.merged) <= 2 and len(codec.old) <= 2
