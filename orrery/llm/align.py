@@ -1,8 +1,9 @@
 """Alignment of two tokenisations of the same text.
 
-Every text is tokenised whole by both vocabularies, A (byte-level BPE) and B (pieces with byte fallback). Where a token that marks a
-space begins in both, the bytes before it end in both: such a shared end is an anchor. Anchors part a text into windows of a word or so, and a
-window is known by its two tuples of ids, so its alignment is worked out once and memoised by them. Inside a window the byte
+Every text is tokenised by both vocabularies, A (byte-level BPE) and B (pieces with byte fallback). At a single space between two
+other characters both begin a token: A's pattern has no match that goes on over it, and no piece of B has a space after another
+character (which is checked; with another B a text is one word). So words, each with the space before it, are tokenised and aligned on their own, once,
+and memoised. A text with a word that B doesn't give back is tokenised whole. Inside a word the byte
 offsets where both tokens end cut it into groups, and the two tokens that end together are linked.
 
 How often an id pair is linked over the whole corpus is counted from the pairs of each text (counted per text, then by map-side
@@ -13,13 +14,14 @@ A's ids come from its vocabulary read from the file's merges: ids are in merge o
 lowest id is what the file says. Spaces, ends and bytes are those of the vocabularies' entries.
 
 Defined cases: a text that is null or empty, or that the two vocabularies don't give back byte for byte, has no tokens: zeros and
-an empty alignment; strings of special tokens are plain text; a very long text is one row, and windows of over ``MEMO_TOKENS`` tokens
+an empty alignment; strings of special tokens are plain text; a very long text is one row, and words of over ``MEMO_CHARS`` characters
 aren't memoised; repeated rows are texts of their own, and count again; an empty table stays empty; columns with the names of added ones are replaced, all others stay.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,13 +36,15 @@ from .bpe import byte_alphabet
 from .common import Placed, Scratch, small_batches
 
 ADDED = ["n_a", "n_b", "n_groups", "alignment", "pairs", "pair_links"]
-MEMO_WINDOWS, MEMO_TOKENS = 300_000, 64
-#: Ids of B stand beyond those of A in a packed window.
-B_FROM = 1 << 24
+MEMO_WORDS, MEMO_CHARS = 300_000, 64
 HOT_PAIRS = 1 << 20
 SLICE = 100
 MAX_VOCABULARY_BYTES = 64 << 20
 SPACE = "▁"
+#: A single space between two other characters. What Python takes for white space holds all that the tokenisers do.
+_CUT = re.compile(r" (?<=\S )(?=\S)")
+#: (tokens by A, tokens by B, groups as text, linked pairs as a << 32 | b)
+Word = tuple[int, int, str, tuple[int, ...]]
 
 
 def default_paths() -> tuple[str, str]:
@@ -49,17 +53,8 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Vocabulary:
-    """The bytes of each id, their number, and whether they begin with a space."""
-
-    def __init__(self, entries: list[bytes]):
-        self.bytes_of = entries
-        self.lengths = np.array([len(e) for e in entries], np.int64)
-        self.spaced = np.array([e[:1] == b" " for e in entries], bool)
-
-
 class Aligner:
-    """Both tokenisers and the windows they have met, made once per Python worker."""
+    """Both tokenisers and the words they have met, made once per Python worker."""
 
     def __init__(self, a: bytes, b: bytes):
         import public_tokenizers
@@ -80,90 +75,80 @@ class Aligner:
         entries = [b""] * (max(ranks.values()) + 1)
         for token, i in ranks.items():
             entries[i] = token
-        self.of_a = Vocabulary(entries)
+        self.bytes_a = entries
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b)
-        self.of_b = Vocabulary([self._piece(i) for i in range(self.b.get_piece_size())])
-        self.size_a, self.size_b = self.of_a.lengths.tolist(), self.of_b.lengths.tolist()
+        self.bytes_b = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.size_a, self.size_b = [len(e) for e in self.bytes_a], [len(e) for e in self.bytes_b]
         self.name_a, self.name_b = ([f"{i}," for i in range(len(sizes))] for sizes in (self.size_a, self.size_b))
-        # two halves: a window that is met again moves to the young one, and the old one goes when the young one is full
-        self.memo: dict[bytes, tuple[str, tuple[int, ...]]] = {}
-        self.old: dict[bytes, tuple[str, tuple[int, ...]]] = {}
+        # pieces of spaces alone are no danger: they meet no single space
+        self.by_words = not any(b" " in e[1:] and e.strip(b" ") for e in self.bytes_b)
+        # two halves: a word that is met again moves to the young one, and the old one goes when the young one is full
+        self.memo: dict[str, Word | None] = {}
+        self.old: dict[str, Word | None] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
 
-    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Ids by A and by B; none where they don't give the text back."""
-        none = np.zeros(0, np.int64)
-        if not text:
-            return none, none
-        a, b, wanted = self.a.encode_ordinary(" " + text), self.b.encode(text, num_threads=1), b" " + text.encode()
-        ids_a = np.array(a)
-        # A has every byte, and its merges lose none; B's normalisation may
-        same = self.of_a.lengths[ids_a].sum() == len(wanted) and b"".join(map(self.of_b.bytes_of.__getitem__, b)) == wanted
-        return (ids_a, np.array(b)) if same else (none, none)
-
-    def window(self, key: bytes) -> tuple[str, tuple[int, ...]]:
-        """(groups as text, linked pairs as a << 32 | b) of a window: the side that is behind takes its next token, until both stand at one byte."""
+    def words(self, texts: list[str]) -> list[Word | None]:
+        """Words, or whole texts, each without the space before it: None where B doesn't give it back. A has every byte, and its merges lose none."""
+        encode, bytes_b = self.a.encode_ordinary, self.bytes_b.__getitem__
+        return [self._linked(encode(" " + text), b) if b"".join(map(bytes_b, b)) == b" " + text.encode() else None
+                for text, b in zip(texts, self.b.encode(texts, num_threads=1), strict=True)]
+
+    def _linked(self, a: list[int], b: list[int]) -> Word:
+        """The groups and links of two lists of ids that hold the same bytes."""
         size_a, size_b, name_a, name_b = self.size_a, self.size_b, self.name_a, self.name_b
-        ids = memoryview(key).cast("i").tolist()
-        groups, pairs, i, end_a, end_b, part_a, part_b = [], [], 0, 0, 0, "", ""
-        for y in ids:
-            if y < B_FROM:
-                continue
-            y -= B_FROM
-            while end_a <= end_b:
-                x = ids[i]
-                i += 1
-                end_a += size_a[x]
-                part_a += name_a[x]
+        groups, pairs, end_a, end_b, part_a, part_b, rest = [], [], 0, 0, "", "", iter(a)
+        for y in b:
             end_b += size_b[y]
             part_b += name_b[y]
             while end_a < end_b:
-                x = ids[i]
-                i += 1
+                x = next(rest)
                 end_a += size_a[x]
                 part_a += name_a[x]
             if end_a == end_b:
                 groups.append(f"{part_a[:-1]}|{part_b[:-1]}")
                 pairs.append(x << 32 | y)
                 part_a = part_b = ""
-        return ";".join(groups), tuple(pairs)
-
-    def known(self, key: bytes) -> tuple[str, tuple[int, ...]]:
-        """A window that isn't in the young half of the memo: from the old half, or worked out."""
-        found = self.old.get(key) or self.window(key)
-        if len(key) <= 4 * MEMO_TOKENS:
-            if len(self.memo) >= MEMO_WINDOWS:
-                self.memo, self.old = {}, self.memo
-            self.memo[key] = found
-        return found
-
-    def windows(self, ids_a: np.ndarray, ids_b: np.ndarray) -> list[bytes]:
-        """The windows in order, each as its tuple of ids, packed: those of A, then those of B beyond ``B_FROM``."""
-        starts_a, starts_b = (np.cumsum(v.lengths[ids]) - v.lengths[ids] for v, ids in ((self.of_a, ids_a), (self.of_b, ids_b)))
-        marked_a, marked_b = np.flatnonzero(self.of_a.spaced[ids_a]), np.flatnonzero(self.of_b.spaced[ids_b])
-        # a marked token that begins at the same byte in both: what comes before ends there in both
-        _, at_a, at_b = np.intersect1d(starts_a[marked_a], starts_b[marked_b], assume_unique=True, return_indices=True)
-        cuts_a, cuts_b = np.append(marked_a[at_a], len(ids_a)), np.append(marked_b[at_b], len(ids_b))
-        if cuts_a[0]:  # what comes before the first anchor
-            cuts_a, cuts_b = np.append(0, cuts_a), np.append(0, cuts_b)
-        # tokens in the order of their windows, A before B
-        window_a, window_b = (np.searchsorted(cuts, np.arange(n), "right") for cuts, n in ((cuts_a, len(ids_a)), (cuts_b, len(ids_b))))
-        order = np.argsort(np.concatenate([2 * window_a, 2 * window_b + 1]), kind="stable")
-        packed = np.concatenate([ids_a, ids_b + B_FROM]).astype(np.int32)[order].tobytes()
-        ends = (4 * (cuts_a + cuts_b)).tolist()
-        return [packed[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+        return len(a), len(b), ";".join(groups), tuple(pairs)
+
+    def known(self, words: set[str]) -> dict[str, Word | None]:
+        """All of the words, from the memo where it has them."""
+        out, new = {}, []
+        for w in words:
+            found = self.memo.get(w)
+            if found is None and (found := self.old.get(w)) is not None:
+                self.memo[w] = found
+            if found is None:
+                new.append(w)
+            out[w] = found
+        for w, found in zip(new, self.words(new), strict=True):
+            out[w] = found
+            if len(w) <= MEMO_CHARS:
+                self.memo[w] = found
+        if len(self.memo) >= MEMO_WORDS:
+            self.memo, self.old = {}, self.memo
+        return out
+
+    def aligned(self, texts: list[str]) -> Iterator[tuple[int, int, int, str, np.ndarray, np.ndarray]]:
+        """Of each text (tokens by A, tokens by B, groups, alignment, pairs in order, links of each)."""
+        cut = [(_CUT.split(t) if self.by_words else [t]) if t else [] for t in texts]
+        known = self.known(set(chain.from_iterable(cut)))
+        lost = {w for w, found in known.items() if found is None}
+        n_a, n_b, groups, pairs = ({w: found[k] for w, found in known.items() if found}.__getitem__ for k in range(4))
+        for text, words in zip(texts, cut, strict=True):
+            if not words or lost and not lost.isdisjoint(words):
+                whole = self.words([text])[0] if len(words) > 1 else None
+                a, b, alignment, links = whole or (0, 0, "", ())
+                links = Counter(links)
+            else:
+                a, b, alignment = sum(map(n_a, words)), sum(map(n_b, words)), ";".join(map(groups, words))
+                links = Counter(chain.from_iterable(map(pairs, words)))
+            yield a, b, links.total(), alignment, np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int32, len(links))
 
     def align(self, text: str) -> tuple[int, int, int, str, np.ndarray, np.ndarray]:
-        """(tokens by A, tokens by B, groups, alignment, pairs in order, links of each)."""
-        a, b = self.tokens(text)
-        if not len(a):
-            return 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int32)
-        done = [self.memo.get(w) or self.known(w) for w in self.windows(a, b)]
-        links = Counter(chain.from_iterable([pairs for _, pairs in done]))
-        return len(a), len(b), links.total(), ";".join([groups for groups, _ in done]), np.fromiter(links.keys(), np.int64, len(links)), np.fromiter(links.values(), np.int32, len(links))
+        return next(self.aligned([text]))
 
 
 @lru_cache(maxsize=1)
@@ -197,7 +182,7 @@ def align(docs: DataFrame, text: str = "text", a_path: str | None = None, b_path
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         aligner = _aligner(*shared.value)
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, len(b), SLICE)):
-            n_a, n_b, n_groups, alignment, pairs, links = zip(*[aligner.align(v.as_py() or "") for v in batch], strict=True)
+            n_a, n_b, n_groups, alignment, pairs, links = zip(*aligner.aligned([v or "" for v in batch.to_pylist()]), strict=True)
             yield pa.StructArray.from_arrays([*[pa.array(n, pa.int64()) for n in (n_a, n_b, n_groups)], pa.array(alignment, pa.string()), _lists(pairs, np.int64), _lists(links, np.int32)], ADDED)
 
     placed = Placed(docs, ADDED)

@@ -106,3 +106,13 @@ def test_query_over_the_whole_table(spark, small, brute):
     want = dict(zip((r.doc_id for r in docs), brute.all([r.text for r in docs]), strict=True))
     found = queries.op12_cross_tokenizer_alignment(spark, small).collect()
     assert {r.doc_id: (r.n_a, r.n_b, r.n_groups, r.n_links, r.n_best, r.count_sum, r.groups_sha256) for r in found} == want
+
+
+def test_words_are_the_same_alone_and_in_a_whole_text(aligner, monkeypatch):
+    """Words are known after one text, in whatever order; with a B that has pieces over spaces texts are aligned whole, with the same result."""
+    text = "isn't  it\n the naïve 1234 cat's é x <s> end. "
+    alone = aligner.align(text)
+    assert aligner.by_words and "naïve" in aligner.memo and alone[0] > 0
+    monkeypatch.setattr(aligner, "by_words", False)
+    whole = aligner.align(text)
+    assert whole[:4] == alone[:4] and whole[4].tolist() == alone[4].tolist() and whole[5].tolist() == alone[5].tolist()
